@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tilewright.llm import url_filter
+from tilewright.llm import mixing, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op1_url_filter": url_filter.op1_url_filter}
+    return {
+        "op1_url_filter": url_filter.op1_url_filter,
+        "op2_mixing": mixing.op2_mixing,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict:

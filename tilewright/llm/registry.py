@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, sharding, url_filter
+from tilewright.llm import mixing, sharding, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
+        "op3_token_output": token_output.op3_token_output,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
     }
 

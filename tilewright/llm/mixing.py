@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.lineage import cut
+from tilewright.functions.tables import small_table
 
 #: Documents that are rounded together in one group of the tree, on average.
 FAN_IN = 64
@@ -145,10 +146,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r["source"]: int(r["size"]) for r in stats}
     target = shares(sizes, weights, float(most)) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(
-        [(s, sizes[s], target[s], target[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "s string, source_size long, target double, rate double"
-    )
+    listed = [{"s": s, "source_size": sizes[s], "target": target[s], "rate": target[s] / sizes[s] if sizes[s] else 0.0} for s in sizes]
+    table = small_table(docs.sparkSession, listed, "s:string,source_size:bigint,target:double,rate:double")
     kind = rows.schema["source"].dataType
     rows = rows.join(F.broadcast(table.withColumn("s", F.col("s").cast(kind))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.floor(F.col("rate") + 1e-12)

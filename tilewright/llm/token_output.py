@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.lineage import fresh_path
+from tilewright.functions.tables import small_table
 
 #: Pretokens whose ids a worker remembers; the memory is emptied when it is full.
 MAX_WORDS = 400_000
@@ -146,9 +147,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     totals = sorted((r["part"], r["n"]) for r in read.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     firsts, run = [], 0
     for part, n in totals:
-        firsts.append((part, run))
+        firsts.append({"part": part, "first": run})
         run += n
-    table = spark.createDataFrame(firsts, "part int, first long")
+    table = small_table(spark, firsts, "part:int,first:bigint")
     digest = read.select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
     ahead = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     digest = digest.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))

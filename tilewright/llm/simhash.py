@@ -139,7 +139,7 @@ def _bucket_links(most: int, count: int):
             words = pdf[names].to_numpy(np.int64).view(np.uint64)
             a, b = _links_of(pdf["key"].to_numpy(), words, most)
             text = lambda rows: ["".join(f"{int(w):016x}" for w in r) for r in words[rows]]
-            return pd.DataFrame({"u": text(a), "v": text(b)})
+            return pd.DataFrame({"u": text(a), "v": text(b)}, dtype=object)
 
         held: list[pd.DataFrame] = []
         for pdf in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import html_text, mixing, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import html_text, mixing, multiset_hash, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_output": token_output.op3_token_output,
         "op5_html_text": html_text.op5_html_text,
         "op6_simhash": simhash.op6_simhash,
+        "op7_multiset_hash": multiset_hash.op7_multiset_hash,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
     }

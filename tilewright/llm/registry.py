@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import html_text, mixing, multiset_hash, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import html_text, mixing, multiset_hash, quality, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_html_text": html_text.op5_html_text,
         "op6_simhash": simhash.op6_simhash,
         "op7_multiset_hash": multiset_hash.op7_multiset_hash,
+        "op8_quality": quality.op8_quality,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
     }

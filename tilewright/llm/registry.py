@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import html_text, mixing, multiset_hash, quality, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
         "op3_token_output": token_output.op3_token_output,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_html_text": html_text.op5_html_text,
         "op6_simhash": simhash.op6_simhash,
         "op7_multiset_hash": multiset_hash.op7_multiset_hash,

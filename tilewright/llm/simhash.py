@@ -206,3 +206,65 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 3, id_col: s
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Words of a shingle and least similarity of near-duplicates.
+SHINGLE, SIMILAR = 5, 0.8
+#: Smallest shingle hashes kept of a text: similarity is exact for texts with no more shingles.
+SKETCH = 256
+#: The candidate fingerprint: 128 bits of a text's distinct words, compared within so many bits.
+WIDE, WIDE_MOST = 128, 11
+
+
+def _combine(a: Column, b: Column, by: int) -> Column:
+    """Hashes of pairs of an item of ``a`` and the item of ``b`` that stands ``by`` places later."""
+    n = F.greatest(F.size(b) - by, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def shingle_sketch(text: Column) -> Column:
+    """The SKETCH smallest hashes of a text's shingles of SHINGLE words; all words in one if there are fewer."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    two = _combine(one, one, 1)
+    five = _combine(_combine(two, two, 2), one, 4)
+    shingles = F.when(F.size(words) >= SHINGLE, five).otherwise(F.array(F.xxhash64(words)))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(shingles, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))), 1, SKETCH)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts from their sketches."""
+    low = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(low, F.array_intersect(a, b))) / F.size(low)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group of exact and near copies: the one with the smallest id, with its columns as they were.
+
+    Candidates are pairs of fingerprints of distinct words within WIDE_MOST bits; those are
+    near-duplicates whose shingles of five words have a similarity of 0.8 or more, and groups are
+    what such links connect. Null texts are copies of empty ones; null ids come last. Of
+    repeated rows one stays. An empty table gives an empty result.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = cut(docs.select("doc_id", F.md5(text.cast("binary")).alias("h"), fingerprint(text, 1, WIDE, True).alias("fp")), "near-rows")
+    nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "near-nodes")
+    prints = cut(nodes.groupBy("fp").agg(F.min("h").alias("rep")), "near-prints")
+    links = forest_links(prints.select("fp"), WIDE, WIDE_MOST)
+    named = prints.select(fingerprint_hex(F.col("fp")).alias("x"), "rep")
+    far = links.join(named.select(F.col("x").alias("u"), F.col("rep").alias("a")), "u").join(named.select(F.col("x").alias("v"), F.col("rep").alias("b")), "v")
+    same = nodes.join(prints, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
+    pairs = cut(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    whole = docs.select(F.md5(text.cast("binary")).alias("h"), shingle_sketch(F.col("text")).alias("sketch"))
+    sketches = cut(whole.join(asked, "h", "left_semi").dropDuplicates(["h"]), "near-sketches")
+    one, two = sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
+    near = pairs.join(one, "a").join(two, "b").where(similarity(F.col("sa"), F.col("sb")) >= SIMILAR)
+    groups = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = nodes.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h"))
+    winners = rooted.groupBy("root").agg(first.alias("w")).select(F.col("w.least").alias("__id"), F.col("w.h").alias("__w"))
+    keyed = docs.withColumn("__h", F.md5(text.cast("binary")))
+    kept = keyed.join(winners, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__h"] == F.col("__w")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -35,16 +35,33 @@ def _lane_pairs(hashes: Sequence[Column]) -> list[Column]:
     return out
 
 
+def _pack(lanes: Sequence[Column]) -> list[Column]:
+    """Four lanes of 16 bits in each long."""
+    words = []
+    for i in range(0, LANES, 4):
+        w = lanes[i]
+        for k in range(1, 4):
+            w = w.bitwiseOR(F.shiftleft(lanes[i + k], 16 * k))
+        words.append(w)
+    return words
+
+
 def _lanes(sums: Sequence[Column], count: Column) -> Column:
-    """Fingerprint: LANES lane sums modulo MODULUS and the count of units."""
+    """Fingerprint: LANES lane sums modulo MODULUS, four in a long, and the count of units."""
+    low = F.lit(MODULUS - 1)
+    lanes = [x for s in sums for x in (s.bitwiseAND(low), F.shiftrightunsigned(s, 32).bitwiseAND(low))]
+    return F.array(*_pack(lanes), count)
+
+
+def unpack(fp: Column) -> Column:
+    """Lane sums of a fingerprint, from 0 to MODULUS - 1."""
     low = F.lit(MODULUS - 1)
-    parts = [x for s in sums for x in (s.bitwiseAND(low), F.shiftrightunsigned(s, 32).bitwiseAND(low))]
-    return F.array(*[x.cast("int") for x in parts], count.cast("int"))
+    return F.flatten(F.transform(F.slice(fp, 1, LANES // 4), lambda w: F.array(*[F.shiftrightunsigned(w, 16 * k).bitwiseAND(low) for k in range(4)])))
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
-    lanes = F.zip_with(F.slice(a, 1, LANES), F.slice(b, 1, LANES), lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS)))
-    return F.concat(lanes, F.array(F.element_at(a, -1) + sign * F.element_at(b, -1)))
+    lanes = F.zip_with(unpack(a), unpack(b), lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS)))
+    return F.array(*_pack([F.element_at(lanes, i + 1) for i in range(LANES)]), F.element_at(a, -1) + sign * F.element_at(b, -1))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -88,17 +105,14 @@ def fingerprints(rows: DataFrame, keys: Sequence[str], texts: Sequence[str]) ->
 
 
 def as_text(fp: Column) -> Column:
-    """Four hexadecimal digits a lane and eight for the count."""
-    lanes = F.array_join(F.transform(F.slice(fp, 1, LANES), lambda x: F.lpad(F.hex(x), 4, "0")), "")
-    return F.lower(F.concat(lanes, F.lpad(F.hex(F.element_at(fp, -1)), 8, "0")))
+    """Sixteen hexadecimal digits for every four lanes, and for the count."""
+    return F.lower(F.array_join(F.transform(fp, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
 
 
 def _centred(fp: Column) -> Column:
     """Lane sums less their mean, as doubles; right after any number of wraps."""
-    n = F.element_at(fp, -1).cast("long")
-    return F.transform(
-        F.slice(fp, 1, LANES), lambda s: (F.pmod(2 * s - 15 * n + MODULUS, F.lit(2 * MODULUS)) - MODULUS).cast("double")
-    )
+    n = F.element_at(fp, -1)
+    return F.transform(unpack(fp), lambda s: (F.pmod(2 * s - 15 * n + MODULUS, F.lit(2 * MODULUS)) - MODULUS).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -88,8 +88,8 @@ def shuffle_within(df: DataFrame, key: str, seed: int) -> DataFrame:
 def thresholds(n: int, fractions: Sequence[float], compat: bool = False) -> list[int]:
     """Ends of the parts of n shards: rounded half to even; the last part takes the rest.
 
-    An empty last parts are mended: with three parts the last two shards become parts of their
-    own, with two parts the last one. ``compat`` raises where the rounded parts don't cover all.
+    Empty parts are mended: with three parts the last two shards become parts of their own, with
+    two parts the last one. ``compat`` raises where the rounded parts don't cover all.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum to 1")

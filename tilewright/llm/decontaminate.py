@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.binding import let
 from tilewright.functions.lineage import cut
 
 WINDOW = 8
@@ -18,8 +19,8 @@ WINDOW = 8
 LITERAL = 4
 #: Share of an item's windows that a contaminated document holds.
 COVER = 0.5
-#: Rows of 24 bytes: up to here the benchmark's windows are broadcast, beyond they are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many windows of the benchmark (some 100 bytes each) are broadcast; more are shuffled.
+BROADCAST_ROWS = 200_000
 
 #: Placeholders are characters for private use, so that no text word equals one.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -50,8 +51,13 @@ def slots(text: Column) -> Column:
     return F.flatten(F.transform(found, lambda v: F.split(F.lower(v), r"(?<=\p{N}) ?(?=[^\p{N}.,:/ ])")))
 
 
-def _shift(xs: Column, by: int, size: Column) -> Column:
-    return F.slice(xs, F.lit(by + 1), F.greatest(size - by, F.lit(0)))
+def _joined(xs: Column, by: int) -> Column:
+    """Hashes of each item and the one that stands ``by`` places later."""
+
+    def pairs(n: Column) -> Column:
+        return F.zip_with(F.slice(xs, F.lit(1), n), F.slice(xs, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    return let(F.greatest(F.size(xs) - by, F.lit(0)), pairs)
 
 
 def window_hashes(words: Column) -> Column:
@@ -59,15 +65,17 @@ def window_hashes(words: Column) -> Column:
 
     Hashes of 1, 2, 4 and 8 words are built from one another, two at a time.
     """
-    level = F.transform(words, lambda w: F.xxhash64(w))
-    width = 1
+    level, width = F.transform(words, lambda w: F.xxhash64(w)), 1
     while width < WINDOW:
-        n = F.size(level)
-        level = F.zip_with(F.slice(level, F.lit(1), F.greatest(n - width, F.lit(0))), _shift(level, width, n), lambda a, b: F.xxhash64(a, b))
+        level = let(level, _by(width))
         width *= 2
     return level
 
 
+def _by(width: int):
+    return lambda xs: _joined(xs, width)
+
+
 def _is_slot(w: Column) -> Column:
     return w.isin(NUMBER, UNIT, NAME)
 

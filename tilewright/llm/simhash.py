@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions.binding import let
 from tilewright.functions.lineage import cut
 from tilewright.llm.components import components
 
@@ -216,27 +217,33 @@ SKETCH = 256
 WIDE, WIDE_MOST = 128, 11
 
 
-def _combine(a: Column, b: Column, by: int) -> Column:
-    """Hashes of pairs of an item of ``a`` and the item of ``b`` that stands ``by`` places later."""
-    n = F.greatest(F.size(b) - by, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+def _joined(a: Column, b: Column, by: int) -> Column:
+    """Hashes of an item of ``a`` and the item of ``b`` that stands ``by`` places later."""
+
+    def pairs(n: Column) -> Column:
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    return let(F.greatest(F.size(b) - by, F.lit(0)), pairs)
 
 
 def shingle_sketch(text: Column) -> Column:
     """The SKETCH smallest hashes of a text's shingles of SHINGLE words; all words in one if there are fewer."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    two = _combine(one, one, 1)
-    five = _combine(_combine(two, two, 2), one, 4)
-    shingles = F.when(F.size(words) >= SHINGLE, five).otherwise(F.array(F.xxhash64(words)))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(shingles, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))), 1, SKETCH)
+
+    def shingles(one: Column) -> Column:
+        five = let(_joined(one, one, 1), lambda two: let(_joined(two, two, 2), lambda four: _joined(four, one, 4)))
+        return F.when(F.size(one) >= SHINGLE, five).otherwise(F.array(F.xxhash64(one)))
+
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
+    short = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return F.slice(F.array_sort(F.array_distinct(short)), 1, SKETCH)
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two texts from their sketches."""
     low = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(low, F.array_intersect(a, b))) / F.size(low)
+    return let(low, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -109,7 +109,10 @@ class LabelModel:
     shares: np.ndarray
     chances: np.ndarray  # labeller x class x vote (none, bad, good); a missing vote says nothing, so its chance is 1
 
+    used: np.ndarray  # by labeller: whether its votes count
+
     def classes(self, votes: np.ndarray) -> np.ndarray:
+        votes = np.where(self.used, votes, NONE)
         each = np.log(self.chances)[np.arange(len(self.names)), :, votes + 1]  # pattern x labeller x class
         score = each.sum(axis=1) + np.log(self.shares)
         score -= score.max(axis=1, keepdims=True)
@@ -128,19 +131,26 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, names: list[str],
     """Expectation-maximisation over vote patterns and their numbers of documents.
 
     Starts from the votes themselves: a pattern belongs to the kinds of its bad votes, to the
-    good class without any.
+    good class without any. A labeller that calls most of the corpus bad says nothing about
+    single documents (common words, for one, in a corpus of another language) and is set aside.
+    Kinds that a single labeller sees and errors on good documents would fit the votes alike, so
+    a prior of one good vote a document on the good class decides for the kinds.
     """
+    weighed = lambda vote: ((patterns == vote) * counts[:, None]).sum(0)
+    used = weighed(BAD) <= weighed(GOOD)
+    patterns = np.where(used, patterns, NONE)
     bad = patterns == BAD
     start = np.concatenate([np.where(bad.any(1), 0.1, 1.0)[:, None], 0.9 * bad / np.maximum(bad.sum(1, keepdims=True), 1)], axis=1) + 1e-3
     belongs = start / start.sum(1, keepdims=True)
-    model = LabelModel(names, np.ones(0), np.ones(0))
+    model = LabelModel(names, np.ones(0), np.ones(0), used)
     for _ in range(rounds):
         weight = (counts[:, None] * belongs).T  # class x pattern
         said = np.stack([((patterns == v).T[:, None, :] * weight[None]).sum(-1) for v in (BAD, GOOD)], axis=-1) + 0.1
+        said[:, 0, 1] += counts.sum()
         said /= said.sum(-1, keepdims=True)
         chances = np.concatenate([np.ones_like(said[..., :1]), said], axis=-1)
         shares = weight.sum(1) + 0.1
-        model = LabelModel(names, shares / shares.sum(), chances)
+        model = LabelModel(names, shares / shares.sum(), chances, used)
         new = model.classes(patterns)
         if np.abs(new - belongs).max() < 1e-6:
             break
@@ -215,7 +225,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -
     counted = sorted((r["code"], r["count"]) for r in marked.groupBy("code").count().collect())
     names = list(LABELLERS)
     if not counted:
-        return QualityModel(LabelModel(names, np.ones(1), np.ones((len(names), 1, 3)) / 3), np.zeros(DIM))
+        return QualityModel(LabelModel(names, np.ones(1), np.ones((len(names), 1, 3)) / 3, np.ones(len(names), bool)), np.zeros(DIM))
     patterns = np.array([votes_in(code) for code, _ in counted])
     model = fit_label_model(patterns, np.array([n for _, n in counted], float), names)
     listed = [{"code": code, "p": p} for (code, _), p in zip(counted, model.posterior(patterns).tolist(), strict=True)]
@@ -225,11 +235,10 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -
     picked = sides[0].orderBy("h").limit(sample).unionByName(sides[1].orderBy("h").limit(sample)).select("h", "p")
     # At most 2 * sample rows, so the texts are fetched with one pass and a broadcast.
     own = docs.select(F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = own.join(F.broadcast(picked), "h")
+    texts = own.join(F.broadcast(picked), "h").dropDuplicates(["h"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.drop_duplicates("h")
             yield pd.DataFrame({"h": pdf["h"], "p": pdf["p"], "x": list(map(bytes, features(pdf["text"].tolist()).astype(np.float16)))})
 
     got = {r["h"]: r for r in texts.mapInPandas(rows, "h long, p double, x binary").collect()}

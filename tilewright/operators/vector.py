@@ -47,6 +47,12 @@ def tiles_with_truth(grid: DataFrame, polys: DataFrame) -> DataFrame:
     return grid.join(overlay_pairs(grid, polys), "filename", "left_semi").select("filename")
 
 
+def valid_tiles(grid: DataFrame, flags: DataFrame) -> DataFrame:
+    """Tiles of the grid whose flag (filename, is_nodata) isn't set; tiles without a flag are kept."""
+    marked = grid.join(flags, "filename", "left")
+    return marked.where(~F.coalesce("is_nodata", F.lit(False))).drop("is_nodata")
+
+
 def rasterize(cells: DataFrame, polys: DataFrame, cell: float = 5.0, simple: bool = False) -> DataFrame:
     """(filename, y, x, cls): class of every cell that polygons touch, the lowest id where they overlap.
 

@@ -152,6 +152,10 @@ _add("prepare_polygons", "polys", lambda p: ve.prepare_polygons(p.select("pid",
 select pid, case when pid % 7 = 0 then null else ty end as ty from polys""")
 _add("overlay_pairs", "grid polys", ve.overlay_pairs, _PAIRS)
 _add("tiles_with_truth", "grid polys", ve.tiles_with_truth, f"select distinct filename from ({_PAIRS})")
+_add("valid_tiles", "grid px", lambda g, p: ve.valid_tiles(g, ra.nodata(p).select(
+    F.format_string("ortho_ms_2019_EPSG3044_%03d_%03d", F.floor(F.col("img") / 10), F.col("img") % 10).alias("filename"), "is_nodata")), """
+select * from grid where filename not in (select 'ortho_ms_2019_EPSG3044_' || lpad(cast(img // 10 as varchar), 3, '0') || '_' || lpad(cast(img % 10 as varchar), 3, '0')
+from px where band = 1 group by img having bool_and(v in (0, 255)))""")
 _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cells c left join polys p on {{w}} and {_TOUCH.format(x='c.cx', y='c.cy', s=5)} group by c.filename, c.y, c.x"
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
 _add("rasterize_simple", "cells polys", lambda c, p: ve.rasterize(c, p, simple=True), _CELLS.format(v="case when p.pid is not null then 1 end", w="true"))

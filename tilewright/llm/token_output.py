@@ -8,28 +8,36 @@ by their statistics, row indexes and Bloom filters.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilewright.functions.lineage import fresh_path
 from tilewright.functions.tables import small_table
 
-#: Pretokens whose ids a worker remembers; the memory is emptied when it is full.
-MAX_WORDS = 400_000
+#: Pretokens whose ids a worker remembers.
+MAX_WORDS = 700_000
 #: Fixed value: how byte-level BPE files of this kind split a text into pretokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for the standard library's faster patterns, where no character is of another class there.
+QUICK_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_CONTROLS = re.compile("[\x1c-\x1f]").search
 ORC_OPTIONS = {"orc.compress": "ZSTD", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.fpp": "0.01"}
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct pretoken."""
+    """Ids of whole texts by the tokenizers library, which is asked once for each distinct pretoken.
+
+    Standing alone, a pretoken splits and encodes as it does inside its text, so the ids of a
+    text are those of its pretokens in a row.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -38,31 +46,46 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(SPLIT).findall
+        self.exact = regex.compile(SPLIT).findall
+        self.quick = re.compile(QUICK_SPLIT).findall
+        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        differ = set()
+        for ours, theirs in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s")):
+            differ |= set(re.findall(ours, text)) ^ set(regex.findall(theirs, text))
+        # Characters beyond the basic plane all go the exact way, which keeps this class a fast one.
+        near = "".join(map(re.escape, sorted(c for c in differ if ord(c) < 0x10000)))
+        self.odd, self.far = re.compile(f"[{near}]").search, re.compile("[\U00010000-\U0010ffff]").search
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _split(self, text: str) -> list[str]:
+        quick = not _CONTROLS(text) if text.isascii() else not (self.odd(text) or self.far(text))
+        return self.quick(text) if quick else self.exact(text)
 
     def _words(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
-            return self.split(text)
+            return self._split(text)
         parts: list[str] = [text]
         for s in self.special:
             parts = [q for p in parts for q in ([p] if p in self.special else _between(p, s))]
-        return [w for p in parts for w in ([p] if p in self.special else self.split(p))]
+        return [w for p in parts for w in ([p] if p in self.special else self._split(p))]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the number of ids of each text."""
-        from itertools import chain
+    def _learn(self, new: list[str]) -> None:
+        # One call a pretoken: the library's batches cost more than they save on texts this short.
+        for w in new:
+            self.known[w] = array("i", self.library.encode(w, add_special_tokens=False).ids).tobytes()
 
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         words = [self._words(t) for t in texts]
         new = list(set(chain.from_iterable(words)) - self.known.keys())
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
+        kept = max(0, MAX_WORDS - len(self.known))
+        self._learn(new)
         get = self.known.__getitem__
-        ids = [np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in words]
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.fromiter(map(len, ids), np.int64, len(ids))
+        out = [b"".join(map(get, ws)) for ws in words]
+        for w in new[kept:]:  # the memory holds what came first, which has all frequent words
+            del self.known[w]
+        return out
 
 
 def _between(text: str, mark: str) -> list[str]:
@@ -94,18 +117,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        e, row = encoder(public_tokenizers.path(tokenizer)), 0
+        e, row, end = encoder(public_tokenizers.path(tokenizer)), 0, np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for at, count in _slices(batch.column(1)):
                 part = batch.slice(at, count)
-                ids, sizes = e.encode(part.column(1).to_pylist())
-                ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, end_id).astype(np.int32)
-                offsets = np.concatenate([[0], ends + np.arange(1, count + 1)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                coded = e.encode(part.column(1).to_pylist())
+                sizes = np.array([len(c) // 4 + 1 for c in coded], np.int64)
+                ids = np.frombuffer(b"".join([x for c in coded for x in (c, end)]), np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
                 rows = pa.array(np.arange(row, row + count, dtype=np.int64))
                 row += count
-                yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(sizes + 1), listed], ["doc_id", "row", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(sizes), listed], ["doc_id", "row", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -115,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     out.write.options(**ORC_OPTIONS | {"orc.bloom.filter.columns": "doc_id"}).orc(path)
 
 
-def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes each; a longer text is a run of its own."""
     size = texts.nbytes // max(1, len(texts))
     step = max(1, most // max(1, size))
@@ -123,34 +145,41 @@ def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]
         yield at, min(step, len(texts) - at)
 
 
-def read_tokens(spark: SparkSession, path: str, wanted: list | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, wanted: list | None = None, id_type: str = "bigint") -> DataFrame:
     """The files' rows with their part number; ``wanted`` ids are looked up through the indexes."""
-    df = spark.read.orc(path)
+    df = spark.read.schema(f"doc_id {id_type}, row long, n_tokens long, ids array<int>").orc(path)
     if wanted is not None:
         df = df.where(F.col("doc_id").isin(wanted))
     return df.withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and CRC-32 of each row's ids, straight from the column's buffer."""
+    for batch in batches:
+        ids = batch.column(3)
+        ends = ids.offsets.to_numpy()
+        data = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<i4")).cast("B")
+        crcs = [zlib.crc32(data[a * 4 : b * 4]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        columns = [*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
 
-def token_digest(spark: SparkSession, path: str) -> DataFrame:
+def token_digest(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files.
 
-    ``start`` is the number of ids of all documents before it. The totals of the files, one row
+    ``start`` is the number of ids of all documents before it; ``ids_crc32`` is unsigned, over the
+    ids as little-endian unsigned 32-bit integers. The totals of the files, one row
     each, go to the driver; inside the files the sums run in parallel.
     """
-    read = read_tokens(spark, path)
+    read = read_tokens(spark, path, id_type=id_type)
     totals = sorted((r["part"], r["n"]) for r in read.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     firsts, run = [], 0
     for part, n in totals:
         firsts.append({"part": part, "first": run})
         run += n
     table = small_table(spark, firsts, "part:int,first:bigint")
-    digest = read.select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    schema = f"doc_id {id_type}, part int, row long, n_tokens long, ids_crc32 long"
+    digest = read.select("doc_id", "part", "row", "ids").mapInArrow(_digests, schema)
     ahead = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     digest = digest.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
     out = digest.join(F.broadcast(table), "part")

@@ -205,6 +205,44 @@ def test_near_duplicates_leave_one_of_each_group(docs, none, rows):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def near_groups_of(texts: list[str]) -> set[frozenset[int]]:
+    """Groups of two and more by brute force over all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared) and root[i] != root[j]:
+                root = [root[i] if r == root[j] else r for r in root]
+    return {g for r in set(root) if len(g := frozenset(i for i, x in enumerate(root) if x == r)) > 1}
+
+
+def near_left(spark, texts: list[str]) -> list[int]:
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(data).collect())
+
+
+def near_want(texts: list[str]) -> list[int]:
+    gone = {i for g in near_groups_of(texts) for i in g if i != min(g)}
+    return [i for i in range(len(texts)) if i not in gone]
+
+
+def test_near_candidates_miss_no_pair(spark):
+    r, texts = random.Random(3), []
+    for k in range(30):
+        w = prose(500 + k, 120 + 10 * k).split()
+        n = len(w)
+        new = lambda m: [f"new{r.randrange(10**6)}" for _ in range(m)]
+        texts += [" ".join(w), " ".join(w[: n - n // 6]), " ".join(w + new(n // 5)), " ".join(new(n // 6) + w)]
+        for share in (0.015, 0.02, 0.03):
+            texts.append(" ".join(x if r.random() > share else new(1)[0] for x in w))
+    want = near_want(texts)
+    assert len(want) < len(texts) - 60 and near_left(spark, texts) == want
+
+
 def test_edit_report(docs, none, rows):
     got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in multiset_hash.edit_report(docs).collect())
     signed = {t: r for t, r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect()}

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions.binding import let
 from tilewright.functions.lineage import cut
 from tilewright.llm.components import components
 
@@ -209,67 +208,239 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-#: Words of a shingle and least similarity of near-duplicates.
+#: Words of a shingle and least similarity of near-duplicates, and the latter as a fraction.
 SHINGLE, SIMILAR = 5, 0.8
-#: Smallest shingle hashes kept of a text: similarity is exact for texts with no more shingles.
-SKETCH = 256
-#: The candidate fingerprint: 128 bits of a text's distinct words, compared within so many bits.
-WIDE, WIDE_MOST = 128, 11
+PART, WHOLE = 4, 5
+#: Bits of a set's parity map.
+MAP_BITS = 1024
+#: A bucket of so many sets gives all its pairs at once; a larger one goes on in rounds.
+FEW = 32
+#: Hashes that fill buckets and therefore come last in the order of all hashes: at most so many.
+COMMON_HASHES = 50_000
+_FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+
+
+def shingles_of(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles of SHINGLE words; all words in one if there are fewer."""
+    from xxhash import xxh64_intdigest as digest
+
+    words = (text or "").encode().lower().split()
+    if len(words) < SHINGLE:
+        return np.array([digest(b" ".join(words))], np.uint64)
+    one = np.array([digest(w) for w in words], np.uint64)
+    n = len(one) - SHINGLE + 1
+    x = one[:n] * _FACTORS[0]
+    for k in range(1, SHINGLE):
+        x += one[k : k + n] * _FACTORS[k]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(x ^ (x >> np.uint64(31)))
+
+
+def prefix_of(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order of all hashes, where ``common`` (sorted) ones come last.
+
+    Two sets with a similarity of PART / WHOLE share at least that part of the larger one, so they
+    have one of these hashes in common, whatever the order is.
+    """
+    n = len(shingles) - (PART * len(shingles) + WHOLE - 1) // WHOLE + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        late = common[at] == shingles
+        if late[:n].any():
+            return np.concatenate([shingles[~late], shingles[late]])[:n]
+    return shingles[:n]
+
+
+def parity_map(shingles: np.ndarray) -> bytes:
+    """MAP_BITS bits, each the parity of the hashes that fall on it: maps differ in no more bits than sets in hashes."""
+    odd = np.bincount((shingles & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _shingle_rows(common: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest as digest
+
+        for pdf in batches:
+            for first in range(0, len(pdf), 1000):
+                part = pdf.iloc[first : first + 1000]
+                sets = [shingles_of(t) for t in part["text"]]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "h": part["h"],
+                    "s": np.array([digest(x.tobytes()) for x in sets], np.uint64).view(np.int64),
+                    "n": np.array([len(x) for x in sets], np.int32),
+                    "map": [parity_map(x) for x in sets],
+                    "keys": [prefix_of(x, common).view(np.int64) for x in sets],
+                })
+
+    return run
+
+
+def _prefix_keys(text: Column) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([prefix_of(shingles_of(t), np.zeros(0, np.uint64)).view(np.int64) for t in texts.tolist()], dtype=object)
+
+    return of(text)
+
+
+def _shingle_set(text: Column) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles_of(t).view(np.int64) for t in texts.tolist()], dtype=object)
+
+    return of(text)
+
+
+def _pairs_in(s: np.ndarray, n: np.ndarray, maps: np.ndarray | None, roots: np.ndarray | None, rows: range) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket's given rows with later ones that no bound rules out and no group holds already."""
+    a, b = [], []
+    for i in rows:
+        size, other = int(n[i]), n[i + 1 :]
+        ok = (WHOLE * np.minimum(other, size) >= PART * np.maximum(other, size)) & (s[i + 1 :] != s[i])
+        if roots is not None:
+            ok &= roots[i + 1 :] != roots[i]
+        later = i + 1 + np.flatnonzero(ok)
+        if maps is not None and len(later):
+            apart = np.bitwise_count(maps[later] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            later = later[(PART + WHOLE) * apart <= (WHOLE - PART) * (n[later] + size)]
+        a.append(np.full(len(later), s[i]))
+        b.append(s[later])
+    return (np.concatenate(a), np.concatenate(b)) if a else (s[:0], s[:0])
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of sorted rows that hold whole buckets."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        if held[0]["key"].iat[0] == pdf["key"].iat[-1]:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        end = int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iat[-1]))
+        held = [whole.iloc[end:]]
+        yield whole.iloc[:end]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
-def _joined(a: Column, b: Column, by: int) -> Column:
-    """Hashes of an item of ``a`` and the item of ``b`` that stands ``by`` places later."""
+def _bucket_pairs(first: int | None, last: int | None):
+    """Pairs of the small buckets, or those of the rows ``first`` to ``last`` of large ones; (null, null) says that a bucket has more."""
 
-    def pairs(n: Column) -> Column:
-        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(batches):
+            key, s, n = pdf["key"].to_numpy(), pdf["s"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(heads, len(key)))
+            out, more = [], False
+            picked = (sizes > 1) & (sizes <= FEW) if first is None else sizes > first + 1
+            for head, size in zip(heads[picked].tolist(), sizes[picked].tolist(), strict=True):
+                at = slice(head, head + size)
+                if first is None:
+                    out.append(_pairs_in(s[at], n[at], None, None, range(size - 1)))
+                    continue
+                roots = pdf["root"].to_numpy()[at]
+                if (roots == roots[0]).all():
+                    continue
+                maps = np.frombuffer(b"".join(pdf["map"].iloc[at]), np.uint64).reshape(size, -1)
+                for i in range(first, min(last, size - 1), 256):
+                    a, b = _pairs_in(s[at], n[at], maps, roots, range(i, min(i + 256, last, size - 1)))
+                    if len(a):
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False})
+                more = more or bool((roots[last:] != roots[-1]).any())
+            if out:
+                a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": False})
+            if more:
+                yield pd.DataFrame({"a": [0], "b": [0], "more": [True]})
 
-    return let(F.greatest(F.size(b) - by, F.lit(0)), pairs)
+    return run
 
 
-def shingle_sketch(text: Column) -> Column:
-    """The SKETCH smallest hashes of a text's shingles of SHINGLE words; all words in one if there are fewer."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _in_buckets(rows: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    # Rows stand in the same order in every bucket, so buckets of one group share their first rows.
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("s"))
+    return ordered.mapInPandas(_bucket_pairs(first, last), "a long, b long, more boolean").distinct()
 
-    def shingles(one: Column) -> Column:
-        five = let(_joined(one, one, 1), lambda two: let(_joined(two, two, 2), lambda four: _joined(four, one, 4)))
-        return F.when(F.size(one) >= SHINGLE, five).otherwise(F.array(F.xxhash64(one)))
 
-    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
-    short = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return F.slice(F.array_sort(F.array_distinct(short)), 1, SKETCH)
+def near_links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(u, v) of shingle sets: links of a similarity of SIMILAR or more that join all groups of such links.
 
+    ``nodes`` has a row (s, n, map, h) for each set, with the hash of one of its texts; ``buckets``
+    the rows (key, s, n). A pair is checked on its complete sets or ruled out by its sizes or its
+    parity maps, both of which are bounds that no near pair fails; or else its sets are joined
+    over checked links already.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        def side(x: str) -> DataFrame:
+            return nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
+
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = cut(both.where(_maps_near(F.col("mapa"), F.col("mapb"), F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "near-close")
+        asked = close.select(F.col("a").alias("s")).unionByName(close.select(F.col("b").alias("s"))).distinct()
+        read = docs.select(F.md5(text.cast("binary")).alias("h"), text.alias("text")).join(nodes.join(asked, "s", "left_semi").select("s", "h"), "h")
+        sets = cut(read.select("s", _shingle_set(F.col("text")).alias("x")).dropDuplicates(["s"]), "near-sets")
+        met = close.join(sets.select(F.col("s").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("s").alias("b"), F.col("x").alias("xb")), "b")
+        shared = F.size(F.array_intersect("xa", "xb"))
+        return cut(met.where((PART + WHOLE) * shared >= PART * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+
+    links = checked(cut(_in_buckets(buckets).select("a", "b"), "near-pairs"))
+    large = buckets.groupBy("key").count().where(F.col("count") > FEW).select("key")
+    large = cut(buckets.join(large, "key", "left_semi").join(nodes.select("s", "map"), "s"), "near-large")
+    first, last, more = 0, 8, not large.isEmpty()
+    while more:
+        roots = components(links).withColumnRenamed("node", "s")
+        rows = large.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+        found = cut(_in_buckets(rows, first, last), "near-pairs")
+        more = not found.where("more").isEmpty()
+        links = links.unionByName(checked(found.where("not more").select("a", "b")))
+        first, last = last, 4 * last
+    return links
+
+
+def _maps_near(a: Column, b: Column, sizes: Column) -> Column:
+    @F.pandas_udf(T.BooleanType())
+    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for one, two, total in batches:
+            if not len(one):
+                yield pd.Series([], dtype=bool)
+                continue
+            x, y = (np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (one, two))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pd.Series((PART + WHOLE) * apart <= (WHOLE - PART) * total.to_numpy())
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts from their sketches."""
-    low = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return let(low, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
+    return of(a, b, sizes)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id, with its columns as they were.
 
-    Candidates are pairs of fingerprints of distinct words within WIDE_MOST bits; those are
-    near-duplicates whose shingles of five words have a similarity of 0.8 or more, and groups are
-    what such links connect. Null texts are copies of empty ones; null ids come last. Of
-    repeated rows one stays. An empty table gives an empty result.
+    Near-duplicates are texts whose sets of shingles of five words have a similarity of 0.8 or
+    more, and groups are what such links connect. Candidates are the sets that share one of their
+    first hashes in an order of all hashes (see ``prefix_of``), which misses no such pair. Null
+    texts are copies of empty ones; null ids come last. Of repeated rows one stays. An empty table
+    gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut(docs.select("doc_id", F.md5(text.cast("binary")).alias("h"), fingerprint(text, 1, WIDE, True).alias("fp")), "near-rows")
-    nodes = cut(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "near-nodes")
-    prints = cut(nodes.groupBy("fp").agg(F.min("h").alias("rep")), "near-prints")
-    links = forest_links(prints.select("fp"), WIDE, WIDE_MOST)
-    named = prints.select(fingerprint_hex(F.col("fp")).alias("x"), "rep")
-    far = links.join(named.select(F.col("x").alias("u"), F.col("rep").alias("a")), "u").join(named.select(F.col("x").alias("v"), F.col("rep").alias("b")), "v")
-    same = nodes.join(prints, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    whole = docs.select(F.md5(text.cast("binary")).alias("h"), shingle_sketch(F.col("text")).alias("sketch"))
-    sketches = cut(whole.join(asked, "h", "left_semi").dropDuplicates(["h"]), "near-sketches")
-    one, two = sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sb"))
-    near = pairs.join(one, "a").join(two, "b").where(similarity(F.col("sa"), F.col("sb")) >= SIMILAR)
-    groups = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = nodes.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    full = docs.select(F.explode(_prefix_keys(text)).alias("key")).groupBy("key").count().where(F.col("count") > FEW)
+    common = [r["key"] for r in full.orderBy(F.desc("count"), "key").limit(COMMON_HASHES).collect()]
+    common = np.sort(np.array(common, np.int64).view(np.uint64))
+    given = docs.select("doc_id", F.md5(text.cast("binary")).alias("h"), text.alias("text"))
+    kind = given.schema["doc_id"].dataType.simpleString()
+    rows = given.mapInPandas(_shingle_rows(common), f"doc_id {kind}, h string, s long, n int, map binary, keys array<long>")
+    rows = cut(rows, "near-rows")
+    firsts = [F.first(c).alias(c) for c in ("n", "map", "keys")]
+    nodes = cut(rows.groupBy("s").agg(F.min("h").alias("h"), *firsts), "near-nodes")
+    groups = components(near_links(docs, nodes.drop("keys"), nodes.select(F.explode("keys").alias("key"), "s", "n")))
+    least = rows.groupBy("s", "h").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h"))
     winners = rooted.groupBy("root").agg(first.alias("w")).select(F.col("w.least").alias("__id"), F.col("w.h").alias("__w"))
     keyed = docs.withColumn("__h", F.md5(text.cast("binary")))

@@ -243,6 +243,20 @@ def test_near_candidates_miss_no_pair(spark):
     assert len(want) < len(texts) - 60 and near_left(spark, texts) == want
 
 
+def test_near_links_in_large_buckets(spark):
+    r, texts = random.Random(4), []
+    words = [f"w{i}" for i in range(100)]
+    head = " ".join(f"head{i}" for i in range(60))
+    for k in range(2 * simhash.FEW):
+        mixed = r.sample(words, 100)  # one set of words, so one fingerprint, in orders of their own
+        texts += [" ".join(mixed), " ".join(mixed[:-2] + mixed[:-3:-1])]
+        own = head + " " + " ".join(f"own{k}x{i}" for i in range(60))  # a head that many unlike texts share
+        texts += [own, own + " end"]
+        texts.append(" ".join(f"copy{i}" if i != k else "edit" for i in range(120)))  # a large group of near copies
+    want = near_want(texts)
+    assert len(want) == 4 * simhash.FEW + 1 and near_left(spark, texts) == want
+
+
 def test_edit_report(docs, none, rows):
     got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in multiset_hash.edit_report(docs).collect())
     signed = {t: r for t, r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect()}

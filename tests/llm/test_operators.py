@@ -257,6 +257,15 @@ def test_near_links_in_large_buckets(spark):
     assert len(want) == 4 * simhash.FEW + 1 and near_left(spark, texts) == want
 
 
+def test_near_similarity_is_exact_for_long_texts(spark):
+    texts = []
+    for m in range(100, 122):
+        w = prose(700 + m, 1000).split()
+        texts += [" ".join(w), " ".join(w[:-m] + [f"other{i}" for i in range(m)])]
+    want = near_want(texts)
+    assert len(texts) // 2 < len(want) < len(texts) and near_left(spark, texts) == want
+
+
 def test_edit_report(docs, none, rows):
     got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in multiset_hash.edit_report(docs).collect())
     signed = {t: r for t, r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect()}

@@ -326,6 +326,20 @@ def test_contamination_and_slots(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def held_items(spark, items: list[str], texts: list[str]) -> set[tuple[int, int]]:
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(data, bench).collect()}
+
+
+def test_slots_are_judged_by_place(spark):
+    item = "If Anna buys 12 apples and 7 pears for 3 km of road then how much will Anna pay in the end"
+    one = item.replace("12", "45").replace("7 pears", "2 pears").replace("3 km", "6 km")
+    two = item.replace("12", "31").replace("7 pears", "8 pears").replace("3 km", "4 km")
+    texts = [f"{one}. {two}", f"{item}. {one}", item.replace("12", "5").replace("7 pears", "5 pears"), prose(5, 90)]
+    assert held_items(spark, [item], texts) == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_shards_are_even_gapless_and_keep_copies(spark, docs, none):
     texts = [(i, prose(i, 30 + i % 50)) for i in range(900)] + [(2000 + i, prose(9999, 40)) for i in range(20)]
     data = spark.createDataFrame(texts, "doc_id long, text string")

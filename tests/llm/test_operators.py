@@ -340,6 +340,16 @@ def test_slots_are_judged_by_place(spark):
     assert held_items(spark, [item], texts) == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_short_items_and_long_runs(spark):
+    long = " ".join(f"word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60))
+    items = ["What is 12 + 7 - 3?", "Name the largest moon of Saturn", "1 2 3 4 5 plus 6 7 8 9", long, "?"]
+    texts = [
+        "so: what is 12 + 7 - 3? easy", "What is 12 + 7 - 4?", "Name the largest moon of Saturn, please", "the sum 1 2 3 4 5 plus 6 7 8 9 is",
+        " ".join(long.split()[10:40]), " ".join(long.split()[10:25]), prose(5, 90),
+    ]
+    assert held_items(spark, items, texts) == {(0, 0), (2, 1), (3, 2), (4, 3)}
+
+
 def test_shards_are_even_gapless_and_keep_copies(spark, docs, none):
     texts = [(i, prose(i, 30 + i % 50)) for i in range(900)] + [(2000 + i, prose(9999, 40)) for i in range(20)]
     data = spark.createDataFrame(texts, "doc_id long, text string")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written inside the open blocks of ``scratch``, the innermost one last.
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: ``spark.checkpoint.dir`` of the session.
@@ -30,11 +35,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later jobs start there.
 
     The rows survive the loss of any executor, unlike cached or locally checkpointed ones.
+    Inside a block of ``scratch`` the files go at its end.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return _written(df, path)
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Like ``cut``, but the files outlive the innermost block of ``scratch`` (an outer one deletes them at its end)."""
+    path = fresh_path(df.sparkSession, name)
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(path)
+    return _written(df, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose ``cut`` files are deleted at its end; what leaves it must go through ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_OPEN.pop())
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared storage that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)

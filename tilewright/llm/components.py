@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.lineage import cut
+from tilewright.functions.lineage import cut, keep, scratch
 
 MAX_ROUNDS = 60
 
@@ -26,15 +26,18 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (u, v); the root is the least node it reaches.
 
-    Every round is written to the shared folder; only its count and checksum reach the driver.
-    The number of rows never grows beyond that of the edges.
+    Every round is written to the shared folder, and the files of the rounds before go; only its
+    count and checksum reach the driver. The number of rows never grows beyond that of the edges.
     """
-    now = cut(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    spark = edges.sparkSession
+    with scratch(spark):
+        now = keep(edges.where("u <> v").select("u", "v").distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        now = cut(_small_star(cut(_large_star(now), "large-star")), "small-star")
+        with scratch(spark):
+            now = keep(_small_star(cut(_large_star(now), "large-star")), "small-star")
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
+        if state == seen or state[0] == 0:
             break
         seen = state
     else:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.token_output import byte_symbols
+
 #: Code points in a chunk of the splitter, and about as many bytes in a lane of the counter.
 CHUNK = 512
 #: Characters that one pass over a batch takes; longer texts make a pass of their own.
@@ -105,7 +107,7 @@ class Counter:
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.classes = code_point_classes()
         self.next, self.here, self.before = _splitter()
-        to_byte = _byte_symbols()
+        to_byte = byte_symbols()
         self.rank: dict[tuple[bytes, bytes], int] = {}
         self.tokens: set[bytes] = {bytes([b]) for b in range(256)}
         for i, merge in enumerate(model["merges"]):
@@ -299,13 +301,6 @@ class Counter:
         return total
 
 
-def _byte_symbols() -> dict[str, int]:
-    """The printable symbol of each byte in byte-level vocabularies: itself, or from 256 on in turn."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 _COUNTERS: dict[str, Counter] = {}
 
 

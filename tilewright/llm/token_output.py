@@ -12,7 +12,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +21,34 @@ from pyspark.sql import functions as F
 from tilewright.functions.lineage import fresh_path
 from tilewright.functions.tables import small_table
 
-#: Pretokens whose ids a worker remembers.
-MAX_WORDS = 700_000
+#: Bytes that a worker remembers of pretokens with their ids; some 200 of an entry are overhead.
+MEMORY, OVERHEAD = 64 << 20, 200
 #: Fixed value: how byte-level BPE files of this kind split a text into pretokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for the standard library's faster patterns, where no character is of another class there.
-QUICK_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_CONTROLS = re.compile("[\x1c-\x1f]").search
 ORC_OPTIONS = {"orc.compress": "ZSTD", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.fpp": "0.01"}
 
 
+class _Memory(dict):
+    """Ids, as bytes, of the strings that came first, which has all frequent ones; beyond ``free`` bytes the rest is made anew each time."""
+
+    def __init__(self, make, free: int):
+        super().__init__()
+        self.make, self.free = make, free
+
+    def __missing__(self, key: str) -> bytes:
+        coded = self.make(key)
+        cost = OVERHEAD + 4 * len(key) + len(coded)
+        if cost <= self.free:
+            self.free -= cost
+            self[key] = coded
+        return coded
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct pretoken.
 
-    Standing alone, a pretoken splits and encodes as it does inside its text, so the ids of a
-    text are those of its pretokens in a row.
+    Standing alone, a pretoken encodes as it does inside its text, so the ids of a text are those
+    of its pretokens in a row.
     """
 
     def __init__(self, path: str):
@@ -44,23 +56,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.exact = regex.compile(SPLIT).findall
-        self.quick = re.compile(QUICK_SPLIT).findall
-        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        differ = set()
-        for ours, theirs in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s")):
-            differ |= set(re.findall(ours, text)) ^ set(regex.findall(theirs, text))
-        # Characters beyond the basic plane all go the exact way, which keeps this class a fast one.
-        near = "".join(map(re.escape, sorted(c for c in differ if ord(c) < 0x10000)))
-        self.odd, self.far = re.compile(f"[{near}]").search, re.compile("[\U00010000-\U0010ffff]").search
+        self.model = self.library.model
+        self.symbols = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
+        self.pretokens = _Memory(self._one, MEMORY)
+        self.exact, self.quick = regex.compile(SPLIT).findall, re.compile(_quick_split()).findall
+        self.far = re.compile("[\U00010000-\U0010ffff]").search
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[str, bytes] = {}
+
+    def _one(self, pretoken: str) -> bytes:
+        if pretoken in self.special:
+            ids = [self.special[pretoken]]
+        else:  # the model is the library's last step, after the bytes have got their symbols
+            ids = [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.symbols))]
+        return array("i", ids).tobytes()
 
     def _split(self, text: str) -> list[str]:
-        quick = not _CONTROLS(text) if text.isascii() else not (self.odd(text) or self.far(text))
-        return self.quick(text) if quick else self.exact(text)
+        return self.exact(text) if self.far(text) else self.quick(text)
 
     def _words(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
@@ -70,23 +81,33 @@ class Encoder:
             parts = [q for p in parts for q in ([p] if p in self.special else _between(p, s))]
         return [w for p in parts for w in ([p] if p in self.special else self._split(p))]
 
-    def _learn(self, new: list[str]) -> None:
-        # One call a pretoken: the library's batches cost more than they save on texts this short.
-        for w in new:
-            self.known[w] = array("i", self.library.encode(w, add_special_tokens=False).ids).tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        words = [self._words(t) for t in texts]
-        new = list(set(chain.from_iterable(words)) - self.known.keys())
-        kept = max(0, MAX_WORDS - len(self.known))
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in words]
-        for w in new[kept:]:  # the memory holds what came first, which has all frequent words
-            del self.known[w]
+        return [b"".join(map(self.pretokens.__getitem__, self._words(t))) for t in texts]
+
+
+def _quick_split() -> str:
+    """SPLIT for the standard library's faster patterns, right for texts of the basic plane: its classes are listed by ranges."""
+    import regex
+
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(kind: str) -> str:
+        out = ""
+        for m in regex.finditer(f"{kind}+", plane):
+            out += re.escape(m.group()[0]) + "-" + re.escape(m.group()[-1])
         return out
 
+    letter, number, space = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")
+    return rf" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{letter}{number}{space}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+def byte_symbols() -> dict[str, int]:
+    """The printable symbol of each byte in byte-level vocabularies: itself, or from 256 on in turn."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
 
 def _between(text: str, mark: str) -> list[str]:
     """The text's parts with the mark between them, empty parts left out."""

@@ -87,17 +87,17 @@ def dice_loss(ev: DataFrame, k: int, classes: Sequence[int], eps: float = EPS) -
 def gdice_sample(ev: DataFrame, k: int, eps: float = EPS) -> DataFrame:
     """Generalized dice loss with a weight for each sample and class; mean over samples."""
     sums = planes(ev, k).groupBy("sample", "k").agg(F.sum("hot").alias("t"), F.sum("prob").alias("p"), F.sum(F.col("hot") * F.col("prob")).alias("i"))
-    w = 1 / (F.col("t") * F.col("t") + eps) + eps
+    w = 1 / (F.col("t") * F.col("t") + eps)
     per = sums.withColumn("w", w).groupBy("sample").agg(F.sum(F.col("w") * F.col("i")).alias("i"), F.sum(F.col("w") * (F.col("t") + F.col("p"))).alias("u"))
     return per.agg(F.avg(1 - 2 * (F.col("i") + eps) / (F.col("u") + eps)).alias("gdice_sample"))
 
 
-def gdice(ev: DataFrame, k: int, eps: float = 1e-6) -> DataFrame:
-    """Generalized dice loss with one weight a class over the batch."""
+def gdice(ev: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
+    """Generalized dice loss with one weight a class over the batch; an absent class weighs 1 / eps."""
     sums = planes(ev, k).groupBy("k").agg(F.sum("hot").alias("t"), F.sum("prob").alias("p"), F.sum(F.col("hot") * F.col("prob")).alias("i"))
-    w = 1 / F.greatest(F.col("t") * F.col("t"), F.lit(eps))
+    w = 1 / (F.col("t") * F.col("t") + eps)
     both = sums.agg(F.sum(w * F.col("i")).alias("i"), F.sum(w * (F.col("t") + F.col("p"))).alias("u"))
-    return both.select((1 - 2 * F.col("i") / F.greatest(F.col("u"), F.lit(eps))).alias("gdice"))
+    return both.select((1 - 2 * (F.col("i") + eps) / (F.col("u") + eps)).alias("gdice"))
 
 
 def focal(ev: DataFrame, k: int, gamma: float = 2.0, eps: float = EPS) -> DataFrame:
@@ -121,12 +121,22 @@ def _to_class(row: Column, matrix: Sequence[Sequence[float]], k: int) -> Column:
     return out
 
 
-def gwdice(ev: DataFrame, k: int, matrix: Sequence[Sequence[float]] = WASSERSTEIN, mode: str = "default", reduction: str = "mean", eps: float = 1e-10) -> DataFrame:
+def softmax(ev: DataFrame, k: int) -> DataFrame:
+    """The rows with ``p0``.. as scores turned into probabilities."""
+    top = F.greatest(*[F.col(f"p{i}") for i in range(k)]) if k > 1 else F.col("p0")
+    raised = {f"p{i}": F.exp(F.col(f"p{i}") - top) for i in range(k)}
+    total = sum(raised.values(), F.lit(0.0))
+    return ev.withColumns({name: e / total for name, e in raised.items()})
+
+
+def gwdice(ev: DataFrame, k: int, matrix: Sequence[Sequence[float]] = WASSERSTEIN, mode: str = "default", reduction: str = "mean", eps: float = 1e-10, scores: bool = False) -> DataFrame:
     """Generalized Wasserstein dice loss by sample (``none``), or its mean or sum.
 
     ``default`` weighs true positives by the distance to the background; ``gdl`` weighs classes by
-    one over their size in the sample. Probabilities are taken as they are.
+    one over their size in the sample. ``p0``.. are probabilities, or with ``scores`` the outputs of a
+    network that a softmax has still to turn into such.
     """
+    ev = softmax(ev, k) if scores else ev
     matrix = [list(r[:k]) for r in matrix[:k]]
     top = max(max(r) for r in matrix)
     delta = _to_class(F.col("t"), matrix, k)

@@ -89,3 +89,18 @@ def map_tiles(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataF
                 yield pd.DataFrame({"img": [img], "h": [out.shape[1]], "w": [out.shape[2]], "bands": [out.shape[0]], "data": [out.tobytes()]})
 
     return tiles.mapInPandas(run, "img long, h int, w int, bands int, data binary")
+
+
+def distance_rows(tiles: DataFrame, k: int) -> DataFrame:
+    """(img, k, y, x, dist): signed distances of every pixel of packed masks to each of ``k`` classes; null if a class fills its tile."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for img, h, w, data in zip(pdf["img"], pdf["h"], pdf["w"], pdf["data"], strict=True):
+                mask = np.frombuffer(data, np.uint8)[: h * w].reshape(h, w)
+                y, x = np.mgrid[:h, :w].astype(np.int32)
+                for c in range(k):
+                    dist = signed_distance(mask, c).ravel()
+                    yield pd.DataFrame({"img": img, "k": np.int32(c), "y": y.ravel(), "x": x.ravel(), "dist": pd.array(dist, "Float64") if np.isnan(dist).any() else dist})
+
+    return tiles.mapInPandas(run, "img long, k int, y int, x int, dist double")

@@ -142,29 +142,38 @@ def collapse(mask: DataFrame, classes: int) -> DataFrame:
 
 
 def augment(px: DataFrame, n: int, seed: int, epoch: int = 0) -> DataFrame:
-    """Flip, turn by 90 degrees and shift brightness and contrast, by hashes of the tile.
+    """Flip, turn and shift brightness and contrast, by hashes of the tile.
 
-    One of the two flips with chance one half, a turn with chance one half, and an intensity
-    change of band values with chance one half. Tables without ``v`` (masks, land use) get the
+    One of the two flips with chance one half, none to three quarter turns with chance one half,
+    and an intensity change of band values with chance one half. Tables without ``v`` (masks, land use) get the
     same moves and no intensity change, so they stay aligned.
     """
     unit = lambda k: F.pmod(F.xxhash64("img", F.lit(seed), F.lit(epoch), F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
-    flip, turn = F.when(unit(0) < 0.5, F.when(unit(1) < 0.5, "h").otherwise("v")).otherwise("n"), F.when(unit(2) < 0.5, 1).otherwise(0)
+    flip, turn = F.when(unit(0) < 0.5, F.when(unit(1) < 0.5, "h").otherwise("v")).otherwise("n"), F.when(unit(2) < 0.5, F.floor(unit(6) * 4).cast("int")).otherwise(0)
     out = flip_rot(px.withColumns({"__f": flip, "__t": turn}), n)
     if "v" in px.columns:
-        gain, bias = 1 + (unit(4) - 0.5) * 0.3, (unit(5) - 0.5) * 0.4 * 255
-        value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * gain + bias))
-        out = out.withColumn("v", F.when(unit(3) < 0.5, F.floor(value).cast("int")).otherwise(F.col("v")))
+        changed = unit(3) < 0.5
+        out = intensity(out, F.when(changed, 1 + (unit(4) - 0.5) * 0.3).otherwise(1.0), F.when(changed, (unit(5) - 0.5) * 0.4).otherwise(0.0))
     return out
 
 
+def intensity(px: DataFrame, gain: Column, shift: Column) -> DataFrame:
+    """Values times ``gain`` plus ``shift`` of the tile's mean value, cut to bytes: contrast and brightness."""
+    mean = px.groupBy("img").agg(F.avg("v").alias("__m"))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * gain + shift * F.col("__m")))
+    return px.join(mean, "img").withColumn("v", F.floor(value + 1e-9).cast("int")).drop("__m")
+
+
 def flip_rot(px: DataFrame, n: int, flip: str = "__f", turn: str = "__t") -> DataFrame:
-    """Mirror (h or v, else not) and then turn by ``turn`` times 90 degrees counter-clockwise."""
+    """Mirror (h or v, else not) and then turn by ``turn`` (0 to 3) times 90 degrees counter-clockwise."""
     y = F.when(F.col(flip) == "v", n - 1 - F.col("y")).otherwise(F.col("y"))
     x = F.when(F.col(flip) == "h", n - 1 - F.col("x")).otherwise(F.col("x"))
     out = px.withColumns({"__y": y, "__x": x})
-    turned = F.col(turn) == 1
-    moved = {"y": F.when(turned, n - 1 - F.col("__x")).otherwise(F.col("__y")), "x": F.when(turned, F.col("__y")).otherwise(F.col("__x"))}
+    to, back_y, back_x = F.col(turn), n - 1 - F.col("__y"), n - 1 - F.col("__x")
+    moved = {
+        "y": F.when(to == 1, back_x).when(to == 2, back_y).when(to == 3, F.col("__x")).otherwise(F.col("__y")),
+        "x": F.when(to == 1, F.col("__y")).when(to == 2, back_x).when(to == 3, back_y).otherwise(F.col("__x")),
+    }
     return out.withColumns(moved).drop("__y", "__x", flip, turn)
 
 

@@ -55,10 +55,13 @@ def fill_shards(split: DataFrame, size: int, key: str = "tile", seed: int = 1, c
 
 
 def sample_exact(df: DataFrame, key: str, seed: int, n: int | None = None, frac: float | None = None) -> DataFrame:
-    """Exactly n rows, or round(frac * rows) half to even, without replacement."""
+    """Exactly n rows, or round(frac * rows) half to even, without replacement.
+
+    Rows are numbered in the order of key and seed in parallel ranges, so no task gets them all.
+    """
     if n is None:
         n = round(frac * df.count())
-    return df.orderBy(seeded(F.col(key), seed), key).limit(n)
+    return with_index(df, [seeded(F.col(key), seed), F.col(key)], "__i").where(F.col("__i") < n).drop("__i")
 
 
 def all_keys(tiles: DataFrame, n: int, tile: str = "tile") -> DataFrame:
@@ -155,6 +158,15 @@ def batch_manifest(samples: DataFrame, key: str, size: int, extra: Sequence[int]
     return out.where(F.col("batch_id") < samples.count() // main) if drop_last else out
 
 
+def extra_sets(names: Sequence[str], sizes: Sequence[int], folders: int = 1) -> dict[str, int]:
+    """Size in each batch by extra set; needs as many sizes as sets, and a single folder that is split here."""
+    if names and folders > 1:
+        raise ValueError("extra sets can't be combined with folders that are split already")
+    if len(names) != len(sizes):
+        raise ValueError(f"{len(names)} extra sets and {len(sizes)} sizes")
+    return dict(zip(names, sizes, strict=True))
+
+
 def split_like(extra: DataFrame, main: DataFrame, key: str = "shard") -> DataFrame:
     """Split the extra set by the share of train shards in the main set, which has ``part``."""
     total, train = main.select(key, "part").distinct().agg(F.count("*"), F.count_if(F.col("part") == "train")).first()

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,26 +43,29 @@ def linear_model(weights: Sequence[Sequence[float]]) -> Model:
     return make
 
 
-def pack_tiles(px: DataFrame, n: int) -> DataFrame:
-    """Pixel rows to packed tiles; pixels that are absent beside present ones are 0."""
-    value = F.struct((F.col("band") - 1).alias("b"), "y", "x", "v")
-    grouped = px.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.max("band").alias("bands"), F.collect_list(value).alias("px"))
+def pack_tiles(px: DataFrame, n: int, value: str = "v") -> DataFrame:
+    """Pixel rows to packed tiles; pixels that are absent beside present ones are 0. Without bands a tile has one."""
+    band = F.col("band") if "band" in px.columns else F.lit(1)
+    one = F.struct((band - 1).cast("int").alias("b"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("int").alias("v"))
+    grouped = px.groupBy("img").agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"), F.max(band).cast("int").alias("bands"), F.collect_list(one).alias("px"))
 
-    def pack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            img, h, w, bands, listed = batch.columns
+            ends = listed.offsets.to_numpy()
+            b, y, x, v = (c.to_numpy() for c in listed.values.flatten())
             data = []
-            for h, w, bands, rows in zip(pdf["h"], pdf["w"], pdf["bands"], pdf["px"], strict=True):
-                tile = np.zeros((bands, h, w), np.uint8)
-                for r in rows:
-                    tile[r["b"], r["y"], r["x"]] = r["v"]
+            for i, (rows, cols, depth) in enumerate(zip(h.to_pylist(), w.to_pylist(), bands.to_pylist(), strict=True)):
+                tile, at = np.zeros((depth, rows, cols), np.uint8), slice(ends[i], ends[i + 1])
+                tile[b[at], y[at], x[at]] = v[at]
                 data.append(tile.tobytes())
-            yield pdf[["img", "h", "w", "bands"]].assign(data=data)
+            yield pa.RecordBatch.from_arrays([img, h, w, bands, pa.array(data, pa.binary())], ["img", "h", "w", "bands", "data"])
 
-    return grouped.mapInPandas(pack, "img long, h int, w int, bands int, data binary")
+    return grouped.withColumn("img", F.col("img").cast("long")).mapInArrow(pack, "img long, h int, w int, bands int, data binary")
 
 
-def _classes(fn: Callable, tile: np.ndarray, n: int, d: int) -> np.ndarray:
-    """Class of every pixel of a tile: pad, cut, score the needed subtiles in batches, stitch, crop."""
+def _classes(fn: Callable, tile: np.ndarray, n: int, d: int, stats: tuple[Sequence[float], Sequence[float]] | None) -> np.ndarray:
+    """Class of every pixel of a tile: pad, cut, normalise and score the needed subtiles in batches, stitch, crop."""
     bands, h, w = tile.shape
     full = np.zeros((bands, n, n), np.uint8)
     full[:, :h, :w] = tile
@@ -70,14 +74,32 @@ def _classes(fn: Callable, tile: np.ndarray, n: int, d: int) -> np.ndarray:
     wanted = [i for i in range(k * k) if i // k < -(-h // d) and i % k < -(-w // d)]
     out = np.zeros((k * k, d, d), np.uint8)
     for part in batches_of(wanted, BATCH):
-        got = np.asarray(fn(subs[part].astype(np.float64) / 255.0))
-        if got.ndim != 4 or got.shape[0] != len(part):
-            raise ValueError(f"the model gave {got.shape} for {len(part)} subtiles")
-        out[part] = got.argmax(axis=1)
+        scaled = subs[part].astype(np.float64) / 255.0
+        if stats is not None:
+            mean, std = (np.asarray(s, np.float64)[:bands, None, None] for s in stats)
+            scaled = (scaled - mean) / std
+        out[part] = infer(fn, scaled)
     return unblock_array(out[:, None], n)[0, :h, :w]
 
 
-def _score(tiles: DataFrame, models: Sequence[Model], n: int, d: int) -> DataFrame:
+def infer(fn: Callable, batch: np.ndarray) -> np.ndarray:
+    """Classes by a model: one subtile alone is a batch of one, and a model of three bands (``fn.bands``) gets the first three of four."""
+    if not isinstance(batch, np.ndarray):
+        raise TypeError(f"a model needs an array, not {type(batch).__name__}")
+    one = batch.ndim == 3
+    batch = batch[None] if one else batch
+    if batch.ndim != 4:
+        raise ValueError(f"a model needs subtiles x bands x rows x columns, not {batch.shape}")
+    if getattr(fn, "bands", None) == 3 and batch.shape[1] == 4:
+        batch = batch[:, :3]
+    got = np.asarray(fn(batch))
+    if got.ndim != 4 or got.shape[0] != len(batch) or got.shape[2:] != batch.shape[2:]:
+        raise ValueError(f"the model gave {got.shape} for {batch.shape}")
+    classes = got.argmax(axis=1)
+    return classes[0] if one else classes
+
+
+def _score(tiles: DataFrame, models: Sequence[Model], n: int, d: int, stats: tuple[Sequence[float], Sequence[float]] | None) -> DataFrame:
     if n % d:
         raise ValueError(f"subtiles of {d} don't divide tiles of {n}")
 
@@ -87,7 +109,7 @@ def _score(tiles: DataFrame, models: Sequence[Model], n: int, d: int) -> DataFra
             out = []
             for h, w, bands, data in zip(pdf["h"], pdf["w"], pdf["bands"], pdf["data"], strict=True):
                 tile = np.frombuffer(data, np.uint8).reshape(bands, h, w)
-                votes = np.stack([_classes(fn, tile, n, d) for fn in made])
+                votes = np.stack([_classes(fn, tile, n, d, stats) for fn in made])
                 counts = np.stack([(votes == c).sum(0) for c in range(int(votes.max()) + 1)])
                 out.append(counts.argmax(0).astype(np.uint8).tobytes())  # the first maximum is the smallest class
             yield pdf[["img", "h", "w"]].assign(data=out)
@@ -97,16 +119,19 @@ def _score(tiles: DataFrame, models: Sequence[Model], n: int, d: int) -> DataFra
     return tiles.where(~blank).mapInPandas(run, "img long, h int, w int, data binary")
 
 
-def score_tiles(tiles: DataFrame, model: Model, n: int, d: int) -> DataFrame:
-    """(img, h, w, data): class of every pixel by one model; tiles without data are left out."""
-    return _score(tiles, [model], n, d)
+def score_tiles(tiles: DataFrame, model: Model, n: int, d: int, stats: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
+    """(img, h, w, data): class of every pixel by one model; tiles without data are left out.
+
+    The model gets values from 0 to 1, or with ``stats`` (means and deviations by band) normalised ones.
+    """
+    return _score(tiles, [model], n, d, stats)
 
 
-def score_ensemble(tiles: DataFrame, models: Sequence[Model], n: int, d: int) -> DataFrame:
+def score_ensemble(tiles: DataFrame, models: Sequence[Model], n: int, d: int, stats: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
     """The same by the vote of an odd number of models over the same pass; the smallest class wins ties."""
     if len(models) % 2 == 0:
         raise ValueError("an even number of models can't vote")
-    return _score(tiles, models, n, d)
+    return _score(tiles, models, n, d, stats)
 
 
 def unpack_classes(scored: DataFrame) -> DataFrame:

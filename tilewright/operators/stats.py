@@ -32,11 +32,11 @@ def band_stats(px: DataFrame, n: int, d: int, compat: bool = False) -> DataFrame
     return sums.select("band", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "cnt")
 
 
-def stats_report(stats: DataFrame) -> DataFrame:
-    """(report): JSON of the results by band."""
+def stats_report(stats: DataFrame, sources: Sequence[str] = (), frac: float = 1.0) -> DataFrame:
+    """(report): JSON of the sources, the date, the share of tiles, the number of subtiles and the results by band."""
     entry = F.struct(F.col("band").cast("string").alias("k"), F.struct(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")).alias("v"))
     results = F.map_from_entries(F.array_sort(F.collect_list(entry)))
-    return stats.agg(F.to_json(F.struct(F.max("cnt").alias("subtiles"), results.alias("results"))).alias("report"))
+    return stats.agg(F.to_json(F.struct(F.array(*map(F.lit, sources)).cast("array<string>").alias("sources"), F.current_timestamp().cast("string").alias("date"), F.lit(frac).alias("frac"), F.max("cnt").alias("subtiles"), results.alias("results"))).alias("report"))
 
 
 def subtile_frac(mask: DataFrame, n: int, d: int) -> DataFrame:
@@ -85,6 +85,14 @@ def forest_share(pred: DataFrame, forest: DataFrame, pixels: int, limit: float =
     return sums.select("yr", "img", share(F.col("a")).alias("conifer"), share(F.col("b")).alias("broadleaf"), share(F.col("a") + F.col("b")).alias("total"))
 
 
+def require_predictions(pred: DataFrame, forest: DataFrame) -> DataFrame:
+    """The predictions; a tile with land use but without a prediction is an error."""
+    lost = forest.select("img").distinct().join(pred.select("img").distinct(), "img", "left_anti").orderBy("img").limit(5).collect()
+    if lost:
+        raise ValueError(f"no prediction for tiles {[r['img'] for r in lost]}")
+    return pred
+
+
 def pred_fraction(pred: DataFrame, mode: str = "nonzero") -> DataFrame:
     """(yr, img, fraction): share of pixels with a class, or the sum of classes over the pixels (``sum``)."""
     value: Column = F.sum("cls") / F.count("*") if mode == "sum" else F.avg((F.col("cls") != 0).cast("int"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators import evaluate as ev
+from tilewright.operators import packed as pk
 from tilewright.operators import raster as ra
 from tilewright.operators import sampling as sa
 from tilewright.operators import score as sc
@@ -122,9 +123,15 @@ _add("normalize", "px", ra.normalize, f"select img, band, y, x, {_NORM} as v fro
 _add("denormalize", "px", lambda p: ra.denormalize(ra.normalize(p)), "select * from px where band <= 3")
 _add("collapse", "mask_px", lambda m: ra.collapse(m, 2), "select img, y, x, least(cls, 1) as cls from mask_px")
 _add("select_bands", "px", lambda p: ra.select_bands(p, 3), "select * from px where band <= 3")
-_add("flip_rot", "px", lambda p: ra.flip_rot(p.where("img % 16 <> 3").withColumns({"__f": F.when(F.col("img") % 2 == 0, "h").otherwise("v"), "__t": (F.col("img") % 3 == 0).cast("int")}), N), """
-with f as (select img, band, case when img % 2 = 1 then 7 - y else y end as y, case when img % 2 = 0 then 7 - x else x end as x, v from px where img % 16 <> 3)
-select img, band, case when img % 3 = 0 then 7 - x else y end as y, case when img % 3 = 0 then y else x end as x, v from f""")
+_add("flip_rot", "px", lambda p: ra.flip_rot(ra.pad(p, N).withColumns({"__f": F.when(F.col("img") % 2 == 0, "h").otherwise("v"), "__t": (F.col("img") % 4).cast("int")}), N), f"""
+with k as (select distinct img, band from px), g as ({_GRID}),
+a as (select k.img, k.band, g.y, g.x, coalesce(p.v, 0) as v from k cross join g left join px p on p.img = k.img and p.band = k.band and p.y = g.y and p.x = g.x),
+f as (select img, band, case when img % 2 = 1 then 7 - y else y end as y, case when img % 2 = 0 then 7 - x else x end as x, v from a)
+select img, band, case img % 4 when 1 then 7 - x when 2 then 7 - y when 3 then x else y end as y, case img % 4 when 1 then y when 2 then 7 - x when 3 then 7 - y else x end as x, v from f""")
+_add("intensity", "px", lambda p: ra.intensity(p, F.when(F.col("img") % 2 == 0, 1.125).otherwise(0.875), F.when(F.col("img") % 3 == 0, 0.25).otherwise(-0.125)), """
+with m as (select img, avg(v) as m from px group by img)
+select p.img, p.band, p.y, p.x, cast(floor(greatest(0, least(255, v * case when p.img % 2 = 0 then 1.125::double else 0.875::double end + case when p.img % 3 = 0 then 0.25::double else -0.125::double end * m)) + 1e-9) as int) as v
+from px p join m on p.img = m.img""")
 _add("one_hot", "mask_px", lambda m: ra.one_hot(m, 3), "select m.img, m.y, m.x, cast(k.i as int) as k, cast(m.cls = k.i as int) as hot from mask_px m, range(3) k(i)")
 _add("argmax", "eval_px", lambda e: e.groupBy(ra.argmax(F.array("p0", "p1", "p2")).alias("cls")).agg(F.count("*").alias("n")), """
 select cast(case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as int) as cls, count(*) as n from eval_px group by 1""")
@@ -134,8 +141,14 @@ d as (select a.img, a.k, a.y, a.x, a.hot, bool_or(b.hot) as present, min(case wh
       from h a join h b on a.img = b.img and a.k = b.k group by all),
 z as (select img, k, y, x, case when not present then 0 when hot then 1 - sqrt(s) else sqrt(s) end as dist from d)
 """
-_add("distance_map", "mask_px", lambda m: ra.distance_map(m, 3), _DIST + "select * from z")
-_add("boundary", "mask_px", lambda m: ev.boundary(ra.one_hot(m, 3).select("img", "k", "y", "x", (F.lit(0.2) + 0.5 * F.col("hot")).alias("prob")), ra.distance_map(m, 3)), _DIST + """
+
+
+def _distances(m: DataFrame) -> DataFrame:
+    return pk.distance_rows(sc.pack_tiles(m, N, "cls"), 3)
+
+
+_add("distance_map", "mask_px", _distances, _DIST + "select * from z")
+_add("boundary", "mask_px", lambda m: ev.boundary(ra.one_hot(m, 3).select("img", "k", "y", "x", (F.lit(0.2) + 0.5 * F.col("hot")).alias("prob")), _distances(m)), _DIST + """
 select avg((0.2 + 0.5 * cast(m.cls = z.k as int))::double * z.dist) as boundary from z join mask_px m on m.img = z.img and m.y = z.y and m.x = z.x where z.k > 0""")
 _add("preview", "mask_px", ra.preview, "select img, y, x, (cls * 255) % 256 as v from mask_px")
 _FRAC = f"with f as (select img, {_SUB} as sub, count(*) filter (cls <> 0) as n_pos, round(count(*) filter (cls <> 0) * 100.0::double / 16, 2) as frac from mask_px group by 1, 2) "
@@ -153,8 +166,8 @@ select pid, case when pid % 7 = 0 then null else ty end as ty from polys""")
 _add("overlay_pairs", "grid polys", ve.overlay_pairs, _PAIRS)
 _add("tiles_with_truth", "grid polys", ve.tiles_with_truth, f"select distinct filename from ({_PAIRS})")
 _add("valid_tiles", "grid px", lambda g, p: ve.valid_tiles(g, ra.nodata(p).select(
-    F.format_string("ortho_ms_2019_EPSG3044_%03d_%03d", F.floor(F.col("img") / 10), F.col("img") % 10).alias("filename"), "is_nodata")), """
-select * from grid where filename not in (select 'ortho_ms_2019_EPSG3044_' || lpad(cast(img // 10 as varchar), 3, '0') || '_' || lpad(cast(img % 10 as varchar), 3, '0')
+    F.format_string("ortho_ms_2019_EPSG3044_%03d_%06d", F.floor(F.col("img") / 10), F.col("img") % 10).alias("filename"), "is_nodata")), """
+select * from grid where filename not in (select 'ortho_ms_2019_EPSG3044_' || lpad(cast(img // 10 as varchar), 3, '0') || '_' || lpad(cast(img % 10 as varchar), 6, '0')
 from px where band = 1 group by img having bool_and(v in (0, 255)))""")
 _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cells c left join polys p on {{w}} and {_TOUCH.format(x='c.cx', y='c.cy', s=5)} group by c.filename, c.y, c.x"
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
@@ -266,12 +279,12 @@ _add("class_set", "eval_px", lambda e: ev.class_set(e, 3), "select count(distinc
 _CE = "-sum(hot * ln(prob + 1e-10)) / (sum(hot) + 1e-10)"
 _DL = "(select avg(1 - d) from (select sample, k, (2 * sum(hot * prob) + 1e-10) / (sum(hot + prob) + 1e-10) as d from c where k > 0 group by 1, 2))"
 _FO = "(select -sum(pow(1 - prob, 2) * hot * ln(prob + 1e-10)) / (sum(hot) + 1e-10) from c)"
-_GD = "(select 1 - 2 * sum(i / greatest(t * t, 1e-6)) / greatest(sum((t + p) / greatest(t * t, 1e-6)), 1e-6) from (select k, sum(hot) as t, sum(prob) as p, sum(hot * prob) as i from c group by k))"
+_GD = "(select 1 - 2 * (sum(i / (t * t + 1e-9)) + 1e-9) / (sum((t + p) / (t * t + 1e-9)) + 1e-9) from (select k, sum(hot) as t, sum(prob) as p, sum(hot * prob) as i from c group by k))"
 _add("cross_entropy", "eval_px", lambda e: ev.cross_entropy(e, 3), _PLANES + f"select {_CE} as cross_entropy from c")
 _add("dice_loss", "eval_px", lambda e: ev.dice_loss(e, 3, [1, 2]), _PLANES + f"select {_DL} as dice_loss")
 _add("gdice_sample", "eval_px", lambda e: ev.gdice_sample(e, 3), _PLANES + """
 , s as (select sample, k, sum(hot) as t, sum(prob) as p, sum(hot * prob) as i from c group by 1, 2),
-w as (select *, 1 / (t * t + 1e-10) + 1e-10 as w from s), z as (select sample, sum(w * i) as i, sum(w * (t + p)) as u from w group by 1)
+w as (select *, 1 / (t * t + 1e-10) as w from s), z as (select sample, sum(w * i) as i, sum(w * (t + p)) as u from w group by 1)
 select avg(1 - 2 * (i + 1e-10) / (u + 1e-10)) as gdice_sample from z""")
 _add("gdice", "eval_px", lambda e: ev.gdice(e, 3), _PLANES + f"select {_GD} as gdice")
 _add("focal", "eval_px", lambda e: ev.focal(e, 3), _PLANES + f"select {_FO} as focal")
@@ -280,13 +293,18 @@ _add("gwdice", "eval_px", lambda e: ev.gwdice(e, 3), _GW + """, s as (select sam
 select avg(1 - (2 * tp + 1e-10) / (2 * tp + e + 1e-10)) as gwdice from s""")
 _add("gwdice_samples", "eval_px", lambda e: ev.gwdice(e, 3, reduction="none"), _GW + """, s as (select sample, sum(case when t > 0 then 1 - d else 0 end) as tp, sum(d) as e from d group by 1)
 select sample, 1 - (2 * tp + 1e-10) / (2 * tp + e + 1e-10) as loss from s""")
+_add("gwdice_scores", "eval_px", lambda e: ev.gwdice(e, 3, scores=True), """
+with e as (select sample, t, exp(p0) as a, exp(p1) as b, exp(p2) as c from eval_px),
+d as (select sample, t, (case t when 0 then b + c when 1 then a + 0.5 * c else a + 0.5 * b end::double) / (a + b + c) as d from e),
+s as (select sample, sum(case when t > 0 then 1 - d else 0 end) as tp, sum(d) as e from d group by 1)
+select avg(1 - (2 * tp + 1e-10) / (2 * tp + e + 1e-10)) as gwdice from s""")
 _add("gwdice_gdl", "eval_px", lambda e: ev.gwdice(e, 3, mode="gdl"), _GW + """, q as (select sample, t, count(*) as n, sum(d) as d from d group by 1, 2),
 s as (select sample, sum((n - d) / (n + 1e-10)) as tp, sum(d / (n + 1e-10)) as e from q group by 1) select avg(1 - (2 * tp + 1e-10) / (2 * tp + e + 1e-10)) as gwdice from s""")
 
 
 def _total(e: DataFrame, m: DataFrame) -> DataFrame:
     probs = ra.one_hot(m, 3).select("img", "k", "y", "x", (F.lit(0.2) + 0.5 * F.col("hot")).alias("prob"))
-    return ev.total_score(ev.gdice(e, 3), ev.focal(e, 3), ev.boundary(probs, ra.distance_map(m, 3)), 9)
+    return ev.total_score(ev.gdice(e, 3), ev.focal(e, 3), ev.boundary(probs, _distances(m)), 9)
 
 
 _add("total_score", "eval_px mask_px", _total, _PLANES + ", " + _DIST.strip()[5:] + f"""
@@ -309,6 +327,9 @@ def _scores(weights) -> dict[str, str]:
 
 
 _add("score_linear", "px", lambda p: sc.unpack_classes(sc.score_tiles(sc.pack_tiles(p, N), sc.linear_model(sc.WEIGHTS[0]), N, D)), _LINEAR.format(**_scores(sc.WEIGHTS[0])) + "select img, y, x, cls from r")
+_add("score_normalized", "px", lambda p: sc.unpack_classes(sc.score_tiles(sc.pack_tiles(p, N), sc.linear_model(sc.WEIGHTS[0]), N, D, ((0.5, 0.25, 0.5, 0.75), (0.25, 0.5, 0.125, 0.25)))),
+     _LINEAR.format(**_scores(sc.WEIGHTS[0])).replace("/ 255.0::double as a", "/ 255.0::double as a0").replace("/ 255.0::double as b", "/ 255.0::double as b0").replace("/ 255.0::double as c,", "/ 255.0::double as c0,").replace("/ 255.0::double as d", "/ 255.0::double as d0")
+     .replace("from v)", "from (select *, (a0 - 0.5) / 0.25 as a, (b0 - 0.25) / 0.5 as b, (c0 - 0.5) / 0.125 as c, (d0 - 0.75) / 0.25 as d from v) v)") + "select img, y, x, cls from r")
 _add("score_fraction", "px", lambda p: sc.image_fractions(sc.score_tiles(sc.pack_tiles(p, N), sc.linear_model(sc.WEIGHTS[0]), N, D)), _LINEAR.format(**_scores(sc.WEIGHTS[0])) + """
 select img, avg(case when cls > 0 then 1.0::double else 0 end) as fraction, 'linear' as model_name from r group by img""")
 _ENS = "with " + ", ".join(

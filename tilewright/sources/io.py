@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.functions.lineage import cut
 from tilewright.functions.ordering import with_index
 
 GRID_SCHEMA = "filename string, x1 double, x2 double, y1 double, y2 double"
@@ -17,13 +18,13 @@ STATS_SCHEMA = "tile string, frac double, status int"
 TILE_SCHEMA = "img long, h int, w int, bands int, data binary"
 
 
-def read_tiles(spark: SparkSession, path: str, glob: str = "*", decoder: Callable[[bytes], tuple[int, int, int, bytes]] | None = None) -> DataFrame:
-    """A tile table as Parquet, or with ``decoder`` one tile a file: (path, h, w, bands, data).
+def read_tiles(spark: SparkSession, path: str | list[str], glob: str = "*", decoder: Callable[[bytes], tuple[int, int, int, bytes]] | None = None) -> DataFrame:
+    """A tile table as Parquet from one or several folders, or with ``decoder`` one tile a file: (path, h, w, bands, data).
 
     The decoder gets a file's bytes and gives height, width, bands and band-sequential bytes.
     """
     if decoder is None:
-        return spark.read.option("pathGlobFilter", glob).parquet(path)
+        return spark.read.option("pathGlobFilter", glob).parquet(*([path] if isinstance(path, str) else path))
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
     def decode(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,8 +40,8 @@ def write_tiles(df: DataFrame, path: str, year: str | None = None) -> None:
     (writer.partitionBy(year) if year else writer).parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, glob: str = "*.tar") -> DataFrame:
-    """Tar shards as samples: (shard, pos, key, parts); members of a key are one sample."""
+def read_shards(spark: SparkSession, path: str | list[str], glob: str = "*.tar") -> DataFrame:
+    """Tar shards of one or several folders as samples: (shard, pos, key, parts); members of a key are one sample."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("shard"), "content")
 
@@ -88,7 +89,6 @@ def write_files(df: DataFrame, path: str) -> DataFrame:
 
     Files are written under another name and renamed, so that a task that runs again leaves whole files.
     """
-    spark = df.sparkSession
     if "://" in path and not path.startswith("file://"):
         raise ValueError("tar files are written to mounted folders; use the Parquet sink for object stores")
     local = path.removeprefix("file://")
@@ -106,8 +106,7 @@ def write_files(df: DataFrame, path: str) -> DataFrame:
                 os.replace(part, os.path.join(local, name))
             yield pdf[["name", "samples"]]
 
-    written = df.mapInPandas(put, "name string, samples long").collect()  # one row a shard
-    return spark.createDataFrame(written, "name string, samples long")
+    return cut(df.mapInPandas(put, "name string, samples long"), "written")  # writes the files, once
 
 
 def read_any(spark: SparkSession, path: str, tiles: str = "*.parquet", shards: str = "*.tar") -> DataFrame:
@@ -118,6 +117,11 @@ def read_any(spark: SparkSession, path: str, tiles: str = "*.parquet", shards: s
     return read_shards(spark, path, shards) if n_shards > n_tiles else read_tiles(spark, path, tiles)
 
 
+def to_tuple(samples: DataFrame, *parts: str) -> DataFrame:
+    """(key, and a column for each part): the named parts of every sample (key, parts); one that a sample lacks is null."""
+    return samples.select("key", *[F.col("parts")[p].alias(p) for p in parts])
+
+
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=";", schema=GRID_SCHEMA)
 

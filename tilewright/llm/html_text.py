@@ -3,13 +3,15 @@
 A page becomes a tree of elements. Elements that are never article text (menus, adverts,
 forms, scripts and so on) are left out. Every paragraph passes points for its length and its
 commas to its ancestors, less the further up; a container's points are discounted by the share
-of its text that stands in links. The best container is kept, with those of its siblings that
-score well beside it, and its blocks are put out in page order.
+of its text that stands in links. From the best container the way goes up to the article around
+it; what stands there is kept whole, with those of its siblings that score well beside it and the
+headings that lead them, and the blocks are put out in page order.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,20 +44,29 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element that a new one of the given name closes, unless a barrier stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"ul", "ol", "dl", "table", "menu"}
+#: Elements whose class says nothing about their text.
+UNMARKED = {"html", "body", "article", "main"}
+_COMMENT_END = re.compile(r"--!?>")
+#: Words before a mark that turn it round, and marks of parts that readers write.
+NEGATIONS = {"no", "non", "not", "without", "with", "has", "have", "hide", "free"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
+#: Share of the page's unlinked text above which a compound class name doesn't drop an element.
+MOST = 0.5
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "drop", "score", "size", "linked", "prior")
+    __slots__ = ("tag", "parent", "children", "drop", "doubt", "score", "size", "linked", "prior")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool = False, prior: float = 0.0):
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: _Node | None, drop: bool = False, doubt: str = "", prior: float = 0.0):
+        self.tag, self.parent, self.children, self.drop, self.doubt = tag, parent, [], drop, doubt
         self.score, self.size, self.linked, self.prior = 0.0, 0, 0, prior
 
 
 def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element is never article text, by its tag, role, style, or a class or id that is a mark."""
     if tag in DROPPED:
         return True
     for name, value in attrs:
@@ -67,17 +78,93 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and _HIDDEN.search(value.lower()):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
+        if name in ("class", "id") and tag not in UNMARKED and not MARKS.isdisjoint(value.lower().split()):
             return True
     return False
 
 
+def _doubt(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """A mark that is part of a compound class name or id without a word that turns it round; empty if there is none."""
+    if tag in UNMARKED:
+        return ""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for one in value.lower().split():
+                words = _WORDS.findall(one)
+                marks = [w for i, w in enumerate(words) if w in MARKS and NEGATIONS.isdisjoint(words[:i] + words[i + 1 : i + 2])]
+                if marks:
+                    return "comment" if not COMMENTS.isdisjoint(marks) else marks[0]
+    return ""
+
+
 class _Tree(HTMLParser):
-    """Builds the tree; unclosed and misplaced tags are mended the way browsers do in common cases."""
+    """Builds the tree of a page that is fed at once; unclosed and misplaced tags are mended the way browsers do in common cases.
+
+    Open elements are counted by name, inline ones for each open block, so that an end tag without
+    a start costs nothing and every other one closes what it passes.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("#root", None)
+        self.doubts = False
+        self.open: Counter[str] = Counter()
+        self.blocks: list[tuple[_Node, Counter[str]]] = [(self.root, Counter())]
+
+    # Comments, declarations and tags without an end reach to the end of the page.
+    def parse_comment(self, i, report=True):
+        for short in (">", "->"):
+            if self.rawdata.startswith(short, i + 4):
+                return i + 4 + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def _to_bracket(self, i):
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            return end + 3 if end >= 0 else len(self.rawdata)
+        return self._to_bracket(i)
+
+    def parse_bogus_comment(self, i, report=1):
+        return self._to_bracket(i)
+
+    def parse_pi(self, i):
+        return self._to_bracket(i)
+
+    def parse_starttag(self, i):
+        end = super().parse_starttag(i)
+        return len(self.rawdata) if end < 0 else end
+
+    def parse_endtag(self, i):
+        end = super().parse_endtag(i)
+        return len(self.rawdata) if end < 0 else end
+
+    def _push(self, node: _Node) -> None:
+        self.at.children.append(node)
+        self.at = node
+        self.open[node.tag] += 1
+        if node.tag in BLOCKS:
+            self.blocks.append((node, Counter()))
+        else:
+            self.blocks[-1][1][node.tag] += 1
+
+    def _close(self, node: _Node) -> None:
+        """Close ``node`` and all that is open inside it."""
+        while True:
+            at = self.at
+            self.at = at.parent
+            self.open[at.tag] -= 1
+            if at.tag in BLOCKS:
+                self.blocks.pop()
+            else:
+                self.blocks[-1][1][at.tag] -= 1
+            if at is node:
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -89,43 +176,63 @@ class _Tree(HTMLParser):
             return
         if tag in BLOCKS:
             self._close_paragraph()
-        if tag in CLOSES:
-            node = self.at
-            while node is not self.root and node.tag not in BARRIERS:
+        if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
+            for node, _ in reversed(self.blocks):
+                if node.tag in BARRIERS:
+                    break
                 if node.tag in CLOSES[tag]:
-                    self.at = node.parent
+                    self._close(node)
                     break
-                node = node.parent
-        prior = 25.0 if tag in ("article", "main") else 0.0
-        node = _Node(tag, self.at, _dropped(tag, attrs), prior)
-        self.at.children.append(node)
-        self.at = node
+        drop = _dropped(tag, attrs)
+        doubt = _doubt(tag, attrs) if attrs and not drop else ""
+        self.doubts = self.doubts or bool(doubt)
+        self._push(_Node(tag, self.at, drop, doubt, 25.0 if tag in ("article", "main") else 0.0))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def _close_paragraph(self):
-        node = self.at
-        while node is not self.root and (node.tag == "p" or node.tag not in BLOCKS):
-            if node.tag == "p":
-                self.at = node.parent
-                return
-            node = node.parent
+        block = self.blocks[-1][0]
+        if block.tag == "p":
+            self._close(block)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS:
-                return  # an inline end tag closes nothing outside its block
-            node = node.parent
+        if tag in BLOCKS:
+            if self.open[tag]:
+                self._close(next(node for node, _ in reversed(self.blocks) if node.tag == tag))
+        elif self.blocks[-1][1][tag]:  # an inline end tag closes nothing outside its block
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._close(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
 
 
+def _settle_doubts(root: _Node) -> None:
+    """Drop the elements in doubt, but for those that hold most of the page's unlinked text.
+
+    Parts that readers write hold the article only if its own element or main heading is in them.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        order.append((node, inside))
+        stack += [(c, inside or c.tag == "a") for c in node.children if isinstance(c, _Node) and not c.drop]
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    for node, inside in reversed(order):
+        below = [c for c in node.children if isinstance(c, _Node)]
+        plain[id(node)] = sum(plain.get(id(c), 0) for c in below) + (0 if inside else sum(len(c.strip()) for c in node.children if isinstance(c, str)))
+        if any(c.tag in ("article", "main", "h1") or id(c) in holds for c in below):
+            holds.add(id(node))
+    total = plain[id(root)]
+    for node, _ in order:
+        if node.doubt and (plain[id(node)] <= MOST * total or (node.doubt == "comment" and id(node) not in holds)):
+            node.drop = True
+
+
 def _measure(node: _Node, linked: bool) -> None:
     """Sizes of text and of linked text below each kept element, and the points of its paragraphs."""
     stack = [(node, linked, False)]
@@ -186,32 +293,61 @@ def _is_menu(node: _Node) -> bool:
 
 
 def _blocks(node: _Node, out: list[str]) -> None:
-    """Blocks of an element in page order."""
+    """Blocks of an element in page order.
+
+    A list of links is a menu where it leads or ends a container that is no article; with text
+    before and after it, or inside an article, it is part of the text.
+    """
     parts: list[str] = []
+    found: list[tuple[str, bool]] = []
+    menu = 0  # menus that the walk is in
 
     def flush():
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(text)
+            found.append((text, menu > 0))
         parts.clear()
 
     stack: list = [node]
-    end = object()
+    end, end_menu = object(), object()
+    listed = node.tag not in ("article", "main")
     while stack:
         c = stack.pop()
         if c is end:
             flush()
+        elif c is end_menu:
+            flush()
+            menu -= 1
         elif isinstance(c, str):
             parts.append(c)
-        elif not c.drop and not _is_menu(c):
+        elif not c.drop:
             if c.tag in BLOCKS:
                 flush()
-                stack.append(end)
+                if listed and _is_menu(c):
+                    menu += 1
+                    stack.append(end_menu)
+                else:
+                    stack.append(end)
             if c.tag == "header" and c is not node:
                 stack += [x for x in reversed(c.children) if isinstance(x, _Node) and (x.tag in HEADINGS or x.tag == "hgroup")]
             else:
                 stack += reversed(c.children)
     flush()
+    own = [i for i, (_, m) in enumerate(found) if not m]
+    out += [text for text, _ in found[own[0] : own[-1] + 1]] if own else []
+
+
+def _whole(best: _Node) -> _Node:
+    """The article around the best container: the nearest article or main element, else the highest element below the body with little linked text."""
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return node
+        node = node.parent
+    node = best
+    while node.parent is not None and node.parent.tag not in ("body", "html", "#root") and node.parent.linked <= 0.25 * node.parent.size:
+        node = node.parent
+    return node
 
 
 def main_text(html: str) -> str:
@@ -219,6 +355,8 @@ def main_text(html: str) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubts:
+        _settle_doubts(tree.root)
     _measure(tree.root, False)
     best, nodes, stack = None, [], [tree.root]
     while stack:
@@ -230,15 +368,21 @@ def main_text(html: str) -> str:
             best = at
     if best is None:
         best = tree.root
+    best = _whole(best)
     least = max(10.0, 0.2 * _final(best))
     out: list[str] = []
+    leading: list[_Node] = []  # headings since the last other element
     for c in best.parent.children if best.parent else [best]:
-        if c is best:
-            _blocks(c, out)
-        elif isinstance(c, _Node) and not c.drop and c.tag in BLOCKS:
-            good = c.size - c.linked >= 80 and c.linked <= 0.25 * c.size
-            if (c.tag == "p" and good) or (c.tag not in ("header", "p") and _final(c) >= least):
-                _blocks(c, out)
+        if isinstance(c, str) or c.drop or c.tag not in BLOCKS | {"#root"}:
+            continue
+        if c.tag in HEADINGS:
+            leading.append(c)
+            continue
+        good = c.size - c.linked >= 80 and c.linked <= 0.25 * c.size
+        if c is best or (c.tag == "p" and good) or (c.tag not in ("header", "p") and _final(c) >= least):
+            for x in [*leading, c]:
+                _blocks(x, out)
+        leading = []
     return "\n\n".join(out)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +90,30 @@ def test_pivotal_rounding_keeps_sums_and_chances(spark):
     assert abs(got[0] - 0.3 * got[1]) <= 50 and abs(got[2] - 0.3) < 0.02
 
 
+def test_mixing_plan_against_plain_counts(docs, rows):
+    import re
+
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes: dict = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + words(r[1])
+    target = mixing.shares(sizes, (5, 2, 1))
+    plan = mixing.plan_mix(docs).collect()
+    got = sorted(str((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6))) for r in plan for _ in range(r["m"]))
+    assert got == sorted(str((r[0], r[3], words(r[1]), sizes[r[3]], round(target[r[3]], 6))) for r in rows)
+    assert all(r["copies"] <= 3 for r in plan)
+
+
+def test_identical_rows_are_mixed_one_by_one(spark):
+    data = [(7, "a", "word " * 10)] * 50 + [(i, "b", "word " * 5) for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    plan = mixing.plan_mix(docs).where("source = 'a'").collect()
+    assert sum(r["m"] for r in plan) == 50 and abs(sum(10 * r["m"] * r["copies"] for r in plan) - plan[0]["target"]) <= 10
+    assert {r["copies"] for r in plan} == {1, 2}
+    mixed = {r["source"]: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()}
+    assert mixed["a"] == sum(r["m"] * r["copies"] for r in plan)
+
+
 def test_token_files_round_trip(spark, docs, none, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -110,6 +135,31 @@ def test_token_files_round_trip(spark, docs, none, rows, tmp_path):
     assert token_output.token_digest(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_lookups_skip_files(spark, tmp_path):
+    data = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one file
+    token_output.write_tokens(data, str(tmp_path / "t"), TOKENIZER)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = token_output.read_tokens(spark, str(tmp_path / "t"), [1234])
+    assert [r["doc_id"] for r in found.collect()] == [1234]
+    plan = found._jdf.queryExecution().executedPlan()
+    read = plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+    files = found.select("part").distinct().count(), token_output.read_tokens(spark, str(tmp_path / "t")).select("part").distinct().count()
+    assert files[0] == 1 < files[1] and 0 < read < 2500
+
+
+def test_encoder_memory_is_bounded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZER)
+    library, e = Tokenizer.from_file(path), token_output.Encoder(path)
+    e.pretokens.free = 3000
+    texts = [prose(i, 200) + " it's  12\n½ 😀<|endoftext|> end " for i in range(20)]
+    assert [np.frombuffer(b, "<i4").tolist() for b in e.encode(texts)] == [t.ids for t in library.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(e.pretokens) < 20 and e.pretokens.free >= 0
+
+
 def test_token_counts_match_the_library(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -156,6 +206,64 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+LONG = "Long text, with commas, here and there. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<![foo[bar]]><p>a b</p><![ foo><p>c", "a b\n\nc"),
+        (f'<div class="site-content no-sidebar"><p>{LONG}</p></div>', LONG.strip()),
+        (f'<div class="post search-result-page"><h1>T</h1><p>{LONG}</p></div><div class=search-box>x</div>', f"T\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p></article><!-- open <p>no</p>", LONG.strip()),
+        (f"<article><h1>Head</h1><div><p>lead</p></div><div class=body>{f'<p>{LONG}</p>' * 20}</div><section>short end</section></article>",
+         "\n\n".join(["Head", "lead", *[LONG.strip()] * 20, "short end"])),
+        (f"<article><p>{LONG}</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>end</p></article>", f"{LONG.strip()}\n\none\n\ntwo\n\nend"),
+        (f"<body><ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>{LONG}</p><p>end of it</p></body>", f"{LONG.strip()}\n\nend of it"),
+        (f'<body><div id=x><p>{LONG}</p></div><div class="comments-area">{f"<p>{LONG}</p>" * 5}</div></body>', LONG.strip()),
+        (f"<body><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div class=ad>x</div></body>", f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"),
+        (f'<p>{LONG}</p><div class="x', LONG.strip()),
+        ("<p>x<![CDATA[ y ]]>z</p><?pi?><!-->", "xz"),
+    ],
+)
+def test_articles_are_whole(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<b>" * 8000 + "</i>" * 8000, "<b>" * 50_000 + "x", "<i><p>" + "<b>" * 8000 + "</i>" * 8000, "<div>" * 8000 + "<li><dt>" * 8000, "<b>" * 8000 + "<hr>" * 8000, "<![CDATA[" * 8000):
+        html_text.main_text(page)
+    assert html_text.main_text(f"<article><p>{'word, ' * 400_000}</article>") == ("word, " * 400_000).strip()
+    assert time.process_time() - began < 8
+
+
+def plain_page(r: random.Random) -> tuple[str, str]:
+    """A page made of an article and what stands around it, with the article's text."""
+    part = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(n)) + ", or &amp; so."
+    blocks, tags = [], []
+    for _ in range(r.randint(1, 12)):
+        text = part(r.randint(3, 60))
+        tag = r.choice(["p", "p", "p", "blockquote", "pre", "h2"])
+        tags.append(f"<{tag}>" + text.replace(" ", r.choice([" ", "\n  "])) + (f"</{tag}>" if tag != "p" or r.random() < 0.7 else ""))
+        blocks.append(text.replace("&amp;", "&"))
+    links = "".join(f"<li><a href=/{i}>{part(2)}</a>" for i in range(6))
+    noise = [f"<nav><ul>{links}</ul></nav>", f"<div class=ad>{part(9)}</div>", f"<aside>{part(30)}</aside>", f"<form>{part(5)}<input></form>", f"<div id=comments><p>{part(60)}</p></div>", f"<script>{part(4)}</script>", "<!-- x -->"]
+    r.shuffle(noise)
+    inside = r.sample(noise, 2)
+    body = "".join(tags[:1]) + inside[0] + "".join(tags[1:]) + inside[1]
+    return f"<html><head><title>{part(3)}</title></head><body>{noise[0]}<header>{part(4)}</header><article>{body}</article>{noise[1]}<footer>{part(9)}</footer></body></html>", "\n\n".join(blocks)
+
+
+def test_pages_against_their_makers():
+    r = random.Random(8)
+    for _ in range(300):
+        page, text = plain_page(r)
+        assert html_text.main_text(page) == text
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "old"), (1, "u", "<p>a b</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(pages).collect()) == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)]
@@ -290,6 +398,46 @@ def test_multiset_hash_is_homomorphic(spark):
     assert list(got[0]) == list(one[2]) and list(got[1]) == list(one[0]) and got[2] == 1.0 and got[3] > 0.4 > got[4]
 
 
+def plain_multiset(text: str) -> tuple[np.ndarray, int]:
+    """Lane sums and number of units, one unit after the other."""
+    import re
+
+    from xxhash import xxh64_intdigest
+
+    units = ["p" + p.strip(" ") for p in text.split("\n") if p.strip(" ")]
+    units += ["s" + x.strip(" ") for x in re.split(r"\n|(?<=[.!?])[ \t]+", text) if x.strip(" ")]
+    lanes = np.zeros(multiset_hash.LANES, np.int64)
+    for u in units:
+        for k in range(multiset_hash.HASHES):
+            h = xxh64_intdigest(k.to_bytes(4, "little"), seed=xxh64_intdigest(u.encode(), seed=42))
+            lanes[16 * k : 16 * k + 16] += [h >> 4 * i & 15 for i in range(16)]
+    return lanes, len(units)
+
+
+def plain_likeness(a: str, b: str) -> float:
+    (x, n), (y, m) = plain_multiset(a), plain_multiset(b)
+    if n == m and (x == y).all():
+        return 1.0
+    x, y = 2 * x - 15 * n, 2 * y - 15 * m
+    return float(min(1, max(0, (x @ y) / max(1e-9, np.sqrt(float(x @ x) * float(y @ y))))))
+
+
+def test_edit_report_against_plain_sums(spark):
+    texts = {i: prose(i, 40 + 9 * i) for i in range(30)} | {40: None, 41: "", 42: "no end\nat all", 43: prose(9, 121), 44: "x" * 3000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in multiset_hash.edit_report(docs).collect()}
+    order, codes = sorted(texts, reverse=True), {}
+    for i, doc in enumerate(order):
+        text, after = texts[doc] or "", texts[order[(i + 1) % len(order)]] or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        assert got[doc]["near_edited"] == pytest.approx(plain_likeness(text, edited), abs=1e-9)
+        assert got[doc]["near_next"] == pytest.approx(plain_likeness(text, after), abs=1e-9)
+        key = tuple(plain_multiset(text)[0])
+        assert codes.setdefault(got[doc]["fingerprint"], key) == key and (got[doc]["edited_fingerprint"] == got[doc]["fingerprint"]) == (plain_likeness(text, edited) == 1.0)
+    assert got[40]["fingerprint"] == got[41]["fingerprint"] and got[41]["near_next"] == 1.0 and len(codes) == len(set(codes.values()))
+
+
 def test_quality_model_finds_junk(spark, none):
     junk = ["### ".join(prose(i, 40).split()) for i in range(60)] + [prose(i, 40).upper().replace(" ", "!! ") for i in range(60)] + ["same " * 50] * 30
     good = [prose(1000 + i, 80) for i in range(400)]
@@ -310,6 +458,19 @@ def test_label_model_learns_accuracies():
     assert accuracy["a"][0] > 0.99 and accuracy["a"][1] > 0.85 and accuracy["b"][1] > 0.8
 
 
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    both = quality.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "keep").collect()
+    assert len(both) > 100 and sum(r["keep"] == bool(r["quality"]) for r in both) >= 0.99 * len(both)
+
+
+def test_quality_of_odd_rows(spark, docs, rows):
+    got = quality.classify(docs.select("doc_id", "text", "score", "h"))
+    assert got.columns == ["doc_id", "score", "keep"] and got.count() == len(rows)
+    same = got.where("doc_id = 3").select("score").distinct()
+    assert same.count() == 1 and got.where("doc_id is null").count() == 2 and got.where("doc_id = 104").count() == 1
+
+
 def test_contamination_and_slots(spark, docs, none):
     item = "If Anna buys 12 apples and 7 pears for 3 km of road then how much will Anna pay in the end"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
@@ -352,6 +513,45 @@ def test_short_items_and_long_runs(spark):
     assert held_items(spark, items, texts) == {(0, 0), (2, 1), (3, 2), (4, 3)}
 
 
+def test_contamination_against_plain_windows(spark):
+    r = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ab", "em", "il", "ox", "ur")]
+    items = [[r.choice(words) for _ in range(r.randint(9, 70))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        item = r.choice(items)
+        at, size = r.randrange(len(item)), r.randint(4, 40)
+        texts.append([r.choice(words) for _ in range(r.randint(0, 30))] + item[at : at + size] + [r.choice(words) for _ in range(r.randint(0, 30))])
+    want = set()
+    for d, text in enumerate(texts):
+        places: dict = {}
+        for i, w in enumerate(zip(*(text[k:] for k in range(8)), strict=False)):
+            places.setdefault(w, []).append(i)
+        for n, item in enumerate(items):
+            windows = list(zip(*(item[k:] for k in range(8)), strict=False))
+            held = [places.get(w, []) for w in windows]
+            run = max((sum(1 for _ in g) for by in {p - i for i, ps in enumerate(held) for p in ps} for k, g in __import__("itertools").groupby(by + i in ps for i, ps in enumerate(held)) if k), default=0)
+            if 2 * sum(map(bool, held)) >= len(windows) or run >= 16:
+                want.add((d, n))
+    assert len(want) > 20 and held_items(spark, [" ".join(i) for i in items], [" ".join(t) for t in texts]) == want
+
+
+def test_no_group_of_copies_below_a_unit_is_split(spark):
+    r = random.Random(6)
+    texts = [prose(r.randrange(300), 40) for _ in range(1500)] + [prose(5000 + i, 20 + i % 60) for i in range(1500)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = sharding.shard_documents(data, 8)
+    got = placed.collect()
+    load = [sum(x["size"] for x in got if x["shard"] == s) for s in range(8)]
+    where: dict = {}
+    for x in got:
+        where.setdefault(texts[x["doc_id"]], set()).add(x["shard"])
+        assert x["size"] == len(texts[x["doc_id"]].encode()) + 8 and x["text_crc32"] == zlib.crc32(texts[x["doc_id"]].encode())
+    assert all(len(w) == 1 for w in where.values()) and max(load) - min(load) < 0.01 * sum(load) / 8
+    links = sum(texts.count(t) - 1 for t in set(texts))
+    assert tuple(sharding.cut_links(placed, data).first()) == (links, 0)
+
+
 def test_shards_are_even_gapless_and_keep_copies(spark, docs, none):
     texts = [(i, prose(i, 30 + i % 50)) for i in range(900)] + [(2000 + i, prose(9999, 40)) for i in range(20)]
     data = spark.createDataFrame(texts, "doc_id long, text string")
@@ -375,3 +575,44 @@ def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
             df = stage(spark, df, str(tmp_path))
             assert df.columns == start.columns
         assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    first = stages[0](spark, docs, sf)
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = first.select("doc_id", "text").orderBy("doc_id").collect()
+    ids = {r["doc_id"] for r in kept}
+    assert sum((d in ids) == bool(q) for d, q in good.items()) >= 0.97 * len(good)
+    second = stages[1](spark, first, sf)
+    want = near_want([r["text"] for r in kept])
+    assert sorted(r["doc_id"] for r in second.select("doc_id").collect()) == [kept[i]["doc_id"] for i in want]
+    third = stages[2](spark, second, sf)
+    whole = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {r["doc_id"]: r["text"] for r in second.collect()}
+    left = {r["doc_id"] for r in third.select("doc_id").collect()}
+    assert not any(b in " ".join((texts[d] or "").lower().split()) for d in left for b in whole) and len(left) >= 0.9 * len(texts)
+    fourth = stages[3](spark, third, sf)
+    words = lambda t: len((t or "").encode().split())
+    before, after = third.select("doc_id", "source", "text").collect(), fourth.select("doc_id", "source", "text").collect()
+    sizes, taken, copies = Counter(), Counter(), Counter(r["doc_id"] for r in after)
+    for rows, count in ((before, sizes), (after, taken)):
+        for r in rows:
+            count[r["source"]] += words(r["text"])
+    target = mixing.shares(dict(sizes), (5, 2, 1))
+    largest = {s: max(words(r["text"]) for r in before if r["source"] == s) for s in sizes}
+    assert max(copies.values()) <= 3 and copies.keys() <= {r["doc_id"] for r in before} and all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
+    library = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    coded = []
+    for r in fourth.select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        coded.append((r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got = stages[4](spark, fourth, sf).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(coded)
+    assert corpus_pipeline.run(spark, sf).count() == len(got)

@@ -133,12 +133,21 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Copies of every distinct row: ``doc_id, source, h, m, size, source_size, target, copies``.
 
-    ``h`` is a hash of the text and ``m`` the number of identical rows, which share one
-    decision. Null texts have size 0 and null sources are a source of their own, the last.
-    Rows of size 0 are copied once. An empty table gives an empty plan.
+    ``h`` is a hash of the text and ``m`` the number of identical rows that are copied so often;
+    where one more copy falls on a part of them there are two rows. Null texts have size 0 and
+    null sources are a source of their own, the last. Rows of size 0 are copied once. An empty
+    table gives an empty plan. More than MAX_SOURCES sources are an error.
     """
+    together = _together(docs, F.xxhash64(F.col(text_col)), weights, most, seed, id_col, text_col, source_col)
+    each, more = F.floor(F.col("copies") / F.col("m")), F.col("copies") % F.col("m")
+    parts = F.array(F.struct(more.alias("m"), (each + 1).cast("int").alias("copies")), F.struct((F.col("m") - more).alias("m"), each.cast("int").alias("copies")))
+    return together.select("doc_id", "source", "h", "size", "source_size", "target", F.inline(parts)).where("m > 0")
+
+
+def _together(docs: DataFrame, h: Column, weights: Sequence[float], most: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row for each set of ``m`` rows with equal id, source and ``h``, with the ``copies`` that all of them have together."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("h"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), h.alias("h"), word_count(F.col(text_col)).alias("size")
     )
     rows = cut(rows.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("m")), "mix-rows")
     stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -150,24 +159,32 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     table = small_table(docs.sparkSession, listed, "s:string,source_size:bigint,target:double,rate:double")
     kind = rows.schema["source"].dataType
     rows = rows.join(F.broadcast(table.withColumn("s", F.col("s").cast(kind))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole = F.floor(F.col("rate") + 1e-12)
-    rows = rows.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(1)).withColumn("x", F.col("rate") - whole)
+    # All identical rows together: the whole copies, and one more with the chance of the rest.
+    copies = F.when(F.col("size") > 0, F.col("rate") * F.col("m")).otherwise(F.col("m").cast("double"))
+    rows = rows.withColumn("whole", F.floor(copies + 1e-12)).withColumn("x", copies - F.col("whole"))
     open_ = (F.col("size") > 0) & (F.col("x") > 1e-12)
     names = ["doc_id", "source", "h", "m", "size", "source_size", "target", "whole"]
-    parts = rows.where(open_).select(F.col("source").alias("stratum"), F.struct(*names).alias("key"), (F.col("size") * F.col("m")).alias("size"), "x")
+    parts = rows.where(open_).select(F.col("source").alias("stratum"), F.struct(*names).alias("key"), "size", "x")
     rounded = pivotal_round(parts, seed).select("key.*", F.col("x").alias("extra"))
     settled = rows.where(~open_).select(*names, F.lit(0).alias("extra"))
     return settled.unionByName(rounded).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).drop("whole", "extra")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
-    """The mixed rows with all their columns: each row as many times as the plan has copies of it."""
-    plan = plan_mix(docs, weights, most, seed).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__h"), F.sequence(F.lit(1), F.col("copies")).alias("__copies"))
-    keyed = docs.withColumn("__dh", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(plan["__id"]) & keyed["source"].eqNullSafe(plan["__source"]) & (keyed["__dh"] == plan["__h"])
-    joined = keyed.join(plan, same)
-    return joined.withColumn("__copy", F.explode("__copies")).select(*[F.col(c) for c in docs.columns])
+    """The mixed rows with all their columns: each row as many times as the plan has copies of it.
+
+    Rows count as identical if all their columns are equal.
+    """
+    same_row = F.xxhash64(*[F.col(c) for c in docs.columns])
+    keyed = docs.withColumn("__dh", same_row)
+    plan = _together(docs, same_row, weights, most, seed, "doc_id", "text", "source").where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__h"), "m", F.sequence(F.lit(1), F.col("copies")).alias("__copies"))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (keyed["__dh"] == F.col("__h"))
+    taken = keyed.join(plan.where("m = 1"), same)
+    repeated = plan.where("m > 1")
+    if not repeated.isEmpty():
+        taken = taken.unionByName(keyed.join(repeated, same).dropDuplicates(["__dh", "__id", "__source"]))
+    return taken.withColumn("__copy", F.explode("__copies")).select(*[F.col(c) for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -129,8 +129,8 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, keys: Sequence[Column], column: str) -> DataFrame:
     """Add ``idx``, the place in the ascending order of ``keys``, and ``next_<column>`` of the row that follows.
 
-    The last row is followed by the first. Ranges of the order are worked on in parallel; their
-    counts and the first row of each close the gaps between them, and these few rows are all
+    The last row is followed by the first. Ranges of the order, numbered by ``__b``, are worked on in
+    parallel, and the rows of one stay in its task; their counts and the first row of each close the gaps between them, and these few rows are all
     that a single task orders.
     """
     named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, keys: Sequence[Column], column: str) -> DataFrame
     first = F.first("__head").over(row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("__b", F.coalesce(F.lead("__head").over(row), first).alias("__head"))
     out = led.join(heads, "__b").withColumn(f"next_{column}", F.coalesce("__n", "__head"))
-    return out.drop("__b", "__n", "__head", *[f"__k{i}" for i in range(len(keys))])
+    return out.drop("__n", "__head", *[f"__k{i}" for i in range(len(keys))])
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +159,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many
     (or all) of the next document in descending order of the ids, null ids last, equal ids by a
-    hash of the text; the last document is followed by the first. Null texts are empty. Repeated
-    rows are documents of their own. An empty table gives an empty result; other columns of the
+    hash of the text; the last document is followed by the first. Ids are numbers. Null texts are
+    empty, and the likeness of two empty texts is 1. Repeated rows are documents of their own. An empty table gives an empty result; other columns of the
     input are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -168,13 +168,17 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = F.length("text")
     last = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - last), F.substring(F.col("next_text"), F.lit(1), last))
-    rows = rows.select("idx", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = cut(fingerprints(rows, ["idx", "doc_id", "n_chars", "edited_sha256"], ["text", "edited"]), "multiset-prints")
-    own = prints.where("which = 0").drop("which")
-    other = prints.where("which = 1").select("idx", F.col("fp").alias("edited_fp"))
-    total = own.count()
-    after = own.select(F.pmod(F.col("idx") - 1, F.lit(max(1, total))).alias("idx"), F.col("fp").alias("next_fp"))
-    joined = own.join(other, "idx").join(after, "idx")
+    # All that follows is by range, so the rows stay where they are until their fingerprints are written.
+    keys = ["__b", "idx", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.select("__b", "idx", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    of = lambda which: F.first(F.when(F.col("which") == which, F.col("fp")), ignorenulls=True)
+    both = fingerprints(rows, keys, ["text", "edited"]).groupBy(*keys).agg(of(0).alias("fp"), of(1).alias("edited_fp"))
+    within = Window.partitionBy("__b").orderBy("idx")
+    prints = cut(both.withColumns({"after": F.lead("fp").over(within), "place": F.row_number().over(within)}), "multiset-prints")
+    # A range's last row is followed by the first one of the next range: one row a range.
+    total = prints.count()
+    heads = prints.where("place = 1").select(F.pmod(F.col("idx") - 1, F.lit(max(1, total))).alias("idx"), F.col("fp").alias("head"))
+    joined = prints.join(F.broadcast(heads), "idx", "left").withColumn("next_fp", F.coalesce("after", "head"))
     return joined.select(
         "doc_id",
         "n_chars",

@@ -2,9 +2,10 @@
 
 Documents are linked where their texts are equal. Every document starts in a shard drawn by
 its hash; Spark joins then carry the shards of a document's neighbours to it, and it moves to
-the one where most of their bytes are, as far as the target's quota admits. A last pass makes
-the sizes even: what exceeds the mean in a shard, documents without links and small ones
-first, fills the gaps of the others in one running sum.
+the one where most of their bytes are, as far as the target's quota admits; what is still apart
+at the end joins its largest part, so no link is cut within a unit. Last passes make the sizes
+even: what exceeds the mean in a shard, documents without links and small ones first and units
+always whole, fills the gaps of the others in one running sum.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def propagate(blocks: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
     """Move ``blocks`` (unit, origin, shard, bytes, rows) towards the shards of their units.
 
     One row a shard goes to the driver each round for the quotas. Ends when no block is apart
-    from its unit's largest part, or after ``rounds``.
+    from its unit's largest part; after ``rounds`` those that are go there whatever the quota is.
     """
     total = sum(_load(blocks, shards))
     cap = total / shards * (1 + SLACK)
@@ -50,18 +51,15 @@ def propagate(blocks: DataFrame, shards: int, rounds: int = 6) -> DataFrame:
         votes = blocks.groupBy("unit", "shard").agg(F.sum("bytes").alias("w"))
         wish = votes.groupBy("unit").agg(F.max_by("shard", F.struct("w", -F.col("shard"))).alias("wish"))
         asked = cut(blocks.join(wish, "unit"), "shard-wishes")
-        flow = asked.where("wish <> shard").groupBy("wish", "shard").agg(F.sum("bytes").alias("b")).collect()
-        if not flow:
+        apart = asked.where("wish <> shard")
+        into, out = _load(apart.select(F.col("wish").alias("shard"), "bytes"), shards), _load(apart, shards)
+        if not any(into):
             return blocks
         load = _load(asked, shards)
-        into, out = [0] * shards, [0] * shards
-        for r in flow:
-            into[r["wish"]] += r["b"]
-            out[r["shard"]] += r["b"]
         admit = [min(1.0, max(0.0, cap - load[s]) / max(into[s] - out[s], 1)) if into[s] > out[s] else 1.0 for s in range(shards)]
         table = F.array(*[F.lit(a) for a in admit])
         go = _uniform(F.col("unit"), F.lit(number)) < F.element_at(table, F.col("wish") + 1)
-        blocks = asked.withColumn("shard", F.when(go, F.col("wish")).otherwise(F.col("shard"))).drop("wish")
+        blocks = asked.withColumn("shard", F.when(go | F.lit(number == rounds - 1), F.col("wish")).otherwise(F.col("shard"))).drop("wish")
     return cut(blocks, "shard-blocks")
 
 
@@ -132,11 +130,24 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     blocks = propagate(blocks, shards)
     alone = blocks.groupBy("unit", "shard").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.collect_set("origin").alias("origins"))
     placed = even_out(alone.withColumn("origin", F.col("shard")), shards)
+    # Large units may have left the gaps uneven; what moves now are the documents without links.
+    placed = even_out(cut(placed, "shard-even"), shards)
     placed = placed.select("unit", F.explode("origins").alias("origin"), "shard")
     out = cut(rows.join(placed, ["unit", "origin"]).drop("unit", "origin"), "shard-placed")
     return _slots(out, shards)
 
 
+def cut_links(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(links, cut): links of a star on each group of equal texts, and those of them that lead to another shard than the group's main one.
+
+    ``placed`` is the result of ``shard_documents`` for ``docs`` with distinct ids.
+    """
+    text = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("g"))
+    parts = placed.join(text, placed["doc_id"] == text["__id"]).groupBy("g", "shard").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1")
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def _slots(rows: DataFrame, shards: int) -> DataFrame:
     """Number the rows of each shard from 0, in ranges of hashes that are numbered in parallel."""
     buckets = bucket_count(rows)

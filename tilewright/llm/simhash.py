@@ -536,23 +536,25 @@ def near_links(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame
     met = cut(nodes.select("s", "h").join(met, "s", "left_semi"), "near-met")
     texts = cut(texts.join(_small(met), "h").dropDuplicates(["s"]).select("s", "text"), "near-texts")
 
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
+
     def checked(pairs: DataFrame) -> DataFrame:
-        def side(x: str) -> DataFrame:
-            return nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
-
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("total", F.col("na") + F.col("nb"))
-        say = cut(both.select("a", "b", "total", _map_verdict(F.col("mapa"), F.col("mapb"), F.col("total")).alias("say")).where("say >= 0"), "near-say")
-        open_ = say.where("say = 0")
-        asked = cut(open_.select(F.col("a").alias("s")).unionByName(open_.select(F.col("b").alias("s"))).distinct(), "near-asked")
-        sets = cut(texts.join(_small(asked), "s", "left_semi").select("s", _shingle_set(F.col("text")).alias("x")), "near-sets")
-        met = open_.join(sets.select(F.col("s").alias("b"), F.col("x").alias("xb")), "b").join(sets.select(F.col("s").alias("a"), F.col("x").alias("xa")), "a")
-        near = met.where((PART + WHOLE) * F.size(F.array_intersect("xa", "xb")) >= PART * F.col("total"))
-        links = say.where("say = 1").select("a", "b").unionByName(near.select("a", "b"))
-        return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    links = keep(checked(pairs), "near-links")
+        """The pairs (a, b, near) that maps don't show to be far; ``near`` is right for all of them."""
+        with scratch(pairs.sparkSession):
+            both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("total", F.col("na") + F.col("nb"))
+            say = cut(both.select("a", "b", "total", _map_verdict(F.col("mapa"), F.col("mapb"), F.col("total")).alias("say")).where("say >= 0"), "near-say")
+            open_ = say.where("say = 0")
+            asked = cut(open_.select(F.col("a").alias("s")).unionByName(open_.select(F.col("b").alias("s"))).distinct(), "near-asked")
+            sets = cut(texts.join(_small(asked), "s", "left_semi").select("s", _shingle_set(F.col("text")).alias("x")), "near-sets")
+            met = open_.join(sets.select(F.col("s").alias("b"), F.col("x").alias("xb")), "b").join(sets.select(F.col("s").alias("a"), F.col("x").alias("xa")), "a")
+            near = (PART + WHOLE) * F.size(F.array_intersect("xa", "xb")) >= PART * F.col("total")
+            return keep(say.where("say = 1").select("a", "b", F.lit(True).alias("near")).unionByName(met.select("a", "b", near.alias("near"))), "near-checked")
+
+    seen = checked(pairs)
     first, last, rows = 1, 8, None
     while True:
+        links = seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(links).withColumnRenamed("node", "s")
         rooted = (left if rows is None else rows).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
         # Buckets that are all one group by now are done.
@@ -564,9 +566,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame
         if rows.isEmpty():
             return links
         found = cut(_by_key(rows).mapInPandas(_bucket_pairs(first, last), "a long, b long").distinct(), "near-pairs")
-        links = links.unionByName(keep(checked(found.where("b is not null")), "near-links"))
+        new = found.where("b is not null").join(seen.where("not near").select("a", "b"), ["a", "b"], "left_anti")
+        seen = seen.unionByName(checked(new))
         if found.where("b is null").isEmpty():
-            return links
+            return seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
         rows = rows.drop("root")
         first, last = last, 4 * last
 

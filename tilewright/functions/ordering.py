@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: Keys drawn for each bucket when bounds are chosen. Bounds only decide how even buckets are.
 SAMPLES_PER_BUCKET = 24
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 10_000
 
 
 def bucket_count(df: DataFrame) -> int:

@@ -261,6 +261,8 @@ PART, WHOLE = 4, 5
 MAP_BITS = 1024
 #: A hash in more sets than this fills a bucket and therefore comes last in the order of all hashes; at most so many do.
 FEW, COMMON_HASHES = 32, 50_000
+#: Rows of a bucket that the second round compares with all later ones; every round takes so many times more.
+ROUND = 64
 #: Up to so many names of sets (with a hash of 32 characters at most) or marks of rows are broadcast, some 20 MB; more are joined by a shuffle.
 BROADCAST_SETS = 200_000
 _FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -519,8 +521,8 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_links(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(u, v) of shingle sets: links of a similarity of SIMILAR or more that join all groups of such links.
+def similar_groups(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, root) of the shingle sets that links of a similarity of SIMILAR or more join to others.
 
     ``texts`` has rows (h, text), ``nodes`` a row (s, n, map, fp, h) for each set, with the hash of
     one of its texts, and ``keys`` the rows (key, s, n) of the buckets. First come the links of the
@@ -552,11 +554,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame
             return keep(say.where("say = 1").select("a", "b", F.lit(True).alias("near")).unionByName(met.select("a", "b", near.alias("near"))), "near-checked")
 
     seen = checked(pairs)
-    first, last, rows = 1, 8, None
+    first, last, rows = 1, ROUND, None
     while True:
-        links = seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = components(links).withColumnRenamed("node", "s")
-        rooted = (left if rows is None else rows).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+        groups = components(seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rooted = (left if rows is None else rows).join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         # Buckets that are all one group by now are done.
         open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         rows = rooted.join(open_, "key", "left_semi")
@@ -564,14 +565,14 @@ def near_links(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame
             rows = rows.join(nodes.select("s", "map"), "s")
         rows = cut(rows, "near-open")
         if rows.isEmpty():
-            return links
+            return groups
         found = cut(_by_key(rows).mapInPandas(_bucket_pairs(first, last), "a long, b long").distinct(), "near-pairs")
         new = found.where("b is not null").join(seen.where("not near").select("a", "b"), ["a", "b"], "left_anti")
         seen = seen.unionByName(checked(new))
         if found.where("b is null").isEmpty():
-            return seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            return components(seen.where("near").select(F.col("a").alias("u"), F.col("b").alias("v")))
         rows = rows.drop("root")
-        first, last = last, 4 * last
+        first, last = last, ROUND * last
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -595,7 +596,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         full = own.mapInPandas(_key_rows(np.zeros(0, np.uint64)), keys).groupBy("key").count().where(F.col("count") > FEW)
         common = [r["key"] for r in full.orderBy(F.desc("count"), "key").limit(COMMON_HASHES).collect()]
         common = np.sort(np.array(common, np.int64).view(np.uint64))
-        groups = components(near_links(given.select("h", "text"), nodes, own.mapInPandas(_key_rows(common), keys)))
+        groups = similar_groups(given.select("h", "text"), nodes, own.mapInPandas(_key_rows(common), keys))
         least = rows.groupBy("s", "h").agg(F.min("doc_id").alias("least"))
         rooted = least.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h"))

@@ -178,6 +178,20 @@ def test_token_counts_match_the_library(docs, none):
     assert token_counts.count_tokens(none, TOKENIZER).count() == 0
 
 
+def test_token_counts_with_a_small_table(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZER)
+    library, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
+    monkeypatch.setattr(token_counts, "PASS_CHARS", 900)
+    r = random.Random(2)
+    texts = [prose(i, 120) for i in range(30)] + ["".join(r.choice("abcxyzé") for _ in range(40_000)), "z" * 150_000]
+    assert counter.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.key) < 20_000
+
+
 def test_chunk_maps_compose_to_a_plain_reading():
     import public_tokenizers
     import regex
@@ -447,6 +461,16 @@ def test_quality_model_finds_junk(spark, none):
     assert quality.classify(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.4, 0.6])
+def test_quality_rejects_a_large_junk_source(share):
+    junk = [" ### ".join(prose(i, 20).split()) for i in range(int(300 * share))]
+    good = [prose(3000 + i, 60) for i in range(300 - len(junk))]
+    votes = np.array([quality.votes_of(t) for t in junk + good])
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p = quality.fit_label_model(patterns, counts.astype(float), list(quality.LABELLERS)).posterior(patterns)[at.ravel()]
+    assert (p[: len(junk)] < 0.5).mean() > 0.97 and (p[len(junk) :] >= 0.5).mean() > 0.97
+
+
 def test_label_model_learns_accuracies():
     r = np.random.default_rng(5)
     kind = r.choice(3, 20_000, p=[0.85, 0.1, 0.05])  # good, and the kinds that the first two labellers are after

@@ -22,8 +22,8 @@ LITERAL = 4
 COVER = 0.5
 #: So many windows in a row contaminate a document whatever their share of the item is.
 RUN = 16
-#: Up to so many windows of the benchmark (some 100 bytes each) are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+#: The benchmark's windows are broadcast if they take at most so many bytes, slot values included; more are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: Placeholders are characters for private use, so that no text word equals one.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -143,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id
     """
     grams = cut(benchmark_windows(benchmark), "benchmark-windows")
     table = grams.select("hash").distinct()
-    small = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = (grams.agg(F.sum(F.lit(100) + 2 * F.octet_length(F.array_join("ivalues", "    ")))).first()[0] or 0) <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))

@@ -33,6 +33,8 @@ COMMON = (
     "le la les de des et un une du en que qui dans pour sur est par au "
     "el los las del y que es por con para una su se lo al"
 ).split()
+#: Labellers that know some languages only; in a corpus of others they would call most texts bad.
+LANGUAGE = ("stops", "common", "length")
 _COMMON = frozenset(w.encode() for w in COMMON)
 
 
@@ -131,13 +133,16 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, names: list[str],
     """Expectation-maximisation over vote patterns and their numbers of documents.
 
     Starts from the votes themselves: a pattern belongs to the kinds of its bad votes, to the
-    good class without any. A labeller that calls most of the corpus bad says nothing about
-    single documents (common words, for one, in a corpus of another language) and is set aside.
+    good class without any. A labeller of LANGUAGE that calls more of the corpus bad than good, mostly
+    where no other labeller agrees, says nothing about single documents and is set aside.
     Kinds that a single labeller sees and errors on good documents would fit the votes alike, so
     a prior of one good vote a document on the good class decides for the kinds.
     """
     weighed = lambda vote: ((patterns == vote) * counts[:, None]).sum(0)
-    used = weighed(BAD) <= weighed(GOOD)
+    said_bad = patterns == BAD
+    others = said_bad.sum(1, keepdims=True) > said_bad  # whether another labeller says bad too
+    agreed = ((said_bad & others) * counts[:, None]).sum(0)
+    used = ~np.isin(names, LANGUAGE) | (weighed(BAD) <= weighed(GOOD)) | (2 * agreed > weighed(BAD))
     patterns = np.where(used, patterns, NONE)
     bad = patterns == BAD
     start = np.concatenate([np.where(bad.any(1), 0.1, 1.0)[:, None], 0.9 * bad / np.maximum(bad.sum(1, keepdims=True), 1)], axis=1) + 1e-3

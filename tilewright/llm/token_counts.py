@@ -29,9 +29,9 @@ from tilewright.llm.token_output import byte_symbols
 #: Code points in a chunk of the splitter, and about as many bytes in a lane of the counter.
 CHUNK = 512
 #: Characters that one pass over a batch takes; longer texts make a pass of their own.
-PASS_CHARS = 2_000_000
-#: States of the counter that are kept at once: 64 int32 columns and 64 int8 ones a state.
-MAX_STATES = 250_000
+PASS_CHARS = 1_000_000
+#: States of the counter (64 int32 columns, 64 int8 ones and a key each) above which a pass begins with a new table. A pass adds one a byte at most.
+MAX_STATES = 150_000
 
 # Classes of code points. The contractions 's 't 're 've 'm 'll 'd of the split pattern.
 _ONE, _R, _V, _L, _E, _LETTER, _NUMBER, _SPACE, _WHITE, _APOS, _OTHER, _END = range(12)
@@ -117,11 +117,11 @@ class Counter:
             self.tokens.add(pair[0] + pair[1])
         self.longest = max(map(len, self.tokens))
         self.prefixes = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
-        self._pair_memo: dict[tuple[bytes, bytes], bool] = {}
-        self._token_memo: dict[bytes, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
+        self._pair_memo: dict[tuple[bytes, bytes], bool] = {}
+        self._token_memo: dict[bytes, bool] = {}
         self.column = np.full(256, -1, np.int16)
         self.columns = 64
         self.used = 0
@@ -262,6 +262,9 @@ class Counter:
         for i in range(int(sizes[0])):
             while sizes[live - 1] <= i:
                 live -= 1
+            if live == 1:  # the rest of a long pretoken
+                self._read_on(int(state[0]), range(int(lanes[0]) + i, int(lanes[0] + sizes[0])), data, begins, columns, out)
+                break
             at = lanes[:live] + i
             state = np.where(begins[at], 0, state[:live])
             c = columns[at]
@@ -274,10 +277,19 @@ class Counter:
             state = to.astype(np.int64)
         return out
 
+    def _read_on(self, state: int, places: range, data: np.ndarray, begins: np.ndarray, columns: np.ndarray, out: np.ndarray) -> None:
+        """The same for a single lane, byte by byte."""
+        for at in places:
+            if begins[at]:
+                state = 0
+            c = columns[at]
+            if self.to[state, c] < 0:
+                self._compile(state, int(data[at]))
+            out[at] = self.adds[state, c]
+            state = int(self.to[state, c])
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text, the strings of special tokens counting one each."""
-        if len(self.key) > MAX_STATES:
-            self._reset()
         whole, owner, total = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             parts = [text]
@@ -296,6 +308,8 @@ class Counter:
             while last < len(whole) and (last == first or chars + len(whole[last]) <= PASS_CHARS):
                 chars += len(whole[last])
                 last += 1
+            if len(self.key) > MAX_STATES:
+                self._reset()
             np.add.at(total, owner[first:last], self._count_pass(whole[first:last]))
             first = last
         return total

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions.lineage import cut
 from tilewright.functions.tables import small_table
+from tilewright.llm.workers import trim
 
 #: Slots of the hashed features.
 DIM = 2048
@@ -91,6 +92,8 @@ def vote_code(text: Column) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([sum((v + 1) * 3**i for i, v in enumerate(votes_of(t))) for t in texts.tolist()], dtype=np.int32)
+            del texts
+            trim()
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -215,6 +218,8 @@ class QualityModel:
                 for at in range(0, len(texts), 256):
                     out.append(1 / (1 + np.exp(-np.clip(features(texts[at : at + 256]) @ weights, -50, 50))))
                 yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+                del texts
+                trim()
 
         return of(F.coalesce(text, F.lit("")))
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions.lineage import cut, keep, scratch
 from tilewright.llm.components import components
+from tilewright.llm.workers import trim
 
 SEED = 42
 #: Hashes whose bits are spread out at once.
@@ -82,6 +83,8 @@ def fingerprint(text: Column, width: int = 3, bits: int = 64, distinct: bool = F
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(fingerprints_of(texts.tolist(), width, bits, distinct).view(np.int64)))
+            del texts
+            trim()
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -261,9 +264,11 @@ PART, WHOLE = 4, 5
 MAP_BITS = 1024
 #: A hash in more sets than this fills a bucket and therefore comes last in the order of all hashes; at most so many do.
 FEW, COMMON_HASHES = 32, 50_000
+#: Pairs of a head that are compared beside one copy of its set.
+MEMBERS = 1000
 #: Rows of a bucket that the second round compares with all later ones; every round takes so many times more.
 ROUND = 64
-#: Up to so many names of sets (with a hash of 32 characters at most) or marks of rows are broadcast, some 20 MB; more are joined by a shuffle.
+#: Up to so many marks of rows, or of rows with the roles of their sets, are broadcast, some 20 MB; more are joined by a shuffle.
 BROADCAST_SETS = 200_000
 _FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
@@ -335,6 +340,8 @@ def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "map": [parity_map(x) for x in sets],
                 "fp": _majority(np.concatenate(sets), np.cumsum(sizes) - sizes, sizes).view(np.int64),
             })
+        pdf = part = sets = None
+        trim()
 
 
 def _key_rows(common: np.ndarray):
@@ -358,6 +365,8 @@ def _key_rows(common: np.ndarray):
                 if keys:
                     many = [len(k) for k in keys]
                     yield pd.DataFrame({"key": np.concatenate(keys), "s": np.repeat(np.array(names, np.uint64).view(np.int64), many), "n": np.repeat(np.array(sizes, np.int32), many)})
+            pdf = None
+            trim()
 
     return run
 
@@ -367,6 +376,8 @@ def _shingle_set(text: Column) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles_of(t).view(np.int64) for t in texts.tolist()], dtype=object)
+            del texts
+            trim()
 
     return of(text)
 
@@ -506,7 +517,7 @@ def _map_verdict(a: Column, b: Column, sizes: Column) -> Column:
 
 
 def _small(names: DataFrame) -> DataFrame:
-    """Names of sets, to be broadcast if they are few."""
+    """A table that is to be broadcast if it has few rows."""
     return F.broadcast(names) if names.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else names
 
 
@@ -521,11 +532,26 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _against_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether each member is near to its head, whose set stands before those of its members."""
+    at, own = None, np.zeros(0, np.int64)
+    for pdf in batches:
+        out = []
+        for head, salt, total, name, x in zip(pdf["head"].tolist(), pdf["salt"].tolist(), pdf["total"].tolist(), pdf["s"].tolist(), pdf["x"], strict=True):
+            if not total:
+                at, own = (head, salt), x
+            else:
+                assert at == (head, salt)
+                shared = len(np.intersect1d(own, x, assume_unique=True))
+                out.append((min(head, name), max(head, name), (PART + WHOLE) * shared >= PART * total))
+        yield pd.DataFrame(out, columns=["a", "b", "near"])
+
+
 def similar_groups(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """(node, root) of the shingle sets that links of a similarity of SIMILAR or more join to others.
 
-    ``texts`` has rows (h, text), ``nodes`` a row (s, n, map, fp, h) for each set, with the hash of
-    one of its texts, and ``keys`` the rows (key, s, n) of the buckets. First come the links of the
+    ``texts`` has rows (mark, text), ``nodes`` a row (s, n, map, fp, mark) for each set, with the mark
+    of one of its rows, and ``keys`` the rows (key, s, n) of the buckets. First come the links of the
     SimHash operator and the pairs of each bucket's first set; buckets whose sets aren't all joined
     by then go on in rounds of growing numbers of rows. A pair is ruled out by its sizes or parity
     maps, which are bounds that no near pair fails, joined over checked links already, sure by its
@@ -534,9 +560,6 @@ def similar_groups(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataF
     found = cut(_by_key(keys).mapInPandas(_first_pairs, "key long, a long, b long, n int"), "near-first")
     pairs = cut(found.where("b is not null").select("a", "b").unionByName(_simhash_pairs(nodes)).distinct(), "near-pairs")
     left = found.where("b is null").select("key", F.col("a").alias("s"), "n")
-    met = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).unionByName(left.select("s")).distinct()
-    met = cut(nodes.select("s", "h").join(met, "s", "left_semi"), "near-met")
-    texts = cut(texts.join(_small(met), "h").dropDuplicates(["s"]).select("s", "text"), "near-texts")
 
     def side(x: str) -> DataFrame:
         return nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
@@ -546,12 +569,26 @@ def similar_groups(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataF
         with scratch(pairs.sparkSession):
             both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("total", F.col("na") + F.col("nb"))
             say = cut(both.select("a", "b", "total", _map_verdict(F.col("mapa"), F.col("mapb"), F.col("total")).alias("say")).where("say >= 0"), "near-say")
-            open_ = say.where("say = 0")
-            asked = cut(open_.select(F.col("a").alias("s")).unionByName(open_.select(F.col("b").alias("s"))).distinct(), "near-asked")
-            sets = cut(texts.join(_small(asked), "s", "left_semi").select("s", _shingle_set(F.col("text")).alias("x")), "near-sets")
-            met = open_.join(sets.select(F.col("s").alias("b"), F.col("x").alias("xb")), "b").join(sets.select(F.col("s").alias("a"), F.col("x").alias("xa")), "a")
-            near = (PART + WHOLE) * F.size(F.array_intersect("xa", "xb")) >= PART * F.col("total")
-            return keep(say.where("say = 1").select("a", "b", F.lit(True).alias("near")).unionByName(met.select("a", "b", near.alias("near"))), "near-checked")
+            near = say.where("say = 1").select("a", "b", F.lit(True).alias("near"))
+            return keep(near.unionByName(compared(say.where("say = 0"))), "near-checked")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, near) by their complete sets.
+
+        Of a pair the set with more pairs is the head. Sets of members go to their head's, which
+        has a copy for every MEMBERS of them, so each is sent once and no task gets all of a head's.
+        """
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("d"))
+        both = pairs.join(ends.select(F.col("s").alias("a"), F.col("d").alias("da")), "a").join(ends.select(F.col("s").alias("b"), F.col("d").alias("db")), "b")
+        first = F.col("da") >= F.col("db")
+        member = F.when(first, F.col("b")).otherwise(F.col("a"))
+        salt = F.pmod(F.xxhash64(member), F.ceil(F.greatest("da", "db") / MEMBERS)).cast("int")
+        roles = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("head"), member.alias("s"), "total", salt.alias("salt"))
+        roles = roles.unionByName(roles.select("head", F.col("head").alias("s"), F.lit(0).alias("total"), "salt").distinct())
+        roles = roles.join(nodes.select("s", "mark"), "s").groupBy("mark").agg(F.collect_list(F.struct("head", "salt", "total", "s")).alias("roles"))
+        read = texts.join(_small(cut(roles, "near-roles")), "mark").select("roles", _shingle_set(F.col("text")).alias("x"))
+        sets = read.select(F.inline("roles"), "x").repartition("head", "salt").sortWithinPartitions("head", "salt", "total", "s")
+        return sets.mapInPandas(_against_heads, "a long, b long, near boolean").distinct()
 
     seen = checked(pairs)
     first, last, rows = 1, ROUND, None
@@ -589,19 +626,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession):
         given = docs.select("doc_id", F.md5(text.cast("binary")).alias("h"), text.alias("text"))
         kind = given.schema["doc_id"].dataType.simpleString()
-        rows = cut(given.mapInPandas(_set_rows, f"doc_id {kind}, h string, s long, n int, map binary, fp long"), "near-rows")
-        nodes = cut(rows.groupBy("s").agg(F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("n", "map", "fp")]), "near-nodes")
+        rows = given.mapInPandas(_set_rows, f"doc_id {kind}, h string, s long, n int, map binary, fp long")
+        rows = cut(rows.withColumn("mark", _mark(F.col("doc_id"), F.col("h"))), "near-rows")
+        nodes = cut(rows.groupBy("s").agg(F.min("mark").alias("mark"), *[F.first(c).alias(c) for c in ("n", "map", "fp")]), "near-nodes")
         keys = "key long, s long, n int"
         own = given.select("text")
         full = own.mapInPandas(_key_rows(np.zeros(0, np.uint64)), keys).groupBy("key").count().where(F.col("count") > FEW)
         common = [r["key"] for r in full.orderBy(F.desc("count"), "key").limit(COMMON_HASHES).collect()]
         common = np.sort(np.array(common, np.int64).view(np.uint64))
-        groups = similar_groups(given.select("h", "text"), nodes, own.mapInPandas(_key_rows(common), keys))
+        texts = given.select(_mark(F.col("doc_id"), F.col("h")).alias("mark"), "text")
+        groups = similar_groups(texts, nodes, own.mapInPandas(_key_rows(common), keys))
         least = rows.groupBy("s", "h").agg(F.min("doc_id").alias("least"))
         rooted = least.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
         first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h"))
         winners = rooted.groupBy("root").agg(first.alias("w")).select(_mark(F.col("w.least"), F.col("w.h")).alias("__mark"))
-        each = cut(rows.groupBy(_mark(F.col("doc_id"), F.col("h")).alias("__mark")).count(), "near-marks")
+        each = cut(rows.groupBy(F.col("mark").alias("__mark")).count(), "near-marks")
         gone = keep(each.join(winners, "__mark", "left_anti").select("__mark"), "near-gone")
         twice = keep(each.where("count > 1").join(winners, "__mark", "left_semi").select("__mark"), "near-twice")
     marked = docs.withColumn("__mark", _mark(F.col("doc_id"), F.md5(text.cast("binary"))))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.lineage import fresh_path
 from tilewright.functions.tables import small_table
+from tilewright.llm.workers import trim
 
 #: Bytes that a worker remembers of pretokens with their ids; some 200 of an entry are overhead.
 MEMORY, OVERHEAD = 64 << 20, 200
@@ -149,6 +150,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                 rows = pa.array(np.arange(row, row + count, dtype=np.int64))
                 row += count
                 yield pa.RecordBatch.from_arrays([part.column(0), rows, pa.array(sizes), listed], ["doc_id", "row", "n_tokens", "ids"])
+                del part, coded, ids, listed
+                trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))

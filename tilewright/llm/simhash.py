@@ -265,7 +265,7 @@ MAP_BITS = 1024
 #: A hash in more sets than this fills a bucket and therefore comes last in the order of all hashes; at most so many do.
 FEW, COMMON_HASHES = 32, 50_000
 #: Pairs of a head that are compared beside one copy of its set.
-MEMBERS = 1000
+MEMBERS = 64
 #: Rows of a bucket that the second round compares with all later ones; every round takes so many times more.
 ROUND = 64
 #: Up to so many marks of rows, or of rows with the roles of their sets, are broadcast, some 20 MB; more are joined by a shuffle.

@@ -1,7 +1,8 @@
-"""The ten operators against plain versions, and on nulls, ties, long texts, empty tables and odd columns."""
+"""The operators against plain versions, and on nulls, ties, long texts, empty tables and odd columns."""
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, idx long, fp string, size string, row string, part string, score string"
@@ -640,3 +641,53 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     got = stages[4](spark, fourth, sf).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(coded)
     assert corpus_pipeline.run(spark, sf).count() == len(got)
+
+
+def plain_measures(text: str | None) -> tuple:
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    found = Counter(windows)
+    covered = {i + d for i, w in enumerate(windows) if found[w] > 1 for d in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(map(text.count, rules.SYMBOLS)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_against_plain_counts(spark, docs, none, rows):
+    r = random.Random(3)
+    odd = ["a b c a b c", "a a a a", " a\x0bb\x0cc\r\na", "x\n\n x\nx\n x \n", "# # #|<>&%$*", " ".join(r.choice("abcd") for _ in range(500)), "￾ \U0001f600 é"]
+    more = spark.createDataFrame([(200 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for table in (docs.select("doc_id", "text", F.col("h").alias("n_words"), F.col("row").alias("__text")), more):
+        got = rules.judged(table)
+        assert [c for c in got.columns if c not in names] [:2] == ["doc_id", "text"]
+        for x in got.collect():
+            want = plain_measures(x["text"])
+            assert tuple(x[n] for n in names) == want, x["text"]
+            assert x["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+            assert not (x["base_failed"] and x["kept"]) and (x["base_failed"] or x["kept"] == (not x["broken"]))
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert rules.judged(none).count() == 0
+
+
+def test_repeated_windows_without_room_for_places(spark):
+    """Few bits for places: hashes of different windows meet, or the text is too long; both are sorted as text."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(n)) for n in (2, 3, 4, 60, 300)]
+    df = spark.createDataFrame([(t.split(" "), plain_measures(t)[4]) for t in texts], "w array<string>, want long")
+    for bits in (24, 62, 5):
+        assert all(x["n"] == x["want"] for x in rules.with_repeated_words(df, "w", "n", bits).collect()), bits
+
+
+def test_thresholds_are_exact(spark):
+    rule = rules.Rule("r", "a", "b", (1, 10), (1, 3))
+    df = spark.createDataFrame([(a, b) for b in range(31) for a in range(31)], "a long, b long")
+    assert all(x["ok"] == (x["b"] == 0 or x["b"] <= 10 * x["a"] and 3 * x["a"] <= x["b"]) for x in df.withColumn("ok", rules.compile_rules([rule])).collect())
+
+
+def test_rules_keep_good_documents(spark):
+    d = "/root/testdata/sf0.01"
+    got = rules.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    assert got.where("quality = 1 and not base_failed and not kept").count() == 0
+    assert got.where("quality = 0 and kept").count() == 0

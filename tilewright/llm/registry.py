@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
+        "op13_rules": rules.op13_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": url_filter.OP1_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op13_rules": rules.OP13_SQL}

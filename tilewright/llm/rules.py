@@ -35,6 +35,11 @@ STOP_WORDS = (
 PLACE_BITS = 24
 
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capitals", "n_shouts", "n_stops", "n_bullets", "n_cut_lines",
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``low <= part / whole <= high`` as fractions of whole numbers; a bound of None isn't asked. A text whose ``whole`` is 0 passes."""
@@ -171,7 +176,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_cut_lines": among(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|\u2026)$")),
         }
     )
-    return with_repeated_words(measured, f"{free}words", "n_repeat_words").drop(*[f"{free}{x}" for x in ("text", "words", "lines", "odd")])
+    measured = with_repeated_words(measured, f"{free}words", "n_repeat_words")
+    # Filters on the measures stay above the generator; pushed further, they would work the measures out anew at each mention.
+    return measured.select(*[c for c in docs.columns if c.lower() not in MEASURES], F.inline_outer(F.array(F.struct(*MEASURES))))
 
 
 def judged(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, idx long, fp string, size string, row string, part string, score string"
@@ -691,3 +691,85 @@ def test_rules_keep_good_documents(spark):
     got = rules.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     assert got.where("quality = 1 and not base_failed and not kept").count() == 0
     assert got.where("quality = 0 and kept").count() == 0
+
+
+def plain_alignment(texts: list) -> list[tuple]:
+    """The contract read literally: whole texts, all links one by one."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    ta = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ta.encode_special_tokens = True
+    tb = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codes = {c: b for c, b in token_output.byte_symbols().items()}
+    docs, held = [], Counter()
+    for text in texts:
+        want = f" {text}".encode() if text else b""
+        a = ta.encode(f" {text}", add_special_tokens=False) if text else None
+        ids_b = tb.encode(text) if text else []
+        raw_a = [bytes(codes[c] for c in t) for t in a.tokens] if text else []
+        pieces = [tb.id_to_piece(i) for i in ids_b]
+        raw_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("\u2581", " ").encode() for p in pieces]
+        if not text or b"".join(raw_a) != want or b"".join(raw_b) != want:
+            docs.append(([], [], []))
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in raw_a]), np.cumsum([len(x) for x in raw_b])
+        common = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
+        group = lambda ends: [sum(c < e for c in common) for e in ends.tolist()]
+        ga, gb = group(ends_a), group(ends_b)
+        groups = [([i for i, x in zip(a.ids, ga, strict=True) if x == g], [i for i, x in zip(ids_b, gb, strict=True) if x == g]) for g in range(len(common))]
+        docs.append((a.ids, ids_b, groups))
+        held.update({(x, y) for xs, ys in groups for x in xs for y in ys})
+    most: dict = {}
+    for (x, _), n in held.items():
+        most[x] = max(n, most.get(x, 0))
+    out = []
+    for a, b, groups in docs:
+        links = [(x, y) for xs, ys in groups for x in xs for y in ys]
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        out.append((len(a), len(b), len(groups), len(links), sum(held[p] == most[p[0]] for p in links), sum(held[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if groups else ""))
+    return out
+
+
+ODD_TEXTS = [
+    None, "", " ", "  ", "a", " a", "a ", "a  b   c", "a\n b \n\n c\n", "tab\tx \t y", "can't we'll I'M", "<|endoftext|> x<s></s> <unk>", "x\u2581y", "\u2581",
+    "\u00a0x \u2003 y\u3000", "naïve café e\u0301 ﬁ", "\U0001f600 \U0001f468\u200d\U0001f469 x", "漢字かな交じり文 です", "\x00a \x1c b\x85c", "1234567 890,12", "a" * 700, "z9" * 300 + " end", "\ufeff \u180e x\u200b y",
+    "<0x41> <0x0A>",
+]
+
+
+@pytest.mark.parametrize("memory", [alignment.MEMORY, 1000])
+@pytest.mark.parametrize("hot", [alignment.HOT_PAIRS, 30])
+def test_alignment_against_plain_links(spark, rows, monkeypatch, hot, memory):
+    import public_tokenizers
+
+    if (hot == 30) == (memory == 1000):
+        monkeypatch.setattr(alignment, "MEMORY", memory)
+        monkeypatch.setattr(alignment, "HOT_PAIRS", hot)
+        texts = [*ODD_TEXTS, *[r[1] for r in rows[:12]], rows[0][1], "Größe " * 30]
+        df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_a long, row string").repartition(3)
+        out = alignment.align_corpus(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+        assert out.columns == ["doc_id", "row", *alignment.NUMBERS, "n_best", "count_sum", "groups_sha256"]
+        got = {r["doc_id"]: tuple(r)[2:] for r in out.collect()}
+        for i, want in enumerate(plain_alignment(texts)):
+            assert got[i] == want, texts[i]
+        assert alignment.align_corpus(df.limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_alignment_of_random_texts():
+    """Segments stand for themselves: groups of a text cut into segments are those of the whole text."""
+    import public_tokenizers
+
+    aligner = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(1)
+    alphabet = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1f", "'s", "don't", "the", "ing", "é", "e\u0301", "1", "23", "!", "...", "\u2581", "漢", "\U0001f600", "<s>", "\u200b", "A", "Zq"]
+    for n in range(400):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 40)))
+        if n % 3:
+            text = text.replace("\u2581", "")
+        got = aligner.batch([text])
+        groups = alignment.groups_of(aligner, text)
+        written = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        assert got["groups_sha256"][0] == (hashlib.sha256(written.encode()).hexdigest() if groups else ""), repr(text)
+        assert got["n_links"][0] == sum(len(x) * len(y) for x, y in groups)

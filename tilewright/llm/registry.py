@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
+        "op11_alignment": alignment.op11_alignment,
         "op13_rules": rules.op13_rules,
     }
 

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,14 @@ from tilewright.functions.lineage import cut
 from tilewright.llm.token_output import byte_symbols
 from tilewright.llm.workers import trim
 
-#: Bytes that a worker remembers of segments with their alignment, roughly; some 400 of an entry are overhead.
-MEMORY, OVERHEAD = 96 << 20, 400
+#: Bytes that a worker remembers of segments with their alignment, roughly; some 350 of an entry are overhead.
+MEMORY, OVERHEAD = 128 << 20, 350
 #: Characters of texts that are worked on at once; one longer text is taken alone.
 CHARS = 2_000_000
 #: Pairs of ids that are broadcast with their counts, at most (16 bytes each); the rest is joined by a shuffle.
 HOT_PAIRS = 200_000
+#: Links of a group from which on they are counted by distinct ids.
+LARGE = 4096
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 #: A blank after anything but white space begins a segment.
 _segments = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
@@ -59,6 +61,8 @@ class Aligner:
         for token, i in vocabulary.items():
             self.a_bytes[i] = b"".join(symbols.get(c, c.encode()) for c in token)
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.name = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.width = len(self.b_bytes)
         self.kind = np.int32 if len(self.a_bytes) * self.width < 2**31 else np.int64
         self._forget()
@@ -70,12 +74,13 @@ class Aligner:
         return piece.replace(BLANK, " ").encode()
 
     def _forget(self) -> None:
+        """Nothing is known. Of segment k: ``written[k]``, ``sizes[k]``, and its links at ``starts[k]:starts[k + 1]``."""
         self.known: dict[str, int] = {}
         self.free = MEMORY
-        self.sizes: list[tuple[int, int, int, int, bool]] = []  # n_a, n_b, n_groups, n_links, whether the bytes agree
-        self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.written: list[str] = []
+        self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes differ
+        self.starts = np.zeros(1, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids by A of a text that begins with a blank, and by B, which adds that blank itself."""
@@ -87,70 +92,84 @@ class Aligner:
         raw = text.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
 
-    def align(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Groups of tokens between ends that both sides have."""
-        a_at, b_at = self._ends(a, self.a_bytes), self._ends(b, self.b_bytes)
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ends in bytes that both sides have, and how many tokens of each side stand before each."""
+        a_at = dict(zip(np.cumsum(self.a_size[a]).tolist(), range(1, len(a) + 1), strict=True))
+        b_at = dict(zip(np.cumsum(self.b_size[b]).tolist(), range(1, len(b) + 1), strict=True))
+        common = sorted(a_at.keys() & b_at.keys())
+        return common, *(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
+
+    def _slices(self, a: list[int], b: list[int], k: np.ndarray, m: np.ndarray) -> list[str]:
+        """Each group as text: the ids of A, a bar, the ids of B."""
+        xs, ys = list(map(self.name.__getitem__, a)), list(map(self.name.__getitem__, b))
         out, i, j = [], 0, 0
-        for end in sorted(a_at.keys() & b_at.keys()):
-            k, m = a_at[end], b_at[end]
-            out.append((a[i:k], b[j:m]))
-            i, j = k, m
+        for to_a, to_b in zip(k.tolist(), m.tolist(), strict=True):
+            if to_a - i == 1 and to_b - j == 1:
+                out.append(f"{xs[i]}|{ys[j]}")
+            else:
+                out.append(f"{','.join(xs[i:to_a])}|{','.join(ys[j:to_b])}")
+            i, j = to_a, to_b
         return out
 
-    @staticmethod
-    def _ends(ids: list[int], table: list[bytes]) -> dict[int, int]:
-        """End in bytes to the number of tokens up to it; of tokens without bytes the last one counts."""
-        ends, end = {}, 0
-        for n, i in enumerate(ids, 1):
-            end += len(table[i])
-            ends[end] = n
-        return ends
-
-    def _add(self, segment: str, a: list[int], b: list[int], ok: bool) -> None:
-        groups = self.align(a, b) if ok else []
-        counts: Counter = Counter()
-        for xs, ys in groups:
-            if len(xs) == 1 and len(ys) == 1:
-                counts[xs[0] * self.width + ys[0]] += 1
-            else:  # by distinct ids, so that a long group without common ends isn't written out
-                cx, cy = Counter(xs), Counter(ys)
-                for x, nx in cx.items():
-                    for y, ny in cy.items():
-                        counts[x * self.width + y] += nx * ny
-        self.known[segment] = len(self.sizes)
-        self.sizes.append((len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), ok))
-        self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.pairs.append(np.fromiter(counts.keys(), np.int64, len(counts)))
-        self.times.append(np.fromiter(counts.values(), np.int64, len(counts)))
-        self.free -= OVERHEAD + 2 * len(segment) + len(self.groups[-1]) + 16 * len(counts)
+    def _links(self, a: np.ndarray, b: np.ndarray, k: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, pair, times): every link of every group; a group of over LARGE links has a row for each distinct pair."""
+        at_a, at_b = np.concatenate([[0], k[:-1]]), np.concatenate([[0], m[:-1]])
+        n_b, many = m - at_b, (k - at_a) * (m - at_b)
+        small = np.where(many <= LARGE, many, 0)
+        group = np.repeat(np.arange(len(k)), small)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(small) - small, small)
+        pair = a[at_a[group] + place // n_b[group]] * self.width + b[at_b[group] + place % n_b[group]]
+        groups, pairs, times = [group], [pair], [np.ones(len(pair), np.int64)]
+        for g in np.flatnonzero(many > LARGE):
+            x, nx = np.unique(a[at_a[g] : k[g]], return_counts=True)
+            y, ny = np.unique(b[at_b[g] : m[g]], return_counts=True)
+            pairs.append((x[:, None] * self.width + y).ravel())
+            times.append((nx[:, None] * ny).ravel())
+            groups.append(np.full(len(pairs[-1]), g))
+        group, pair, one = (np.concatenate(v) for v in (groups, pairs, times))
+        order = np.argsort(group, kind="stable") if len(groups) > 1 else slice(None)
+        return group[order], pair[order], one[order]
+
+    def _add(self, segments: list[str], ends: np.ndarray, a: list[int], b: list[int]) -> None:
+        """Remember segments that stand side by side, given their ends in bytes and all their tokens."""
+        common, k, m = self.align(a, b)
+        upto = np.searchsorted(common, ends) + 1  # groups up to each segment's end
+        seg = np.searchsorted(upto, np.arange(len(common)), side="right")
+        group, pair, times = self._links(np.asarray(a, np.int64), np.asarray(b, np.int64), k, m)
+        by = lambda v: np.bincount(seg[group], weights=v, minlength=len(segments)).astype(np.int64)
+        each = lambda v: np.diff(v[upto - 1], prepend=0)
+        sizes = np.stack([each(k), each(m), np.diff(upto, prepend=0), by(times), np.zeros(len(ends), np.int64)], axis=1)
+        written, g = self._slices(a, b, k, m), 0
+        for to in upto.tolist():
+            self.written.append(";".join(written[g:to]))
+            g = to
+        self._store(segments, sizes, by(np.ones(len(group))), pair, times)
+
+    def _store(self, segments: list[str], sizes: np.ndarray, rows: np.ndarray, pair: np.ndarray, times: np.ndarray) -> None:
+        first = len(self.sizes)
+        self.known.update(zip(segments, range(first, first + len(segments)), strict=True))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(rows)])
+        self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
+        self.free -= sum(OVERHEAD + 2 * len(s) + len(w) for s, w in zip(segments, self.written[first:], strict=True)) + 16 * len(pair)
 
     def learn(self, segments: list[str]) -> None:
         """Align segments that aren't known yet; all that may stand side by side are encoded as one text."""
         plain = [s for s in segments if BLANK not in s and not s[-1].isspace()]
-        raw = [s.encode() for s in plain]
-        whole = "".join(plain)
-        a, b = self.encode(whole) if plain else ([], [])
-        cuts_a, cuts_b = self._cuts(a, self.a_bytes, raw), self._cuts(b, self.b_bytes, raw)
-        if not plain or (cuts_a is None or cuts_b is None) or not self.agree(whole, a, b):
-            plain = []
-        i = j = 0
-        for s, k, m in zip(plain, cuts_a or [], cuts_b or [], strict=False):
-            self._add(s, a[i:k], b[j:m], True)
-            i, j = k, m
+        if plain:
+            whole = "".join(plain)
+            a, b = self.encode(whole)
+            ends = np.cumsum([len(s.encode()) for s in plain])
+            if self.agree(whole, a, b) and np.isin(ends, np.cumsum(self.a_size[a])).all() and np.isin(ends, np.cumsum(self.b_size[b])).all():
+                self._add(plain, ends, a, b)
         for s in segments:
             if s not in self.known:
                 a, b = self.encode(s)
-                self._add(s, a, b, self.agree(s, a, b))
-
-    @staticmethod
-    def _cuts(ids: list[int], table: list[bytes], raw: list[bytes]) -> list[int] | None:
-        """How many tokens stand before the end of each piece of bytes; None if a token crosses an end."""
-        ends = np.cumsum([len(table[i]) for i in ids], dtype=np.int64)
-        want = np.cumsum([len(r) for r in raw], dtype=np.int64)
-        at = np.searchsorted(ends, want)
-        if len(want) and (at[-1] >= len(ends) or not np.array_equal(ends[at], want)):
-            return None
-        return (at + 1).tolist()
+                if self.agree(s, a, b):
+                    self._add([s], np.array([len(s.encode())]), a, b)
+                else:
+                    self.written.append("")
+                    self._store([s], np.array([[0, 0, 0, 0, 1]]), np.zeros(1, np.int64), self.pairs[:0], self.times[:0])
 
     def batch(self, texts: list[str]) -> dict[str, list]:
         """Digests of texts, and each one's distinct pairs of ids with the number of their links."""
@@ -161,41 +180,40 @@ class Aligner:
         for at in range(0, len(new), 20_000):
             self.learn(new[at : at + 20_000])
         known = self.known
-        ids = [np.fromiter(map(known.__getitem__, p), np.int64, len(p)) for p in parts]
+        ids = [list(map(known.__getitem__, p)) for p in parts]
         doc = np.repeat(np.arange(len(texts)), [len(i) for i in ids])
-        at = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        table = np.array([(*s[:4], not s[4]) for s in self.sizes], np.int64).reshape(-1, 5)
-        sums = np.zeros((len(texts), 5), np.int64)
-        for c in range(5):
-            sums[:, c] = np.bincount(doc, weights=table[at, c], minlength=len(texts))[: len(texts)] if len(at) else 0
+        at = np.fromiter(chain.from_iterable(ids), np.int64, len(doc))
+        sums = np.stack([np.bincount(doc, weights=self.sizes[at, c], minlength=len(texts)) for c in range(5)], axis=1).astype(np.int64)
         good = sums[:, 4] == 0
         sums[~good] = 0
-        keep = good[doc]
         # Each text's distinct segments with their number, and from them its pairs with the number of links.
-        seen, many = np.unique(doc[keep] * len(self.sizes) + at[keep], return_counts=True)
-        seg_doc, seg = seen // max(1, len(self.sizes)), seen % max(1, len(self.sizes))
-        lens = np.array([len(p) for p in self.pairs], np.int64)[seg] if len(seg) else np.zeros(0, np.int64)
-        pair = np.concatenate([self.pairs[s] for s in seg]) if len(seg) else np.zeros(0, np.int64)
-        links = np.concatenate([self.times[s] for s in seg]) if len(seg) else np.zeros(0, np.int64)
-        links = links * np.repeat(many, lens)
+        n = max(1, len(self.sizes))
+        seen, many = np.unique(doc[good[doc]] * n + at[good[doc]], return_counts=True)
+        seg_doc, seg = seen // n, seen % n
+        lens = self.starts[seg + 1] - self.starts[seg]
+        take = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(self.starts[seg], lens)
+        pair, links = self.pairs[take], self.times[take] * np.repeat(many, lens)
         span = len(self.a_bytes) * self.width
         key, inverse = np.unique(np.repeat(seg_doc, lens) * span + pair, return_inverse=True)
         total = np.bincount(inverse, weights=links, minlength=len(key)).astype(np.int64) if len(key) else links
         offsets = np.searchsorted(key // span, np.arange(len(texts) + 1)).astype(np.int32)
         digest = []
-        for p, ok in zip(parts, good, strict=True):
-            text = ";".join([self.groups[known[s]] for s in p]) if ok and p else ""
+        for i, ok in zip(ids, good, strict=True):
+            text = ";".join(map(self.written.__getitem__, i)) if ok else ""
             digest.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
         lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((key % span).astype(self.kind), total)]
         return {"n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3], "groups_sha256": digest, "pairs": lists[0], "links": lists[1]}
 
 
 def groups_of(aligner: Aligner, text: str | None) -> list[tuple[list[int], list[int]]]:
-    """Groups of one whole text; none if it has no tokens."""
+    """Groups of one whole text, as ids of both sides; none if it has no tokens."""
     if not text:
         return []
     a, b = aligner.encode(f" {text}")
-    return aligner.align(a, b) if aligner.agree(f" {text}", a, b) else []
+    if not aligner.agree(f" {text}", a, b):
+        return []
+    _, k, m = aligner.align(a, b)
+    return [(a[i:to_a], b[j:to_b]) for i, to_a, j, to_b in zip([0, *k[:-1]], k, [0, *m[:-1]], m, strict=True)]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """The operators against plain versions, and on nulls, ties, long texts, empty tables and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, negatives, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, idx long, fp string, size string, row string, part string, score string"
@@ -773,3 +774,54 @@ def test_alignment_of_random_texts():
         written = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
         assert got["groups_sha256"][0] == (hashlib.sha256(written.encode()).hexdigest() if groups else ""), repr(text)
         assert got["n_links"][0] == sum(len(x) * len(y) for x, y in groups)
+
+
+def plain_negatives(rows: list[tuple]) -> Counter:
+    """The contract read literally over (vec_id, embedding, label); the order of rows breaks what ties are left."""
+    taken = []
+    for i, v, label in rows:
+        if label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        taken.append((i, [math.floor(256 * float(x)) for x in v], (label + 1) % 10 if i is not None and i % 7 == 0 else label))
+    out: Counter = Counter()
+    last = lambda i: 2**63 if i is None else i
+    for n, (anchor, q, label) in enumerate(taken):
+        if anchor is None or anchor % 100:
+            continue
+        scored = [(-sum(a * b for a, b in zip(q, v, strict=False)), last(i), i, lab) for m, (i, v, lab) in enumerate(taken) if m != n]
+        scored.sort(key=lambda t: t[:2])
+        for ps, _, pid, _ in [t for t in scored if t[3] == label][:5]:
+            inside = [t for t in scored if t[3] != label and 80 * -ps <= 100 * -t[0] <= 100 * -ps]
+            for rank, (ns, _, nid, _) in enumerate(inside[:5], 1):
+                out[anchor, pid, rank, nid, -ps, -ns] += 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "chunk", "scale"), [(64, 3, 1.0), (4096, 20_000, 1.0), (50, 4, 30000.0)])
+def test_negatives_against_all_pairs(spark, monkeypatch, block, chunk, scale):
+    r = np.random.default_rng(4)
+    vectors = (r.normal(0, 0.2, (700, 9)) + r.normal(0, 0.3, (4, 9))[r.integers(0, 4, 700)]) * scale
+    vectors[300:380] = vectors[300]  # copies, which tie
+    rows = [(int(i), [float(x) for x in v.astype(np.float32)], int(r.integers(0, 10))) for i, v in enumerate(vectors)]
+    rows += [(700, None, 1), (800, [1.0, None], 1), (900, [float("nan")] * 9, 2), (1000, [float("inf")] * 9, 2), (1100, [0.5] * 9, None), (None, rows[300][1], 3), (None, None, None)]
+    rows += [(1200, [], 4), (1300, [0.5, 0.25], 5), (1400, [0.25] * 12, 5), rows[100], rows[200]]
+    monkeypatch.setattr(negatives, "BLOCK", block)
+    df = spark.createDataFrame([(i, v, label, "x", 1) for i, v, label in rows], "vec_id long, embedding array<float>, label int, row string, n int").repartition(5)
+    got = negatives.mine(negatives.quantised(df), chunk=chunk)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert Counter(tuple(x) for x in got.collect()) == plain_negatives(rows)
+    assert negatives.mine(negatives.quantised(df.limit(0))).count() == 0
+    assert negatives.mine(negatives.quantised(df.where("vec_id = 3"))).count() == 0
+
+
+def test_negative_bounds_drop_candidates_early():
+    """The scan reads fewer columns of candidates whose bounds leave the window, and its scores are exact."""
+    r = np.random.default_rng(2)
+    columns = np.floor(r.normal(0, 5, (64, 500))).astype(np.float64)
+    block = negatives.Block(columns, np.arange(500), np.arange(500), np.zeros(500, np.int64))
+    q = columns[:, 7] * np.geomspace(8, 0.01, 64)
+    want = q @ columns
+    for low, high in [(-np.inf, np.inf), (np.quantile(want, 0.99), np.inf), (0, np.quantile(want, 0.6)), (want.max() + 1, np.inf)]:
+        left, score = block.scan(q, np.arange(500) % 3 > 0, low, high)
+        assert left.tolist() == [i for i in range(500) if i % 3 and low <= want[i] <= high]
+        assert np.allclose(score, want[left])

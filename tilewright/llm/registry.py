@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, quality, rules, sharding, simhash, token_counts, token_output, url_filter
+from tilewright.llm import alignment, decontaminate, html_text, mixing, multiset_hash, negatives, quality, rules, sharding, simhash, token_counts, token_output, url_filter
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
         "op11_alignment": alignment.op11_alignment,
+        "op12_negatives": negatives.op12_negatives,
         "op13_rules": rules.op13_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op13_rules": rules.OP13_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op12_negatives": negatives.OP12_SQL, "op13_rules": rules.OP13_SQL}

@@ -1,6 +1,9 @@
 """Golden values, properties and plan checks of the raster operators."""
 
 import os
+import tarfile
+import threading
+from io import BytesIO
 
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import evaluate as ev
 from tilewright.operators import packed, raster, sampling, score, stats, vector
+from tilewright.functions.lineage import cut, scratch, shared_dir
 from tilewright.functions.ordering import with_index, with_running_sum
 from tilewright.plans import catalog, fixtures
 from tilewright.sources import io
@@ -266,3 +270,54 @@ def test_files_round_trip(spark, tmp_path):
     io.write_area(catalog.queries()["area_by_year"](spark, SF), str(tmp_path / "area"))
     assert spark.read.csv(str(tmp_path / "area"), header=True).columns[:2] == ["img", "total"]
     io.write_usage(catalog.queries()["usage"](spark, SF), str(tmp_path / "usage"))
+
+
+def test_scratch_blocks_belong_to_their_thread(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    gate = threading.Barrier(2)
+
+    def first():
+        with scratch(spark):
+            gate.wait(60)  # both blocks are open
+            cut(spark.range(10))
+            gate.wait(60)
+        gate.wait(60)  # this block is over
+
+    def second():
+        with scratch(spark):
+            gate.wait(60)
+            df = cut(spark.range(20))
+            gate.wait(60)
+            gate.wait(60)
+            return df.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        done = [pool.submit(first), pool.submit(second)]
+        assert done[0].result() is None and done[1].result() == 20
+
+
+def test_shared_folder_without_a_setting():
+    class Context:
+        master, applicationId = "local", "app-7"
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    assert shared_dir(Session) == shared_dir(Session) and os.path.isdir(shared_dir(Session))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://local[2]"):
+        Context.master = master
+        with pytest.raises(ValueError):
+            shared_dir(Session)
+
+
+def test_shards_with_folders(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for name, data in [("v1.2", None), ("v1.2/a.tif", b"1"), ("v1.2/a.txt.gz", b"22"), ("b.tif", b"3"), ("v1.2/.hidden", b"4")]:
+            info = tarfile.TarInfo(name)
+            info.type = tarfile.DIRTYPE if data is None else tarfile.REGTYPE
+            info.size = len(data or b"")
+            tar.addfile(info, BytesIO(data) if data else None)
+    got = {r["key"]: {k: bytes(v) for k, v in r["parts"].items()} for r in io.read_shards(spark, str(tmp_path)).collect()}
+    assert got == {"v1.2/a": {"tif": b"1", "txt.gz": b"22"}, "b": {"tif": b"3"}, "v1.2/": {"hidden": b"4"}}

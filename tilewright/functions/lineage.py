@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written inside the open blocks of ``scratch``, the innermost one last.
-_OPEN: list[list[str]] = []
+class _Blocks(threading.local):
+    """Folders written inside the open blocks of ``scratch`` of this thread, the innermost one last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_BLOCKS = _Blocks()
+#: Folders of local sessions without a setting, by application.
+_LOCAL: dict[str, str] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local session (tests) gets a temporary folder and puts it into the
-    session's setting; a cluster without the setting is an error, because a machine-local
-    folder would lose rows there.
+    Where it is unset, a local session (tests) gets a temporary folder, one for its application;
+    a cluster without the setting is an error, because a machine-local folder would lose rows there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tilewright-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="tilewright-")
+        return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -47,27 +59,30 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Inside a block of ``scratch`` the files go at its end.
     """
     path = fresh_path(df.sparkSession, name)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _BLOCKS.open:
+        _BLOCKS.open[-1].append(path)
     return _written(df, path)
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Like ``cut``, but the files outlive the innermost block of ``scratch`` (an outer one deletes them at its end)."""
     path = fresh_path(df.sparkSession, name)
-    if len(_OPEN) > 1:
-        _OPEN[-2].append(path)
+    if len(_BLOCKS.open) > 1:
+        _BLOCKS.open[-2].append(path)
     return _written(df, path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """A block whose ``cut`` files are deleted at its end; what leaves it must go through ``keep``."""
-    _OPEN.append([])
+    """A block whose ``cut`` files are deleted at its end; what leaves it must go through ``keep``.
+
+    A block belongs to the thread that opens it, so runs in other threads keep their files.
+    """
+    _BLOCKS.open.append([])
     try:
         yield
     finally:
-        discard(spark, *_OPEN.pop())
+        discard(spark, *_BLOCKS.open.pop())
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

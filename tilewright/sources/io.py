@@ -40,6 +40,13 @@ def write_tiles(df: DataFrame, path: str, year: str | None = None) -> None:
     (writer.partitionBy(year) if year else writer).parquet(path)
 
 
+def member_key(name: str) -> tuple[str, str]:
+    """Key and part of a member: its name is cut at the first dot after its last folder, which the key keeps."""
+    folder, _, base = name.rpartition("/")
+    key, _, part = base.partition(".")
+    return (f"{folder}/{key}" if folder else key), part
+
+
 def read_shards(spark: SparkSession, path: str | list[str], glob: str = "*.tar") -> DataFrame:
     """Tar shards of one or several folders as samples: (shard, pos, key, parts); members of a key are one sample."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -51,8 +58,9 @@ def read_shards(spark: SparkSession, path: str | list[str], glob: str = "*.tar")
                 samples: dict[str, list[tuple[str, bytes]]] = {}
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                     for m in tar:
-                        key, _, suffix = m.name.partition(".")
-                        samples.setdefault(key, []).append((suffix, tar.extractfile(m).read()))
+                        if m.isfile():  # folders, links and devices are no samples
+                            key, suffix = member_key(m.name)
+                            samples.setdefault(key, []).append((suffix, tar.extractfile(m).read()))
                 rows = [(shard, i, k, v) for i, (k, v) in enumerate(samples.items())]
                 yield pd.DataFrame(rows, columns=["shard", "pos", "key", "parts"])
 

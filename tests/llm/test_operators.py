@@ -825,3 +825,26 @@ def test_negative_bounds_drop_candidates_early():
         left, score = block.scan(q, np.arange(500) % 3 > 0, low, high)
         assert left.tolist() == [i for i in range(500) if i % 3 and low <= want[i] <= high]
         assert np.allclose(score, want[left])
+
+
+def test_mixing_takes_any_column_names(spark):
+    names = ["m", "h", "size", "source_size", "target", "copies", "whole", "x", "extra", "key", "stratum", "group", "e", "rate", "s", "__copies", "__m", "__dh", "__row", "___h"]
+    rows = [(i, prose(i, 40), f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(12)] + [(3, prose(3, 40), "s1", *[f"{c}3" for c in names])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in names]]))
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+
+
+def test_contaminated_texts_are_read_by_key(spark, monkeypatch):
+    """Only the texts of documents with a matched slot move, and the plan without a broadcast gives the same."""
+    item = "A farmer in Dover sold 25 apples and 17 pears at the market for 3 dollars each before the rain began to fall on the old town"
+    variant = item.replace("25", "31").replace("17", "12")
+    texts = [item, variant, variant.replace("12", "99 red") , prose(1, 80), None, "word " * 20_000 + variant, variant]
+    docs = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)] + [(1, variant)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = []
+    for keys in (decontaminate.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
+        found.append(sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()))
+    assert found[0] == found[1] and {0, 1, 5} <= {d for d, _ in found[0]} and 3 not in {d for d, _ in found[0]}

@@ -24,6 +24,8 @@ COVER = 0.5
 RUN = 16
 #: The benchmark's windows are broadcast if they take at most so many bytes, slot values included; more are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Keys of documents (16 bytes each) that are broadcast, at most.
+BROADCAST_KEYS = 500_000
 
 #: Placeholders are characters for private use, so that no text word equals one.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -139,7 +141,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id
     match with consistent slots. Slots are judged by place: for each alignment of document and item,
     for alignments less than half an item apart (words put in or left out move the rest), and for
     the whole document; the best of them counts. Null texts are empty and hold nothing. Repeated rows give one row; equal texts under
-    different ids one each. Empty tables give an empty result. Other columns are not read.
+    different ids one each. Empty tables give an empty result. Other columns are not read. Texts of any
+    length are read whole.
     """
     grams = cut(benchmark_windows(benchmark), "benchmark-windows")
     table = grams.select("hash").distinct()
@@ -157,12 +160,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id
     slotted = grams.where(F.size("ivalues") > 0).select("hash").distinct()
     asked = hits.join(hint(slotted), "hash", "left_semi").select("doc_id", "h", "pos", "width").distinct()
     asked = cut(asked.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "width")).alias("places")), "slot-places")
-    if asked.isEmpty():
+    n_asked = asked.count()
+    if not n_asked:
         valued = hits.withColumn("values", F.array().cast("array<string>"))
     else:
-        again = base.dropDuplicates(["doc_id", "h"]).alias("b").join(
-            asked.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.h") == F.col("a.h"))
-        )
+        # Only texts of the documents asked for move: their keys are few enough to be broadcast, or the join is by key.
+        keys = asked.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"))
+        keys = F.broadcast(keys) if n_asked <= BROADCAST_KEYS else keys
+        wanted = base.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left_semi").dropDuplicates(["doc_id", "h"])
+        again = wanted.alias("b").join(asked.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.h") == F.col("a.h")))
         read = again.select("b.doc_id", "b.h", "places", template(F.col("text")).alias("words"), slots(F.col("text")).alias("values"))
         found = read.select("doc_id", "h", "words", "values", F.inline("places"))
         found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), F.col("pos").alias("p"), F.col("width").alias("w"), _values_at(F.col("pos"), F.col("width")).alias("values"))

@@ -173,18 +173,24 @@ def _together(docs: DataFrame, h: Column, weights: Sequence[float], most: int, s
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
     """The mixed rows with all their columns: each row as many times as the plan has copies of it.
 
-    Rows count as identical if all their columns are equal.
+    Rows count as identical if all their columns are equal. Null texts have size 0 and are taken once;
+    null sources are a source of their own. An empty table gives none. Columns may have any names:
+    those of the plan have a prefix that no column of the rows begins with.
     """
+    pre = "__"
+    while any(c.startswith(pre) for c in docs.columns):
+        pre += "_"
+    name = lambda c: F.col(f"{pre}{c}")
     same_row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    keyed = docs.withColumn("__dh", same_row)
+    keyed = docs.withColumn(f"{pre}row", same_row)
     plan = _together(docs, same_row, weights, most, seed, "doc_id", "text", "source").where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__h"), "m", F.sequence(F.lit(1), F.col("copies")).alias("__copies"))
-    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (keyed["__dh"] == F.col("__h"))
-    taken = keyed.join(plan.where("m = 1"), same)
-    repeated = plan.where("m > 1")
+    plan = plan.select(*[F.col(c).alias(f"{pre}{c}") for c in ("doc_id", "source", "h", "m")], F.sequence(F.lit(1), F.col("copies")).alias(f"{pre}copies"))
+    same = keyed["doc_id"].eqNullSafe(name("doc_id")) & keyed["source"].eqNullSafe(name("source")) & (name("row") == name("h"))
+    taken = keyed.join(plan.where(name("m") == 1), same)
+    repeated = plan.where(name("m") > 1)
     if not repeated.isEmpty():
-        taken = taken.unionByName(keyed.join(repeated, same).dropDuplicates(["__dh", "__id", "__source"]))
-    return taken.withColumn("__copy", F.explode("__copies")).select(*[F.col(c) for c in docs.columns])
+        taken = taken.unionByName(keyed.join(repeated, same).dropDuplicates([f"{pre}{c}" for c in ("row", "doc_id", "source")]))
+    return taken.withColumn(f"{pre}copy", F.explode(name("copies"))).select(*[F.col(c) for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -848,3 +848,39 @@ def test_contaminated_texts_are_read_by_key(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
         found.append(sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()))
     assert found[0] == found[1] and {0, 1, 5} <= {d for d, _ in found[0]} and 3 not in {d for d, _ in found[0]}
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<h1>Title</h1><p>Short intro of the page.</p><div><p>{0}</p><p>{1}</p></div><p>Short end.</p>", ["Title", "Short intro of the page.", "{0}", "{1}", "Short end."]),
+        ("<section><h2>One</h2><p>{0}</p><p>{1}</p></section><section><h2>Two</h2><p>Brief.</p></section>", ["One", "{0}", "{1}", "Two", "Brief."]),
+        ("<article><header><h1>T</h1><p>Lead of it.</p></header><p>{0}</p></article>", ["T", "Lead of it.", "{0}"]),
+        ("<article><h1>T</h1><p>{0}</p><p class='related work'>Earlier papers.</p><p class='ad'>Buy.</p></article>", ["T", "{0}", "Earlier papers."]),
+        ("loose words<div><p>{0}</p><p>{1}</p></div>last <b>words</b><h2>Alone</h2>", ["loose words", "{0}", "{1}", "last words", "Alone"]),
+        ("<header><h1>Site</h1></header><div><p>{0}</p></div><h3>More</h3><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul><div>\u00a9 2020 Site</div>", ["{0}"]),
+        ("<h3>Advert</h3><div class='ad'>Buy</div><h1>T</h1><script>x()</script><p>{0}</p><form><p>{1}</p></form><footer>end</footer>", ["T", "{0}"]),
+    ],
+)
+def test_pages_keep_what_stands_beside_the_container(body, text):
+    long = [prose(91, 60), prose(92, 80)]
+    assert html_text.main_text(f"<html><body>{body.format(*long)}</body></html>") == "\n\n".join(t.format(*long) for t in text)
+
+
+def test_pages_without_an_article_lose_nothing():
+    r = random.Random(8)
+    for n in range(150):
+        words = lambda k: prose(r.randrange(10**6), k).replace("\n", " ")
+        main = [f"<p>{words(r.randint(20, 90))}</p>" for _ in range(r.randint(2, 6))]
+        before = [f"<h1>{words(9)}</h1>", *[f"<{t}>{words(r.choice([9, 9, 18]))}</{t}>" for t in r.choices(["p", "div", "h2", "blockquote"], k=r.randint(0, 3))]]
+        after = [f"<{t}>{words(9)}</{t}>" for t in r.choices(["p", "section", "div"], k=r.randint(0, 3))]
+        junk = ["<nav><a href='/'>Home</a></nav>", "<div class='ad'>junk text</div>", "<aside>junk aside</aside>", "<ul><li><a href='#'>junk</a></li></ul>", "<form>junk</form>"]
+        for part in (before, after):
+            part.insert(r.randint(1, len(part)) if part else 0, r.choice(junk))
+        page = "".join([*before, "<div class='body'>", *main, "</div>", *after, "<footer>junk</footer>"])
+        want = re.findall(r"<(?:h1|h2|p|div|section|blockquote)>([^<]+)</", page)
+        got = html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n")
+        dropped = [w for w in want if w not in got]
+        # A heading just before what is left out leads to that, and goes with it.
+        assert all(re.search(rf"<h2>{re.escape(w)}</h2>(<nav|<div class='ad'|<aside|<ul|<form|<footer)", page) for w in dropped), page
+        assert [g for g in got if g not in want] == []

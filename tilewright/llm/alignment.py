@@ -28,7 +28,7 @@ from tilewright.llm.token_output import byte_symbols
 from tilewright.llm.workers import trim
 
 #: Bytes that a worker remembers of segments with their alignment, roughly; some 350 of an entry are overhead.
-MEMORY, OVERHEAD = 128 << 20, 350
+MEMORY, OVERHEAD = 160 << 20, 350
 #: Characters of texts that are worked on at once; one longer text is taken alone.
 CHARS = 2_000_000
 #: Pairs of ids that are broadcast with their counts, at most (16 bytes each); the rest is joined by a shuffle.
@@ -74,13 +74,30 @@ class Aligner:
         return piece.replace(BLANK, " ").encode()
 
     def _forget(self) -> None:
-        """Nothing is known. Of segment k: ``written[k]``, ``sizes[k]``, and its links at ``starts[k]:starts[k + 1]``."""
+        """Nothing is known. Of segment k: ``written[k]``, ``sizes[k]``, how often it was met, and its links at ``starts[k]:starts[k + 1]``."""
         self.known: dict[str, int] = {}
         self.free = MEMORY
         self.written: list[str] = []
         self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whether the bytes differ
         self.starts = np.zeros(1, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Make room: the half that was met least goes."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: len(self.met) // 2])
+        names, written, sizes, met = list(self.known), self.written, self.sizes[keep], self.met[keep] // 2
+        take, rows = self._rows(keep)
+        pairs, times = self.pairs[take], self.times[take]
+        self._forget()
+        self.written = [written[k] for k in keep.tolist()]
+        self._store([names[k] for k in keep.tolist()], sizes, rows, pairs, times)
+        self.met = met
+
+    def _rows(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the links of some segments one after the other, and how many each has."""
+        rows = self.starts[segments + 1] - self.starts[segments]
+        return np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows) + np.repeat(self.starts[segments], rows), rows
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids by A of a text that begins with a blank, and by B, which adds that blank itself."""
@@ -151,6 +168,7 @@ class Aligner:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(rows)])
         self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
+        self.met = np.concatenate([self.met, np.zeros(len(segments), np.int64)])
         self.free -= sum(OVERHEAD + 2 * len(s) + len(w) for s, w in zip(segments, self.written[first:], strict=True)) + 16 * len(pair)
 
     def learn(self, segments: list[str]) -> None:
@@ -174,15 +192,16 @@ class Aligner:
     def batch(self, texts: list[str]) -> dict[str, list]:
         """Digests of texts, and each one's distinct pairs of ids with the number of their links."""
         if self.free < 0:
-            self._forget()
+            self._forget_rare()
         parts = [_segments(f" {t}") if t else [] for t in texts]
-        new = list(dict.fromkeys(s for p in parts for s in p if s not in self.known))
+        new = list(set(chain.from_iterable(parts)).difference(self.known))
         for at in range(0, len(new), 20_000):
             self.learn(new[at : at + 20_000])
         known = self.known
         ids = [list(map(known.__getitem__, p)) for p in parts]
         doc = np.repeat(np.arange(len(texts)), [len(i) for i in ids])
         at = np.fromiter(chain.from_iterable(ids), np.int64, len(doc))
+        self.met += np.bincount(at, minlength=len(self.met))
         sums = np.stack([np.bincount(doc, weights=self.sizes[at, c], minlength=len(texts)) for c in range(5)], axis=1).astype(np.int64)
         good = sums[:, 4] == 0
         sums[~good] = 0
@@ -190,8 +209,7 @@ class Aligner:
         n = max(1, len(self.sizes))
         seen, many = np.unique(doc[good[doc]] * n + at[good[doc]], return_counts=True)
         seg_doc, seg = seen // n, seen % n
-        lens = self.starts[seg + 1] - self.starts[seg]
-        take = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(self.starts[seg], lens)
+        take, lens = self._rows(seg)
         pair, links = self.pairs[take], self.times[take] * np.repeat(many, lens)
         span = len(self.a_bytes) * self.width
         key, inverse = np.unique(np.repeat(seg_doc, lens) * span + pair, return_inverse=True)

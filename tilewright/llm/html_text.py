@@ -4,8 +4,8 @@ A page becomes a tree of elements. Elements that are never article text (menus,
 forms, scripts and so on) are left out. Every paragraph passes points for its length and its
 commas to its ancestors, less the further up; a container's points are discounted by the share
 of its text that stands in links. From the best container the way goes up to the article around
-it; what stands there is kept whole, with those of its siblings that score well beside it and the
-headings that lead them, and the blocks are put out in page order.
+it, which is kept whole. A page that marks no article keeps all that stands beside the container and
+is no header, footer or block of links, however short; blocks are put out in page order.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ DROPPED = {
     "aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "fieldset", "footer", "form", "head", "iframe", "input", "map", "math", "menu",
     "meter", "nav", "noscript", "object", "optgroup", "option", "progress", "script", "select", "style", "svg", "template", "textarea", "title", "video",
 }
+#: Dropped elements that nothing leads to.
+INVISIBLE = {"input", "link", "noscript", "script", "style", "template"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 #: Words of a class or id that mark an element as no part of the article.
 MARKS = {
@@ -40,7 +42,10 @@ MARKS = {
     "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar",
     "widget", "widgets",
 }
+#: Marks that are also plain words: on a paragraph or heading they don't say that it is no part of the article.
+WEAK = {"dialog", "disclaimer", "overlay", "promotion", "recommended", "related", "respond", "search", "share", "sharing", "skip", "subscription"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PLAIN = {"p", "pre", "blockquote", *HEADINGS}
 #: An open element that a new one of the given name closes, unless a barrier stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"ul", "ol", "dl", "table", "menu"}
@@ -52,6 +57,8 @@ NEGATIONS = {"no", "non", "not", "without", "with", "has", "have", "hide", "free
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
 #: Share of the page's unlinked text above which a compound class name doesn't drop an element.
 MOST = 0.5
+#: How a line begins that closes a page without a footer element.
+_FOOTER = re.compile(r"\s*(\u00a9|\(c\)|copyright\b)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -78,8 +85,10 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and _HIDDEN.search(value.lower()):
             return True
-        if name in ("class", "id") and tag not in UNMARKED and not MARKS.isdisjoint(value.lower().split()):
-            return True
+        if name in ("class", "id") and tag not in UNMARKED:
+            marks = MARKS.intersection(value.lower().split())
+            if marks - WEAK if tag in PLAIN else marks:
+                return True
     return False
 
 
@@ -91,7 +100,7 @@ def _doubt(tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if name in ("class", "id") and value:
             for one in value.lower().split():
                 words = _WORDS.findall(one)
-                marks = [w for i, w in enumerate(words) if w in MARKS and NEGATIONS.isdisjoint(words[:i] + words[i + 1 : i + 2])]
+                marks = [w for i, w in enumerate(words) if w in MARKS and not (tag in PLAIN and w in WEAK) and NEGATIONS.isdisjoint(words[:i] + words[i + 1 : i + 2])]
                 if marks:
                     return "comment" if not COMMENTS.isdisjoint(marks) else marks[0]
     return ""
@@ -292,6 +301,48 @@ def _is_menu(node: _Node) -> bool:
     return node.tag in ("ul", "ol", "dl") and node.size > 0 and node.linked >= 0.9 * node.size
 
 
+def _in_article(node: _Node) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _text(node: _Node) -> str:
+    """The first characters of an element's text."""
+    out, stack, n = [], [node], 0
+    while stack and n < 40:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+            n += len(c.strip())
+        elif not c.drop:
+            stack += reversed(c.children)
+    return "".join(out)
+
+
+def _beside(parent: _Node, best: _Node) -> list:
+    """What stands beside the best container of a page that marks no article: all of it but what is no article text.
+
+    Left out are page headers, blocks of mostly links, footer lines, and a heading (no h1) right
+    before what is left out. Length decides nothing.
+    """
+    kept, headings = [], []
+    for c in parent.children:
+        if isinstance(c, str):
+            if c.strip():
+                kept += [*headings, c]
+                headings = []
+        elif c.tag in HEADINGS and not c.drop:
+            headings.append(c)
+        elif c.drop or (c is not best and c.size and (c.tag == "header" or c.linked > 0.5 * c.size or _FOOTER.match(_text(c)))):
+            if headings and headings[-1].tag != "h1" and c.tag not in INVISIBLE:
+                headings.pop()  # it leads to what is left out
+        elif c.size or c.tag in VOID:
+            kept += [*headings, c]
+            headings = []
+    return kept + headings
+
+
 def _blocks(node: _Node, out: list[str]) -> None:
     """Blocks of an element in page order.
 
@@ -328,7 +379,7 @@ def _blocks(node: _Node, out: list[str]) -> None:
                     stack.append(end_menu)
                 else:
                     stack.append(end)
-            if c.tag == "header" and c is not node:
+            if c.tag == "header" and c is not node and (listed and not _in_article(c) or c.linked > 0.5 * c.size):
                 stack += [x for x in reversed(c.children) if isinstance(x, _Node) and (x.tag in HEADINGS or x.tag == "hgroup")]
             else:
                 stack += reversed(c.children)
@@ -369,20 +420,26 @@ def main_text(html: str) -> str:
     if best is None:
         best = tree.root
     best = _whole(best)
-    least = max(10.0, 0.2 * _final(best))
     out: list[str] = []
-    leading: list[_Node] = []  # headings since the last other element
-    for c in best.parent.children if best.parent else [best]:
-        if isinstance(c, str) or c.drop or c.tag not in BLOCKS | {"#root"}:
-            continue
-        if c.tag in HEADINGS:
-            leading.append(c)
-            continue
-        good = c.size - c.linked >= 80 and c.linked <= 0.25 * c.size
-        if c is best or (c.tag == "p" and good) or (c.tag not in ("header", "p") and _final(c) >= least):
-            for x in [*leading, c]:
-                _blocks(x, out)
-        leading = []
+    if not _in_article(best):
+        around = best if best.parent is None or best.tag in ("body", "html") else best.parent
+        beside = _Node(around.tag, None)
+        beside.children, beside.size, beside.linked = _beside(around, best), around.size, around.linked
+        _blocks(beside, out)
+    else:  # an article says itself what belongs to it; others beside it are kept if they score well
+        least = max(10.0, 0.2 * _final(best))
+        leading: list[_Node] = []  # headings since the last other element
+        for c in best.parent.children:
+            if isinstance(c, str) or c.drop or c.tag not in BLOCKS | {"#root"}:
+                continue
+            if c.tag in HEADINGS:
+                leading.append(c)
+                continue
+            good = c.size - c.linked >= 80 and c.linked <= 0.25 * c.size
+            if c is best or (c.tag == "p" and good) or (c.tag not in ("header", "p") and _final(c) >= least):
+                for x in [*leading, c]:
+                    _blocks(x, out)
+            leading = []
     return "\n\n".join(out)
 
 
@@ -401,7 +458,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars`` (its code points) to every row of ``pages``.
 
     Each row is read alone and whole: repeated rows stay, an empty table stays empty, a null
-    or empty page has an empty text. Columns of the input named like the added ones are replaced.
+    or empty page has an empty text. Pages of any length are read in linear time. Columns of the input named like the added ones are replaced.
     """
     return pages.withColumn("__text", extract_text(F.col(html_col))).withColumns(
         {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}

@@ -1,6 +1,7 @@
 """Golden values, properties and plan checks of the raster operators."""
 
 import os
+import struct
 import tarfile
 import threading
 from io import BytesIO
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import evaluate as ev
-from tilewright.operators import packed, raster, sampling, score, stats, vector
+from tilewright.operators import packed, raster, rings, sampling, score, stats, vector
 from tilewright.functions.lineage import cut, scratch, shared_dir
 from tilewright.functions.ordering import with_index, with_running_sum
 from tilewright.plans import catalog, fixtures
@@ -321,3 +322,119 @@ def test_shards_with_folders(spark, tmp_path):
             tar.addfile(info, BytesIO(data) if data else None)
     got = {r["key"]: {k: bytes(v) for k, v in r["parts"].items()} for r in io.read_shards(spark, str(tmp_path)).collect()}
     assert got == {"v1.2/a": {"tif": b"1", "txt.gz": b"22"}, "b": {"tif": b"3"}, "v1.2/": {"hidden": b"4"}}
+
+
+def star(r, x, y, big, n=9):
+    """A ring of 2 n corners at random distances around a point, which sees them all."""
+    turns = np.sort(r.uniform(0, 2 * np.pi, 2 * n - 2).tolist() + [0.1, 3.2])
+    far = r.uniform(0.5, 1, 2 * n) * big
+    ring = [(float(x + f * np.cos(t)), float(y + f * np.sin(t))) for f, t in zip(far, turns, strict=True)]
+    return [*ring, ring[0]]
+
+
+def clipped_area(ring, x0, y0, x1, y1):
+    """Area of a ring inside a box, by cutting the ring at each side in turn."""
+    points = ring[:-1]
+    for axis, at, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for a, b in zip(points, [*points[1:], *points[:1]], strict=True):
+            ia, ib = keep * (a[axis] - at) >= 0, keep * (b[axis] - at) >= 0
+            if ia:
+                out.append(a)
+            if ia != ib:
+                t = (at - a[axis]) / (b[axis] - a[axis])
+                out.append(tuple(p + t * (q - p) for p, q in zip(a, b, strict=True)))
+        points = out
+        if not points:
+            return 0.0
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, [*points[1:], *points[:1]], strict=True))) / 2
+
+
+@pytest.fixture(scope="module")
+def shapes(spark):
+    r, rows = np.random.default_rng(3), []
+    for pid in range(25):
+        x, y, big = *r.uniform(-60, 160, 2), float(r.choice([3, 20, 70]))
+        part = [star(r, x, y, big)]
+        if pid % 2:
+            part.append(star(r, x, y, big * 0.3))  # inside, as the outline stays beyond half of its radius
+        geometry = [[ring[::-1] if r.random() < 0.5 else ring for ring in part]]
+        if pid % 3 == 0:
+            geometry.append([star(r, x + 3 * big, y, big)])
+        rows.append((pid, geometry))
+    rows.append((100, [[[(10.0, 20.0), (40.0, 20.0), (40.0, 50.0), (10.0, 50.0), (10.0, 20.0)]]]))  # along the lattice
+    rows += [(101, None), (102, [])]
+    return rows, spark.createDataFrame(rows, "pid int, geometry array<array<array<struct<x:double,y:double>>>>").repartition(3)
+
+
+def test_covering_areas_against_clipping(spark, shapes):
+    rows, df = shapes
+    got = {(r["pid"], r["row"], c): r["area"] for r in rings.covering(df, ["pid"], 10.0).collect() for c in range(r["lo"], r["hi"] + 1)}
+    want = {}
+    for pid, geometry in rows:
+        for part in geometry or []:
+            for i, ring in enumerate(part):
+                xs, ys = zip(*ring, strict=True)
+                for cy in range(int(min(ys) // 10), int(max(ys) // 10) + 1):
+                    for cx in range(int(min(xs) // 10), int(max(xs) // 10) + 1):
+                        a = clipped_area(ring, cx * 10, cy * 10, cx * 10 + 10, cy * 10 + 10)
+                        want[pid, cy, cx] = want.get((pid, cy, cx), 0.0) + (a if i == 0 else -a)
+    want = {k: v for k, v in want.items() if v > 1e-7}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    assert {k[1:] for k in got if k[0] == 100} == {(y, x) for y in (2, 3, 4) for x in (1, 2, 3)}
+
+
+def test_covering_grows_with_the_outline(spark):
+    square = lambda n: [[[(0.5, 0.5), (n, 0.5), (n, n), (0.5, n), (0.5, 0.5)]]]
+    df = spark.createDataFrame([(1, square(2000.0)), (2, square(4000.0))], "pid int, geometry array<array<array<struct<x:double,y:double>>>>")
+    n = {r["pid"]: r["count"] for r in rings.covering(df, ["pid"], 1.0).groupBy("pid").count().collect()}
+    assert n[1] <= 8 * 2000 and n[2] <= 8 * 4000 and abs(n[2] / n[1] - 2) < 0.01
+    grid = spark.range(60).selectExpr("cast(id as string) as filename", "cast(id * 61 - 3 as double) as x1", "cast(id * 67 % 4100 as double) as y1")
+    got = {(int(r["filename"]), r["pid"]) for r in rings.overlay_area(grid, df, 1.0).collect()}
+    assert got == {(i, p) for i in range(60) for p, n in ((1, 2000), (2, 4000)) if 0 <= i * 61 - 3 < n and i * 67 % 4100 < n}
+    assert "NestedLoop" not in rings.overlay_area(grid, df, 1.0)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(0, 0), (5, 5), (3, 900), (-17, 40), (-8, -1), (0, 3 << 17)])
+def test_runs_are_halved_into_blocks(spark, lo, hi):
+    got = [tuple(b) for b in spark.range(1).select(rings._halves(F.lit(lo), F.lit(hi))).first()[0]]
+    assert sorted(n for k, b in got for n in range(b << k, (b + 1) << k)) == list(range(lo, hi + 1))
+    assert len(got) <= 2 * rings.LEVELS + ((hi - lo) >> rings.LEVELS) + 1
+
+
+def test_geometry_round_trips(spark, shapes):
+    rows, df = shapes
+    both = df.where("size(geometry) > 0 or geometry is null").select("pid", "geometry", rings.from_wkb(rings.to_wkb(F.col("geometry"))).alias("b"), rings.from_geojson(rings.to_geojson(F.col("geometry"))).alias("j"))
+    assert all(r["b"] == r["geometry"] and r["j"] == r["geometry"] for r in both.collect())
+    parts = rings.explode_parts(df)
+    assert parts.count() == sum(max(1, len(g or [])) for _, g in rows)
+    whole = {r["pid"]: r["a"] for r in df.select("pid", rings.area(F.col("geometry")).alias("a")).collect()}
+    summed = {r["pid"]: r["a"] for r in parts.groupBy("pid").agg(F.sum(rings.area(F.col("geometry"))).alias("a")).collect()}
+    assert all(abs((whole[p] or 0) - (summed[p] or 0)) < 1e-6 for p in whole)
+
+
+def test_malformed_geometries_are_null(spark):
+    good = struct.pack("<BIII", 1, 3, 1, 4) + np.array([0, 0, 1, 0, 0, 1, 0, 0], "<f8").tobytes()
+    big = struct.pack(">BIII", 0, 3, 1, 4) + np.array([0, 0, 1, 0, 0, 1, 0, 0], ">f8").tobytes()
+    deep = struct.pack("<BIII", 1, 1003, 1, 4) + np.array([0, 0, 9, 1, 0, 9, 0, 1, 9, 0, 0, 9], "<f8").tobytes()
+    reference = struct.pack("<BIIII", 1, 3 | 0x20000000, 4326, 1, 4) + good[13:]
+    odd = [b"", good[:-1], good + b"x", b"\x02" + good[1:], struct.pack("<BI", 1, 1), struct.pack("<BIII", 1, 3, 1, 2**31), struct.pack("<BII", 1, 3, 0), good[:-8] + struct.pack("<d", 5), good[:13] + struct.pack("<d", float("nan")) + good[21:]]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [good, big, deep, reference, *odd, None]], "d binary").select(rings.from_wkb(F.col("d"))).collect()]
+    assert [g is not None for g in got] == [True] * 4 + [False] * (len(odd) + 1)
+    assert all([(p["x"], p["y"]) for p in g[0][0]] == [(0, 0), (1, 0), (0, 1), (0, 0)] for g in got[:4])
+    texts = ['{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,1],[0,0]]]}', '{"type":"Polygon","coordinates":[[[0,0,7],[1,0,7],[0,1,7],[0,0,7]]]}']
+    bad = ["", "{", '{"type":"Point","coordinates":[0,0]}', '{"type":"Polygon"}', '{"type":"Polygon","coordinates":[]}', '{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,0]]]}', '{"type":"Polygon","coordinates":[[[0,0],[1,null],[0,1],[0,0]]]}', '{"type":"Polygon","coordinates":"x"}', None]
+    got = [r[0] is not None for r in spark.createDataFrame([(x,) for x in texts + bad], "t string").select(rings.from_geojson(F.col("t"))).collect()]
+    assert got == [True] * 2 + [False] * len(bad)
+
+
+def test_burnt_tiles_hold_the_cells(spark, shapes):
+    _, df = shapes
+    polys = df.withColumn("ty", F.col("pid") % 3)
+    grid = spark.range(36).selectExpr("concat('t', id) as filename", "cast((id % 6) * 40 - 80 as double) as x1", "cast(floor(id / 6) * 40 - 80 as double) as y1")
+    cells = grid.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(99)))).selectExpr("filename", "cast(floor(v / 10) as int) as y", "cast(v % 10 as int) as x", "x1 + (v % 10) * 4 as cx", "y1 + floor(v / 10) * 4 as cy")
+    for simple in (False, True):
+        want = {tuple(r) for r in rings.rasterize_rings(cells, polys, 4.0, simple).where("cls > 0").collect()}
+        got = {tuple(r) for r in score.unpack_named(rings.burn_tiles(grid, polys, 10, 4.0, simple)).where("cls > 0").collect()}
+        assert got == want and len(want) > 100

@@ -146,6 +146,19 @@ def unpack_classes(scored: DataFrame) -> DataFrame:
     return scored.mapInPandas(run, "img long, y int, x int, cls int")
 
 
+def unpack_named(masks: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, y, x, cls) of packed masks of one band that a text names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, h, w, data in zip(*(batch.column(c).to_pylist() for c in (key, "h", "w", "data")), strict=True):
+                y, x = np.mgrid[:h, :w].astype(np.int32)
+                cls = np.frombuffer(data, np.uint8)[: h * w].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (h * w)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(cls)], [key, "y", "x", "cls"])
+
+    return masks.mapInArrow(run, f"{key} string, y int, x int, cls int")
+
+
 def image_fractions(scored: DataFrame, model_name: str = "linear") -> DataFrame:
     """(img, fraction, model_name): share of pixels with a class, without unpacking them."""
     zeros = F.expr("length(data) - length(replace(hex(data), '00', '')) / 2")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tilewright.operators import evaluate as ev
 from tilewright.operators import packed as pk
 from tilewright.operators import raster as ra
+from tilewright.operators import rings as ri
 from tilewright.operators import sampling as sa
 from tilewright.operators import score as sc
 from tilewright.operators import stats as st
@@ -173,6 +174,60 @@ _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cell
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
 _add("rasterize_simple", "cells polys", lambda c, p: ve.rasterize(c, p, simple=True), _CELLS.format(v="case when p.pid is not null then 1 end", w="true"))
 
+# --- polygons with rings ------------------------------------------------------------------------------
+# The oracle integrates each edge over a box in closed form; edges keep their direction, which counts as the ring's.
+_EDGES = """
+with e as (
+  select pid, ty, part, ring, px as x0, py as y0, lead(px) over w as x1, lead(py) over w as y1 from corners window w as (partition by pid, part, ring order by i)
+), f as (
+  select *, sign(sum(x0 * y1 - x1 * y0) over (partition by pid, part, ring)) * case when ring = 0 then 1 else -1 end as s from e where x1 is not null
+), b as (
+  select pid, min(px) as bx0, max(px) as bx1, min(py) as by0, max(py) as by1 from corners group by pid
+)"""
+
+
+def _shared(boxes: str, key: str, size: int) -> str:
+    """SQL of (key, pid, ty, area): areas that square boxes (gx, gy) of a size share with polygons."""
+    right = lambda x: f"case when xa = xb then greatest(xa - {x}, 0) else (power(greatest(xb - {x}, 0), 2) - power(greatest(xa - {x}, 0), 2)) / 2 / (xb - xa) end"
+    return f"""
+select {key}, pid, ty, sum(s * (yb - ya) * ({right('gx')} - {right(f'(gx + {size})')})) as area from (
+  select *, x0 + (x1 - x0) * (ya - y0) / (y1 - y0) as xa, x0 + (x1 - x0) * (yb - y0) / (y1 - y0) as xb from (
+    select g.*, f.*, least(greatest(y0, gy), gy + {size}) as ya, least(greatest(y1, gy), gy + {size}) as yb
+    from ({boxes}) g join b on gx < bx1 and gx + {size} > bx0 and gy < by1 and gy + {size} > by0 join f on f.pid = b.pid where y0 <> y1
+  ) where ya <> yb
+) group by {key}, pid, ty having area > 1e-9 * {size * size}"""
+
+
+def _read(g: DataFrame) -> DataFrame:
+    return g.withColumn("geometry", ri.from_geojson(F.col("geojson")))
+
+
+def _measures(g: DataFrame) -> DataFrame:
+    back = _read(g).withColumn("geometry", ri.from_wkb(ri.to_wkb(F.col("geometry"))))
+    n = lambda c: F.when(F.col("geometry").isNotNull(), F.size(c)).alias
+    geo = F.col("geometry")
+    return back.select("pid", n(geo)("n_parts"), n(F.flatten(geo))("n_rings"), n(F.flatten(F.flatten(geo)))("n_points"), ri.area(geo).alias("area"), ri.bounds(geo).alias("b")).select(
+        "pid", "n_parts", "n_rings", "n_points", "area", "b.*"
+    )
+
+
+_add("polygon_measures", "geo corners", lambda g, _: _measures(g), f"""
+{_EDGES}, a as (
+  select pid, count(distinct part)::int as n_parts, count(distinct (part, ring))::int as n_rings, (count(*) + count(distinct (part, ring)))::int as n_points, sum(s * (x0 * y1 - x1 * y0)) / 2 as area from f group by pid
+)
+select geo.pid, n_parts, n_rings, n_points, area, bx0 as x0, by0 as y0, bx1 as x1, by1 as y1 from geo left join a on a.pid = geo.pid left join b on b.pid = geo.pid""")
+_add("polygon_parts", "geo corners", lambda g, _: ri.explode_parts(_read(g)).withColumn("again", ri.from_geojson(ri.to_geojson(F.col("geometry")))).select(
+    "pid", ri.area(F.col("again")).alias("area")), f"""
+{_EDGES} select geo.pid, area from geo left join (select pid, part, sum(s * (x0 * y1 - x1 * y0)) / 2 as area from f group by pid, part) a on a.pid = geo.pid""")
+_add("overlay_area", "grid geo corners", lambda g, p, _: ri.overlay_area(g, _read(p)).withColumn("area", F.round(F.col("area") + 3e-7, 3)),
+     f"{_EDGES} select filename, pid, round(area + 3e-7, 3) as area from ({_shared('select filename, x1 as gx, y1 as gy from grid', 'filename', 100)})")
+_BURNT = f"{_EDGES}, h as ({_shared('select filename, y as cell_y, x as cell_x, cx as gx, cy as gy from cells', 'filename, cell_y, cell_x', 5)}) " + """
+select c.filename, c.y, c.x, coalesce(min({v}), 0) as cls from cells c left join h on c.filename = h.filename and c.y = h.cell_y and c.x = h.cell_x and {w} group by c.filename, c.y, c.x"""
+_add("rasterize_rings", "cells geo corners", lambda c, p, _: ri.rasterize_rings(c, _read(p)), _BURNT.format(v="h.ty", w="h.ty in (1, 2)"))
+_add("rasterize_rings_simple", "cells geo corners", lambda c, p, _: ri.rasterize_rings(c, _read(p), simple=True), _BURNT.format(v="case when h.pid is not null then 1 end", w="true"))
+_add("burn_tiles", "grid cells geo corners", lambda g, c, p, _: sc.unpack_named(ri.burn_tiles(g, _read(p), 20, 5.0)).where("cls > 0"),
+     f"select filename, y, x, cls from ({_BURNT.format(v='h.ty', w='h.ty in (1, 2)')}) where cls > 0")
+
 # --- joins --------------------------------------------------------------------------------------------
 _add("triplet_join", "px mask_px lu_px", lambda p, m, u: p.where("band = 1").join(m, ["img", "y", "x"]).join(u, ["img", "y", "x"]), """
 select p.img, p.y, p.x, p.band, p.v, m.cls, l.forest from px p join mask_px m on p.img = m.img and p.y = m.y and p.x = m.x

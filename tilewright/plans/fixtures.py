@@ -11,6 +11,28 @@ EMB = {
 }
 #: A row for each of the 20 x 20 cells of a tile.
 EACH = {"spark": "explode(sequence(0, 399)) as v", "duckdb": "unnest(range(400)) as v"}
+#: Corners of the fixture's polygons: part, ring, place, and x and y as (times of the large radius, of the small one, metres).
+#: A star of four points, in some a hole, in some a second part that runs clockwise.
+_STAR = [(1, 0, 0, 0, 0, 0), (0, 1, 0, 0, 1, 0), (0, 0, 0, 1, 0, 0), (0, -1, 0, 0, 1, 0), (-1, 0, 0, 0, 0, 0), (0, -1, 0, 0, -1, 0), (0, 0, 0, -1, 0, 0), (0, 1, 0, 0, -1, 0)]
+_HOLE = [(0, 0, 1, 0, 0, 0), (0, 0, 0, 0, 0, 1), (0, 0, -1, 0, 0, 0), (0, 0, 0, 0, 0, -1)]
+_SIDE = [(1, 0, 8, 0, 0, -2), (1, 0, 8, 0, 0, 2), (1, 0, 12, 0, 0, 2), (1, 0, 12, 0, 0, -2)]
+CORNERS = [(p, r, i, *c) for p, r, ring in ((0, 0, _STAR), (0, 1, _HOLE), (1, 0, _SIDE)) for i, c in enumerate([*ring, ring[0]])]
+
+
+def _geojson() -> str:
+    """SQL text of a polygon's GeoJSON."""
+
+    def ring(part: int, number: int, last: bool = True) -> str:
+        points = [c[3:] for c in CORNERS if c[:2] == (part, number)]
+        at = lambda c, name: f"cast(c{name} + {c[0]} * big + {c[1]} * small + {c[2]} as varchar(20))"
+        return "'[' || " + " || ',' || ".join(f"'[' || {at(c[:3], 'x')} || ',' || {at(c[3:], 'y')} || ']'" for c in points[: None if last else -1]) + " || ']'"
+
+    star = f"'[' || case when pid % 31 = 2 then {ring(0, 0, False)} else {ring(0, 0)} end || case when hole then ',' || {ring(0, 1)} else '' end || ']'"
+    one = f"'{{\"type\":\"Polygon\",\"coordinates\":' || {star} || '}}'"
+    two = f"'{{\"type\":\"MultiPolygon\",\"coordinates\":[' || {star} || ',[' || {ring(1, 0)} || ']]}}'"
+    return f"case when side then {two} else {one} end"
+
+
 #: View name: the views it needs, and its text, which both engines take. Polygons and tiles lie in a band that
 #: widens by 1000 with every 1500 customers: 100 tiles for each 1500 polygons.
 VIEWS = {
@@ -55,6 +77,17 @@ from (select cast(floor((c_custkey - 1) % 1500 / 150) as int) as r, cast(floor((
       from customer where (c_custkey - 1) % 15 = 0) g"""),
     "cells": (["grid"], """
 select filename, cast(floor(v / 20) as int) as y, cast(v % 20 as int) as x, x1 + (v % 20) * 5.0 as cx, y1 + floor(v / 20) * 5.0 as cy from (select *, {each} from grid) c"""),
+    "stars": ([], """
+select c_custkey as pid, cast((c_custkey * 37) % 1000 + 1000 * floor((c_custkey - 1) / 1500) + 0.5 as double) as cx, cast((c_custkey * 91) % 1000 + 0.5 as double) as cy,
+       cast(case when c_custkey % 500 = 7 then 300 else 6 + c_custkey % 17 end as int) as big, cast(2 + c_custkey % 2 as int) as small,
+       cast(case when c_custkey % 13 = 0 then 3 else 1 + c_custkey % 2 end as int) as ty, c_custkey % 3 = 0 as hole, c_custkey % 5 = 0 as side
+from customer"""),
+    "geo": (["stars"], f"""
+select pid, ty, case when pid % 29 = 1 then substr(g, 1, 90) else g end as geojson from (select *, {_geojson()} as g from stars) s"""),
+    "corners": (["stars"], f"""
+select s.pid, s.ty, c.part, c.ring, c.i, s.cx + c.xb * s.big + c.xs * s.small + c.xm as px, s.cy + c.yb * s.big + c.ys * s.small + c.ym as py
+from stars s join (values {', '.join(str(c) for c in CORNERS)}) c(part, ring, i, xb, xs, xm, yb, ys, ym) on (c.ring = 0 or s.hole) and (c.part = 0 or s.side)
+where s.pid % 29 <> 1 and s.pid % 31 <> 2"""),
     "subtile_stats": ([], """
 select 'tile_' || lpad(cast(p_partkey as varchar(9)), 9, '0') as tile, round(cast(p_partkey * 7919 % 1000 as double) / 100, 2) as frac,
        cast(case when p_partkey * 7919 % 1000 > 0 then 1 else 0 end as int) as status

@@ -4,6 +4,7 @@ import os
 import struct
 import tarfile
 import threading
+import zlib
 from io import BytesIO
 
 import numpy as np
@@ -15,7 +16,7 @@ from tilewright.operators import packed, raster, rings, sampling, score, stats,
 from tilewright.functions.lineage import cut, scratch, shared_dir
 from tilewright.functions.ordering import with_index, with_running_sum
 from tilewright.plans import catalog, fixtures
-from tilewright.sources import io
+from tilewright.sources import io, tiff
 
 SF = "/root/testdata/sf0.001"
 #: Two shards are too few for three parts, so this query is compared at the next scale.
@@ -438,3 +439,132 @@ def test_burnt_tiles_hold_the_cells(spark, shapes):
         want = {tuple(r) for r in rings.rasterize_rings(cells, polys, 4.0, simple).where("cls > 0").collect()}
         got = {tuple(r) for r in score.unpack_named(rings.burn_tiles(grid, polys, 10, 4.0, simple)).where("cls > 0").collect()}
         assert got == want and len(want) > 100
+
+
+def lzw(data: bytes) -> bytes:
+    """The plain form of the packing: codes of growing width, a clear code at the start and when the table is full."""
+    table, width, bits, word = {bytes([i]): i for i in range(256)}, 9, [], b""
+    put = lambda code: bits.append(format(code, f"0{width}b"))
+    put(256)
+    n = 258
+    for b in data:
+        longer = word + bytes([b])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer], n, word = n, n + 1, bytes([b])
+        if n == 4094:
+            put(256)
+            table, width, n = {bytes([i]): i for i in range(256)}, 9, 258
+        elif n >= (1 << width):
+            width += 1
+    if word:
+        put(table[word])
+        if n + 1 >= (1 << width) and width < 12:
+            width += 1
+    put(257)
+    joined = "".join(bits)
+    return bytes(int(joined[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(joined), 8))
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 5000, 40_000])
+def test_lzw_unpacks(n):
+    r = np.random.default_rng(n)
+    for data in (r.integers(0, 256, n, np.uint8).tobytes(), r.integers(0, 3, n, np.uint8).tobytes(), b"a" * n):
+        assert tiff.unpack_lzw(lzw(data)) == data
+
+
+def plain_tiff(a: np.ndarray, order: str, big: bool, compression: int, predictor: int, planar: int, tile: tuple | None) -> bytes:
+    """A file of any layout: bands x rows x columns in tiles, or in strips of 7 rows."""
+    bands, h, w = a.shape
+    th, tw = tile or (7, w)
+    blocks = []
+    for planes in [[b] for b in range(bands)] if planar == 2 else [range(bands)]:
+        for y in range(0, h, th):
+            for x in range(0, w, tw):
+                rows = th if tile else min(th, h - y)
+                part = np.zeros((rows, tw, len(planes)), a.dtype)
+                got = a[list(planes), y : y + th, x : x + tw].transpose(1, 2, 0)
+                part[: got.shape[0], : got.shape[1]] = got
+                if predictor == 2:
+                    part[:, 1:] -= part[:, :-1].copy()
+                raw = part.astype(a.dtype.newbyteorder(order)).tobytes()
+                blocks.append({1: raw, 5: lzw(raw), 8: zlib.compress(raw)}[compression])
+    head, long_, inline = (16, "Q", 8) if big else (8, "I", 4)
+    offsets = np.cumsum([head] + [len(b) for b in blocks])[:-1].tolist()
+    kind = 16 if big else 4
+    fields = {256: (4, [w]), 257: (4, [h]), 258: (3, [8 * a.dtype.itemsize] * bands), 259: (3, [compression]), 277: (3, [bands]), 284: (3, [planar]), 317: (3, [predictor]), 339: (3, [{"u": 1, "i": 2, "f": 3}[a.dtype.kind]] * bands)}
+    fields |= {322: (3, [tw]), 323: (3, [th]), 324: (kind, offsets), 325: (4, [len(b) for b in blocks])} if tile else {273: (kind, offsets), 278: (3, [th]), 279: (4, [len(b) for b in blocks])}
+    at = head + sum(map(len, blocks))
+    size = 20 if big else 12
+    beyond, table = b"", b""
+    start = at + (8 if big else 2) + size * len(fields) + inline
+    for f, (k, v) in sorted(fields.items()):
+        data = struct.pack(f"{order}{len(v)}{ {3: 'H', 4: 'I', 16: 'Q'}[k]}", *v)
+        table += struct.pack(f"{order}HH{long_}", f, k, len(v)) + (data.ljust(inline, b"\0") if len(data) <= inline else struct.pack(f"{order}{long_}", start + len(beyond)))
+        beyond += data if len(data) > inline else b""
+    name = b"II" if order == "<" else b"MM"
+    first = struct.pack(f"{order}HHHQ", 43, 8, 0, at) if big else struct.pack(f"{order}HI", 42, at)
+    return name + first + b"".join(blocks) + struct.pack(f"{order}{'Q' if big else 'H'}", len(fields)) + table + struct.pack(f"{order}{long_}", 0) + beyond
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+def test_raster_files_of_any_layout(order, big):
+    r = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint16, np.float32):
+        a = (r.random((3, 50, 70)) * 250).astype(kind)
+        for compression in (1, 5, 8):
+            for predictor in (1, 2) if kind is not np.float32 else (1,):
+                for planar in (1, 2):
+                    for tile in (None, (16, 32)):
+                        got = tiff.decode_tiff(plain_tiff(a, order, big, compression, predictor, planar, tile))
+                        assert got.dtype == a.dtype and np.array_equal(got, a), (kind, compression, predictor, planar, tile)
+
+
+def test_encoded_rasters_come_back():
+    r = np.random.default_rng(2)
+    for shape in ((1, 1, 1), (4, 100, 333), (3, 256, 256)):
+        a = r.integers(0, 256, shape, np.uint8)
+        for predictor in (True, False):
+            data = tiff.encode_tiff(a, 64, predictor, (500.0, 9000.0, 0.2, 0.2))
+            assert np.array_equal(tiff.decode_tiff(data), a)
+            assert tiff.RasterFile(lambda at, n, d=data: d[at : at + n]).geo() == (500.0, 9000.0, 0.2, 0.2)
+    for bad in (b"", b"II*\0", b"PNG" * 10):
+        with pytest.raises((ValueError, struct.error)):
+            tiff.decode_tiff(bad)
+
+
+def test_windows_read_only_their_bytes(spark, tmp_path):
+    r = np.random.default_rng(3)
+    a = r.integers(0, 256, (4, 1500, 2100), np.uint8)
+    file = tmp_path / "a.tif"
+    file.write_bytes(tiff.encode_tiff(a, 64))
+    size = file.stat().st_size
+    box = (130, 700, 400, 900)
+    rows = tiff.read_raster(spark, str(file), box).collect()
+    assert {(x["row"], x["col"]) for x in rows} == {(y, x) for y in range(700 // 64, 899 // 64 + 1) for x in range(130 // 64, 399 // 64 + 1)}
+    for x in rows:
+        tile = np.frombuffer(x["data"], np.uint8).reshape(x["bands"], x["h"], x["w"])
+        assert np.array_equal(tile, a[:, x["y0"] : x["y0"] + x["h"], x["x0"] : x["x0"] + x["w"]])
+    assert sum(x["n_read"] for x in rows) < 1.05 * size * len(rows) / (33 * 24)
+    whole = tiff.read_raster(spark, str(tmp_path))
+    assert whole.count() == 24 * 33 and whole.rdd.getNumPartitions() == 24 * 2
+    assert tiff.read_raster(spark, str(file), (5000, 0, 6000, 10)).count() == 0
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = tiff.read_raster(spark, str(file)).where("row = 3 and col >= 30")
+        assert some.rdd.getNumPartitions() == 1 and some.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_many_raster_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiff, "MANY_FILES", 5)
+    for k in range(40):
+        (tmp_path / f"{k:02}.tif").write_bytes(tiff.encode_tiff(np.full((1, 20, 20), k, np.uint8), 16))
+    reader = tiff.RasterReader({"path": str(tmp_path)})
+    assert [len(p.files) for p in reader.partitions()] == [32, 8]
+    got = [b.to_pylist()[0] for p in reader.partitions() for b in reader.read(p)]
+    assert len(got) == 160 and all(set(x["data"]) == {int(x["path"][-6:-4])} for x in got)

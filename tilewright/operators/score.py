@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.packed import batches_of, block_array, unblock_array
+from tilewright.sources.tiff import decode_tiff, encode_tiff
 
 Model = Callable[[], Callable[[np.ndarray], np.ndarray]]
 #: Subtiles that a model gets at once.
@@ -159,6 +160,49 @@ def unpack_named(masks: DataFrame, key: str = "filename") -> DataFrame:
     return masks.mapInArrow(run, f"{key} string, y int, x int, cls int")
 
 
+def encoded(tiles: DataFrame, side: int = 256) -> DataFrame:
+    """(img, content): packed tiles as raster files, tiled and deflated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, h, w, bands, data in zip(*(batch.column(c).to_pylist() for c in ("img", "h", "w", "bands", "data")), strict=True):
+                content = encode_tiff(np.frombuffer(data, np.uint8).reshape(bands, h, w), side)
+                yield pa.RecordBatch.from_arrays([pa.array([img], pa.int64()), pa.array([content], pa.binary())], ["img", "content"])
+
+    return tiles.mapInArrow(run, "img long, content binary")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(img, h, w, bands, data) of raster files of bytes that a column holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, content in zip(batch.column("img").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                tile = decode_tiff(content).astype(np.uint8)
+                bands, h, w = tile.shape
+                values = [(img, pa.int64()), (h, pa.int32()), (w, pa.int32()), (bands, pa.int32()), (tile.tobytes(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["img", "h", "w", "bands", "data"])
+
+    return files.mapInArrow(run, "img long, h int, w int, bands int, data binary")
+
+
+def recode(tiles: DataFrame, side: int = 256) -> DataFrame:
+    return decoded(encoded(tiles, side))
+
+
+def unpack_bands(tiles: DataFrame) -> DataFrame:
+    """(img, band, y, x, v) of packed tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, h, w, bands, data in zip(*(batch.column(c).to_pylist() for c in ("img", "h", "w", "bands", "data")), strict=True):
+                b, y, x = (a.ravel().astype(np.int32) for a in np.mgrid[1 : bands + 1, :h, :w])
+                v = np.frombuffer(data, np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), img)), *[pa.array(a) for a in (b, y, x, v)]], ["img", "band", "y", "x", "v"])
+
+    return tiles.mapInArrow(run, "img long, band int, y int, x int, v int")
+
+
 def image_fractions(scored: DataFrame, model_name: str = "linear") -> DataFrame:
     """(img, fraction, model_name): share of pixels with a class, without unpacking them."""
     zeros = F.expr("length(data) - length(replace(hex(data), '00', '')) / 2")

@@ -228,6 +228,12 @@ _add("rasterize_rings_simple", "cells geo corners", lambda c, p, _: ri.rasterize
 _add("burn_tiles", "grid cells geo corners", lambda g, c, p, _: sc.unpack_named(ri.burn_tiles(g, _read(p), 20, 5.0)).where("cls > 0"),
      f"select filename, y, x, cls from ({_BURNT.format(v='h.ty', w='h.ty in (1, 2)')}) where cls > 0")
 
+# --- raster files -------------------------------------------------------------------------------------
+_add("raster_codec", "px", lambda p: sc.unpack_bands(sc.recode(sc.pack_tiles(p, N), 16)), """
+select i.img, b.band, y.y, x.x, coalesce(p.v, 0)::int as v
+from (select img, max(band) as bands, max(y) as h, max(x) as w from px group by img) i, range(1, 5) b(band), range(8) y(y), range(8) x(x)
+left join px p on p.img = i.img and p.band = b.band and p.y = y.y and p.x = x.x where b.band <= i.bands and y.y <= i.h and x.x <= i.w""")
+
 # --- joins --------------------------------------------------------------------------------------------
 _add("triplet_join", "px mask_px lu_px", lambda p, m, u: p.where("band = 1").join(m, ["img", "y", "x"]).join(u, ["img", "y", "x"]), """
 select p.img, p.y, p.x, p.band, p.v, m.cls, l.forest from px p join mask_px m on p.img = m.img and p.y = m.y and p.x = m.x

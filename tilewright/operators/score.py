@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.operators.packed import batches_of, block_array, unblock_array
 from tilewright.sources.tiff import decode_tiff, encode_tiff
@@ -44,25 +45,45 @@ def linear_model(weights: Sequence[Sequence[float]]) -> Model:
     return make
 
 
-def pack_tiles(px: DataFrame, n: int, value: str = "v") -> DataFrame:
-    """Pixel rows to packed tiles; pixels that are absent beside present ones are 0. Without bands a tile has one."""
+def pack_tiles(px: DataFrame, n: int, value: str = "v", keys: Sequence[str] = ("img",)) -> DataFrame:
+    """Pixel rows to packed tiles (keys, h, w, bands, data); pixels that are absent beside present ones are 0. Without bands a tile has one.
+
+    The pixels of a tile come to one task in the order of their tiles and stream into its bytes, so a
+    task holds one tile and one batch, however large its tiles are.
+    """
     band = F.col("band") if "band" in px.columns else F.lit(1)
-    one = F.struct((band - 1).cast("int").alias("b"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("int").alias("v"))
-    grouped = px.groupBy("img").agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"), F.max(band).cast("int").alias("bands"), F.collect_list(one).alias("px"))
+    rows = px.select(*keys, (band - 1).cast("int").alias("__b"), F.col("y").cast("int").alias("__y"), F.col("x").cast("int").alias("__x"), F.col(value).cast("int").alias("__v"))
+    rows = rows.withColumn("img", F.col("img").cast("long")) if "img" in keys else rows
+    schema = T.StructType([*[rows.schema[k] for k in keys], *T._parse_datatype_string("h int, w int, bands int, data binary")])
+
+    def tile(key: tuple, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        b, y, x, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = np.zeros((int(b.max()) + 1, int(y.max()) + 1, int(x.max()) + 1), np.uint8)
+        out[b, y, x] = v
+        bands, h, w = out.shape
+        made = [pa.array([c], pa.int32()) for c in (h, w, bands)]
+        return pa.RecordBatch.from_arrays([*key, *made, pa.array([out.tobytes()], pa.binary())], schema.names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
         for batch in batches:
-            img, h, w, bands, listed = batch.columns
-            ends = listed.offsets.to_numpy()
-            b, y, x, v = (c.to_numpy() for c in listed.values.flatten())
-            data = []
-            for i, (rows, cols, depth) in enumerate(zip(h.to_pylist(), w.to_pylist(), bands.to_pylist(), strict=True)):
-                tile, at = np.zeros((depth, rows, cols), np.uint8), slice(ends[i], ends[i + 1])
-                tile[b[at], y[at], x[at]] = v[at]
-                data.append(tile.tobytes())
-            yield pa.RecordBatch.from_arrays([img, h, w, bands, pa.array(data, pa.binary())], ["img", "h", "w", "bands", "data"])
-
-    return grouped.withColumn("img", F.col("img").cast("long")).mapInArrow(pack, "img long, h int, w int, bands int, data binary")
+            named = [batch.column(k) for k in keys]
+            columns = [batch.column(c).to_numpy().astype(t) for c, t in (("__b", np.uint8), ("__y", np.uint16), ("__x", np.uint16), ("__v", np.uint8))]
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in named]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+            for lo, hi in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                key = tuple(c.slice(lo, 1) for c in named)
+                if now is not None and [c[0].as_py() for c in key] != [c[0].as_py() for c in now]:
+                    yield tile(now, parts)
+                    parts = []
+                now = key
+                parts.append(tuple(c[lo:hi] for c in columns))
+        if now is not None:
+            yield tile(now, parts)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pack, schema)
 
 
 def _classes(fn: Callable, tile: np.ndarray, n: int, d: int, stats: tuple[Sequence[float], Sequence[float]] | None) -> np.ndarray:

@@ -7,29 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.raster import blocks, complete_only, nodata
+from tilewright.operators.packed import deviation
+from tilewright.operators.raster import blocks, sub_of
 
 #: Metres of a pixel along each axis.
 PIXEL_X, PIXEL_Y = 0.200022269188281, 0.200022454940277
 
 
-def band_stats(px: DataFrame, n: int, d: int, compat: bool = False) -> DataFrame:
+def band_stats(px: DataFrame, n: int, d: int, compat: bool = False, bands: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """(band, mean, std, cnt) over the subtiles that vary in band 1, of complete tiles with data.
 
-    One pass: sums of subtile means and of mean squares give the deviation. ``compat`` divides by
-    one more than the count.
+    One scan: a row for each subtile with the means and mean squares of all bands, a row for each
+    tile with its extent and sums, then the sums of all tiles. ``compat`` divides by one more than the count.
     """
-    empty = nodata(px, "all").where("is_nodata")
-    rows = px.join(complete_only(px), "img", "left_semi").join(empty, "img", "left_anti")
-    scaled = blocks(rows, n, d).withColumn("v", F.col("v") / 255.0)
-    # The subtile's variation in band 1 is known to its other bands by a struct of band 1 alone.
-    per = scaled.groupBy("img", "sub", "band").agg(F.avg("v").alias("m"), F.avg(F.col("v") * F.col("v")).alias("q"), (F.min("v") < F.max("v")).alias("varies"))
-    good = per.where("band = 1 and varies").select("img", "sub")
-    sums = per.join(good, ["img", "sub"], "left_semi").groupBy("band").agg(F.sum("m").alias("s1"), F.sum("q").alias("s2"), F.count("*").alias("cnt"))
-    by = F.col("cnt") + (1 if compat else 0)
-    mean = F.col("s1") / by
-    var = (F.col("s2") - 2 * mean * F.col("s1") + F.col("cnt") * mean * mean) / by
-    return sums.select("band", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "cnt")
+    v, of = F.col("v") / 255.0, lambda b, c: F.when(F.col("band") == b, c)
+    place = px.select("img", "band", "v", sub_of(n, d).alias("sub"), "y", "x")
+    each = [f(of(b, v)).alias(f"{c}{b}") for b in bands for c, f in (("m", F.avg), ("q", lambda c: F.avg(c * c)))]
+    per = place.groupBy("img", "sub").agg(
+        *each, (F.min(of(1, F.col("v"))) < F.max(of(1, F.col("v")))).alias("varies"), F.max("y").alias("y"), F.max("x").alias("x"), F.bool_and(F.col("v").isin(0, 255)).alias("blank")
+    )
+    counted = lambda c: F.when(F.col("varies"), F.col(c))
+    sums = [f(counted(f"{c}{b}")).alias(f"{name}{b}") for b in bands for name, c, f in (("s", "m", F.sum), ("t", "q", F.sum), ("c", "m", F.count))]
+    tile = per.groupBy("img").agg(*sums, (F.max("y") == F.max("x")).alias("complete"), F.bool_and("blank").alias("blank")).where("complete and not blank")
+    total = tile.agg(*[F.sum(f"{c}{b}").alias(f"{c}{b}") for b in bands for c in "stc"])
+    rows = [F.struct(F.lit(b).alias("band"), *[F.col(f"{c}{b}").alias(name) for c, name in zip("stc", ("s1", "s2", "cnt"), strict=True)]) for b in bands]
+    return deviation(total.select(F.inline(F.array(*rows))).where("cnt > 0"), compat)
 
 
 def stats_report(stats: DataFrame, sources: Sequence[str] = (), frac: float = 1.0) -> DataFrame:

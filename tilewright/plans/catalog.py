@@ -174,6 +174,25 @@ _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cell
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
 _add("rasterize_simple", "cells polys", lambda c, p: ve.rasterize(c, p, simple=True), _CELLS.format(v="case when p.pid is not null then 1 end", w="true"))
 
+# --- packed forms ---------------------------------------------------------------------------------------
+def _same(name: str, other: str, views: str, run: Callable[..., DataFrame]) -> None:
+    """Register another form of a query, which must give the same rows."""
+    _QUERIES[name] = lambda spark, d: run(*[view(spark, d, v) for v in views.split()])
+    _SQL[name] = _SQL[other]
+
+
+_YEARLY = ("yr", "img")
+_same("nodata_packed", "nodata_tiles", "px", lambda p: pk.nodata_packed(sc.pack_tiles(p, N)).join(pk.nodata_packed(sc.pack_tiles(p, N), "all").withColumnRenamed("is_nodata", "all_nodata"), "img"))
+_same("class_counts_packed", "class_counts", "pred_px", lambda p: pk.class_counts_packed(sc.pack_tiles(p, N, "cls", _YEARLY)))
+_same("forest_share_packed", "forest_share", "pred_px lu_px", lambda p, f: pk.forest_share_packed(sc.pack_tiles(p, N, "cls", _YEARLY), sc.pack_tiles(f, N, "forest"), 64))
+_same("band_stats_packed", "band_stats", "px", lambda p: pk.band_stats_packed(sc.pack_tiles(p, N), D))
+_add("distance_mosaic", "mask_px", lambda m: pk.distance_mosaic(sc.pack_tiles(m, N, "cls").withColumns({"row": F.floor(F.col("img") / 10).cast("int"), "col": (F.col("img") % 10).cast("int")}), N, 3, 3), """
+with g as (select img, y, x, cls, (img // 10) * 8 + y as gy, (img % 10) * 8 + x as gx from mask_px), o as (select a.i::int as dy, b.i::int as dx from range(-3, 4) a(i), range(-3, 4) b(i)),
+n as (select a.img, c.k, a.y, a.x, min(case when (a.cls = c.k) <> (b.cls = c.k) then o.dy * o.dy + o.dx * o.dx end) as s
+      from g a cross join o cross join range(3) c(k) left join g b on b.gy = a.gy + o.dy and b.gx = a.gx + o.dx group by all)
+select g.img, n.k::int as k, g.y, g.x, case when g.cls = n.k then 1 - coalesce(least(sqrt(s), 3), 3) else coalesce(least(sqrt(s), 3), 3) end as dist
+from g join n on g.img = n.img and g.y = n.y and g.x = n.x""")
+
 # --- polygons with rings ------------------------------------------------------------------------------
 # The oracle integrates each edge over a box in closed form; edges keep their direction, which counts as the ring's.
 _EDGES = """

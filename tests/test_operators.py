@@ -4,6 +4,7 @@ import os
 import struct
 import tarfile
 import threading
+import time
 import zlib
 from io import BytesIO
 
@@ -568,3 +569,125 @@ def test_many_raster_files(spark, tmp_path, monkeypatch):
     assert [len(p.files) for p in reader.partitions()] == [32, 8]
     got = [b.to_pylist()[0] for p in reader.partitions() for b in reader.read(p)]
     assert len(got) == 160 and all(set(x["data"]) == {int(x["path"][-6:-4])} for x in got)
+
+
+def test_distances_in_linear_time():
+    r = np.random.default_rng(5)
+    for shape, share in (((1, 1), 1.0), ((1, 40), 0.1), ((40, 1), 0.1), ((31, 47), 0.02), ((31, 47), 0.5), ((64, 64), 0.001), ((30, 30), 0.0)):
+        target = r.random(shape) < share
+        got = packed.squared_distance(target)
+        at = np.argwhere(target)
+        y, x = np.mgrid[: shape[0], : shape[1]]
+        want = np.min((y[..., None] - at[:, 0]) ** 2 + (x[..., None] - at[:, 1]) ** 2, axis=2) if len(at) else np.full(shape, np.inf)
+        assert np.array_equal(got, want)
+    large = r.random((2048, 2048)) < 1e-4
+    began = time.time()
+    got = packed.squared_distance(large)
+    assert time.time() - began < 60 and (got[large] == 0).all() and got.max() < 2048**2
+    assert packed.signed_distance(np.array([[0, 1, 1, 1, 1]]), 0, 2).tolist() == [[0, 1, 2, 2, 2]]
+
+
+def test_distances_cross_tile_borders(spark):
+    """A mosaic of 3 x 4 tiles, one of them missing and one with fewer rows, gives what the whole raster gives."""
+    r, n, t = np.random.default_rng(6), 16, 5
+    whole = np.full((3 * n, 4 * n), packed.ABSENT, np.uint8)
+    rows = []
+    for row in range(3):
+        for col in range(4):
+            if (row, col) == (1, 2):
+                continue
+            tile = (r.random((n, n)) < 0.03).astype(np.uint8) + 2 * (r.random((n, n)) < 0.01).astype(np.uint8)
+            tile = tile[: 9 if (row, col) == (2, 3) else n]
+            whole[row * n : row * n + len(tile), col * n : col * n + n] = tile
+            rows.append((row, col, row * 10 + col, len(tile), n, tile.tobytes()))
+    tiles = spark.createDataFrame(rows, "row int, col int, img long, h int, w int, data binary").repartition(4)
+    got = {(x["img"], x["k"], x["y"], x["x"]): x["dist"] for x in packed.distance_mosaic(tiles, n, 4, t).collect()}
+    assert len(got) == 4 * (11 * n * n - 7 * n)
+    for c in range(4):
+        hot, other = whole == c, (whole != c) & (whole != packed.ABSENT)
+        near = lambda target: np.minimum(np.sqrt(packed.squared_distance(target)), t)
+        want = np.where(hot, 1 - near(other), near(hot))
+        for img, k, y, x in got:
+            if k == c:
+                assert got[img, k, y, x] == pytest.approx(want[img // 10 * n + y, img % 10 * n + x])
+    with pytest.raises(ValueError):
+        packed.distance_mosaic(tiles, n, 4, n + 1)
+
+
+def test_packed_statistics_shuffle_no_pixels(spark):
+    tiles = score.pack_tiles(fixtures.view(spark, SF, "px"), 8)
+    cached = tiles.cache()
+    try:
+        assert "Exchange" not in packed.class_counts_packed(cached, keys=["img"])._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert packed.band_stats_packed(cached.limit(0), 4).count() == 0 and packed.nodata_packed(cached.limit(0)).count() == 0
+    finally:
+        cached.unpersist()
+    px = fixtures.view(spark, SF, "px")
+    plan = stats.band_stats(px, 8, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") + plan.count("LogicalRelation") <= 1 and "Join" not in plan
+
+
+def test_packer_streams_large_tiles(spark):
+    """Tiles that span many batches, keys of two columns, nulls among the keys."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        px = spark.range(5 * 40 * 30).selectExpr("cast(case when id % 5 = 4 then null else id % 5 end as long) as img", "cast(id % 5 % 2 as int) as yr", "1 as band", "cast(floor(id / 5 / 30) as int) as y", "cast(floor(id / 5) % 30 as int) as x", "cast(id % 251 as int) as v").repartition(7)
+        tiles = score.pack_tiles(px, 40, keys=("yr", "img"))
+        want = {}
+        for r in px.collect():
+            want.setdefault((r["yr"], r["img"]), np.zeros((40, 30), np.uint8))[r["y"], r["x"]] = r["v"]
+        got = {(r["yr"], r["img"]): np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"]) for r in tiles.collect()}
+        assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k]) for k in want) and tiles.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shards_by_their_index(spark, tmp_path):
+    """An index of headers, of long names and other formats too, and members read by their ranges."""
+    r = np.random.default_rng(9)
+    for k, form in enumerate((tarfile.GNU_FORMAT, tarfile.PAX_FORMAT, tarfile.USTAR_FORMAT)):
+        with tarfile.open(tmp_path / f"s{k}.tar", "w", format=form) as tar:
+            for i in range(20):
+                name = ("long" * 40 + "/" if i == 3 and form != tarfile.USTAR_FORMAT else "d/") + f"k{i:02}"
+                for part in ("tif", "txt"):
+                    info = tarfile.TarInfo(f"{name}.{part}")
+                    info.size = int(r.integers(0, 2000))
+                    tar.addfile(info, BytesIO(r.bytes(info.size)))
+            link = tarfile.TarInfo("link")
+            link.type, link.linkname = tarfile.SYMTYPE, "d/k00.tif"
+            tar.addfile(link)
+    index = io.shard_index(spark, str(tmp_path))
+    assert index.count() == 120
+    got = {(x["shard"], x["key"]): {k: bytes(v) for k, v in x["parts"].items()} for x in io.read_members(index.where("key like '%k0%'")).collect()}
+    want = {(x["shard"], x["key"]): {k: bytes(v) for k, v in x["parts"].items()} for x in io.read_shards(spark, str(tmp_path)).where("key like '%k0%'").collect()}
+    assert got == want and len(got) == 30
+
+
+def test_shards_beyond_two_gigabytes(tmp_path):
+    """Headers hop over data: a sparse shard of 5 GB gives its members in a few reads."""
+    size, path = 3 << 30, tmp_path / "big.tar"
+    with open(path, "wb") as f:
+        for name, n in (("a.tif", size), ("b.tif", 2 << 30), ("c.txt", 3)):
+            info = tarfile.TarInfo(name)
+            info.size = n
+            f.write(info.tobuf(tarfile.GNU_FORMAT))
+            f.write(b"abc") if n == 3 else f.seek(n, 1)
+            f.seek(-(-f.tell() // 512) * 512)
+        f.truncate(f.tell() + 1024)
+    reads = []
+    read = io.opener(str(path))
+    found = list(io.tar_members(lambda at, n: reads.append(n) or read(at, n)))
+    assert [(n, s) for n, _, s in found] == [("a.tif", size), ("b.tif", 2 << 30), ("c.txt", 3)] and sum(reads) < 10_000
+    assert read(found[2][1], 3) == b"abc"
+
+
+def test_failed_shard_writes_leave_nothing(spark, tmp_path):
+    df = spark.range(100).selectExpr("format_string('k%03d', id) as key", "map('txt', cast(cast(id as string) as binary)) as parts")
+    bad = df.withColumn("parts", F.when(F.col("key") == "k077", F.raise_error(F.lit("broken")).cast("map<string,binary>")).otherwise(F.col("parts")))
+    with pytest.raises(Exception, match="broken"):
+        io.commit_shards(bad.selectExpr("cast(substr(key, 2) as long) div 10 as shard", "0 as pos", "key", "map_entries(parts) as parts").repartition("shard").sortWithinPartitions("shard", "key"), str(tmp_path / "out"), "x-%03d.tar")
+    assert not os.path.exists(tmp_path / "out") or os.listdir(tmp_path / "out") == []
+    done = io.write_shards(df, str(tmp_path / "out"), "x-%03d.tar", 30)
+    assert sorted(tuple(r) for r in done.collect()) == [("x-000.tar", 30), ("x-001.tar", 30), ("x-002.tar", 30), ("x-003.tar", 10)]
+    assert sorted(os.listdir(tmp_path / "out")) == [f"x-00{k}.tar" for k in range(4)]
+    assert {r["key"]: bytes(r["parts"]["txt"]) for r in io.read_shards(spark, str(tmp_path / "out")).collect()} == {f"k{i:03}": str(i).encode() for i in range(100)}

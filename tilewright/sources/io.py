@@ -7,11 +7,13 @@ import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.lineage import cut
 from tilewright.functions.ordering import with_index
+from tilewright.sources.store import Read, opener, store_of
 
 GRID_SCHEMA = "filename string, x1 double, x2 double, y1 double, y2 double"
 STATS_SCHEMA = "tile string, frac double, status int"
@@ -69,27 +71,144 @@ def read_shards(spark: SparkSession, path: str | list[str], glob: str = "*.tar")
 
 
 def write_shards(df: DataFrame, path: str, pattern: str = "train-%06d.tar", maxcount: int = 32) -> DataFrame:
-    """Write (key, parts) as tar shards of at most ``maxcount`` samples in the order of the keys.
+    """Write (key, parts) as tar shards of at most ``maxcount`` samples in the order of the keys; returns (name, samples).
 
-    A global index gives each sample its shard and place; each task packs whole shards and
-    returns them as (name, content), which the binary sink below writes. Returns (name, samples).
+    A global index gives each sample its shard and place. Samples stream into their shard one by
+    one, so a shard may be larger than memory. Tasks write below a temporary folder of the target;
+    when all have ended, the files of the tasks that count get their names, so a lost or repeated
+    task leaves no file behind.
     """
     placed = with_index(df, [F.col("key")])
     placed = placed.select(F.floor(F.col("idx") / maxcount).alias("shard"), (F.col("idx") % maxcount).alias("pos"), "key", F.map_entries("parts").alias("parts"))
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "pos")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, buffer = pdf.sort_values("pos"), io.BytesIO()
-        with tarfile.open(fileobj=buffer, mode="w", format=tarfile.GNU_FORMAT) as tar:
-            for key, parts in zip(pdf["key"], pdf["parts"], strict=True):
-                for p in sorted(parts, key=lambda p: p["key"]):
-                    info = tarfile.TarInfo(f"{key}.{p['key']}")
-                    info.size = len(p["value"])
-                    tar.addfile(info, io.BytesIO(p["value"]))
-        return pd.DataFrame({"name": [pattern % pdf["shard"].iat[0]], "samples": [len(pdf)], "content": [buffer.getvalue()]})
-
-    packed = ordered.groupBy("shard").applyInPandas(pack, "name string, samples long, content binary")
-    return write_files(packed, path)
+    return commit_shards(placed.repartition("shard").sortWithinPartitions("shard", "pos"), path, pattern)
+
+
+def commit_shards(ordered: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Write rows (shard, pos, key, parts) that come to each task in the order of shard and pos, in two phases."""
+    import uuid
+
+    temporary = f"{path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        store, inner = store_of(temporary)
+        store.create_dir(inner, recursive=True)
+        now, out, n, at = None, None, 0, ""
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([pattern % now]), pa.array([at]), pa.array([n], pa.int64())], ["name", "file", "samples"])
+        for batch in batches:
+            for shard, key, parts in zip(batch.column("shard").to_pylist(), batch.column("key").to_pylist(), batch.column("parts"), strict=True):
+                if shard != now:
+                    if out is not None:
+                        _end(out)
+                        yield done()
+                    now, n, at = shard, 0, f"{inner}/{uuid.uuid4().hex}"
+                    out = store.open_output_stream(at)
+                for name, value in sorted((p["key"].as_py(), p["value"].as_py()) for p in parts):
+                    _put_member(out, f"{key}.{name}", value or b"")
+                n += 1
+        if out is not None:
+            _end(out)
+            yield done()
+
+    store, inner = store_of(path)
+    try:
+        written = ordered.mapInArrow(put, "name string, file string, samples long").collect()  # a row a shard
+        for r in written:
+            store.move(r["file"], f"{inner.rstrip('/')}/{r['name']}")
+    finally:
+        left, folder = store_of(temporary)
+        if left.get_file_info(folder).type.name == "Directory":
+            left.delete_dir(folder)
+    return ordered.sparkSession.createDataFrame([(r["name"], r["samples"]) for r in written], "name string, samples long")
+
+
+def _put_member(out, name: str, data: bytes) -> None:
+    info = tarfile.TarInfo(name)
+    info.size = len(data)
+    out.write(info.tobuf(tarfile.GNU_FORMAT))
+    out.write(data)
+    out.write(b"\0" * (-len(data) % tarfile.BLOCKSIZE))
+
+
+def _end(out) -> None:
+    out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
+    out.close()
+
+
+def tar_members(read: Read) -> Iterator[tuple[str, int, int]]:
+    """(name, place, size) of the files in a tar, by its headers alone; long names and sizes included."""
+    at, longer, sizes = 0, None, None
+    while True:
+        block = read(at, tarfile.BLOCKSIZE)
+        if len(block) < tarfile.BLOCKSIZE or not block.strip(b"\0"):
+            return
+        info = tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
+        at += tarfile.BLOCKSIZE
+        if info.type in (tarfile.GNUTYPE_LONGNAME, tarfile.GNUTYPE_LONGLINK, tarfile.XHDTYPE, tarfile.XGLTYPE, tarfile.SOLARIS_XHDTYPE):
+            data = read(at, info.size)
+            if info.type == tarfile.GNUTYPE_LONGNAME:
+                longer = data.rstrip(b"\0").decode("utf-8", "surrogateescape")
+            elif info.type in (tarfile.XHDTYPE, tarfile.SOLARIS_XHDTYPE):
+                records = _records(data)
+                longer, sizes = records.get("path", longer), int(records["size"]) if "size" in records else sizes
+            size = info.size
+        else:
+            size = sizes if sizes is not None else info.size
+            if info.isreg():
+                yield longer or info.name, at, size
+            else:
+                size = size if info.type not in tarfile.SUPPORTED_TYPES else 0
+            longer = sizes = None
+        at += -(-size // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
+
+
+def _records(data: bytes) -> dict[str, str]:
+    out, at = {}, 0
+    while at < len(data) and data[at : at + 1] != b"\0":
+        n = int(data[at : data.index(b" ", at)])
+        key, _, value = data[data.index(b" ", at) + 1 : at + n - 1].partition(b"=")
+        out[key.decode()] = value.decode("utf-8", "surrogateescape")
+        at += n
+    return out
+
+
+def shard_index(spark: SparkSession, path: str | list[str], glob: str = "*.tar") -> DataFrame:
+    """(path, shard, pos, key, part, place, size): where every member of the shards lies, read from the headers alone.
+
+    The index is a table like any other: filter or join it, then give what is left to ``read_members``.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                rows, seen = [], {}
+                for name, place, size in tar_members(opener(p)):
+                    key, part = member_key(name)
+                    rows.append((p, p.rpartition("/")[2], seen.setdefault(key, len(seen)), key, part, place, size))
+                if rows:
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "shard", "pos", "key", "part", "place", "size"])
+
+    return files.mapInArrow(walk, "path string, shard string, pos long, key string, part string, place long, size long")
+
+
+def read_members(index: DataFrame) -> DataFrame:
+    """Samples (shard, pos, key, parts) of an index: every member is read by its own byte range, whatever the size of its shard."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, read = None, None
+        for batch in batches:
+            for k, (p, place, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "place", "size")), strict=True)):
+                if p != path:
+                    path, read = p, opener(p)
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("shard", "pos", "key", "part")], pa.array([read(place, size)], pa.binary())], ["shard", "pos", "key", "part", "data"])
+
+    ordered = index.repartition("path", "key").sortWithinPartitions("path", "place")
+    data = ordered.mapInArrow(fetch, "shard string, pos long, key string, part string, data binary")
+    return data.groupBy("shard", "pos", "key").agg(F.map_from_entries(F.collect_list(F.struct("part", "data"))).alias("parts"))
 
 
 def write_files(df: DataFrame, path: str) -> DataFrame:

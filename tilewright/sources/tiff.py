@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from tilewright.sources.store import Read, opener, store_of
+
 #: Internal tiles of a partition, and files beyond which a partition takes whole files and planning reads none.
 RUN, MANY_FILES = 32, 256
 SCHEMA = "path string, row int, col int, y0 long, x0 long, h int, w int, bands int, dtype string, data binary, n_read long"
@@ -28,23 +30,11 @@ STRIP_OFFSETS, STRIP_ROWS, STRIP_COUNTS, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS,
 PIXEL_SCALE, TIE_POINT = 33550, 33922
 NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 
-Read = Callable[[int, int], bytes]
-
-
-def opener(path: str) -> Read:
-    """Ranges of a file of any store that Arrow knows by its address, or of a mounted folder."""
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    source = store.open_input_file(inner)
-    return lambda at, n: source.read_at(n, at)
-
-
 def find_files(path: str, ending: tuple[str, ...] = (".tif", ".tiff")) -> list[str]:
     """The file itself, or the raster files below a folder, by name."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    store, inner = store_of(path)
     head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     if store.get_file_info(inner).type == fs.FileType.Directory:
         found = store.get_file_info(fs.FileSelector(inner, recursive=True))

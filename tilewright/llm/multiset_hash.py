@@ -1,8 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A text is a multiset of paragraphs. Each paragraph gives a wide vector: the sum, lane by lane
-and modulo a power of two, of vectors hashed from the paragraph itself and from each of its
-sentences. A document's fingerprint is the sum of its paragraphs' vectors, so it doesn't
+and modulo a power of two, of vectors hashed from the paragraph itself, from each of its
+sentences, and from the pieces of long sentences. A document's fingerprint is the sum of its paragraphs' vectors, so it doesn't
 depend on their order, and a paragraph is inserted or deleted by adding or subtracting its
 vector. The lanes have mean zero once their known offset is taken off, so the cosine of two
 fingerprints estimates the share of units that two documents have in common.
@@ -24,6 +24,11 @@ LANES = HASHES * 16
 #: Lanes are kept modulo this power of two. The last element, the count of units, is kept whole.
 MODULUS = 1 << 16
 
+#: Words of a piece of a long sentence; a longer word than LETTERS counts as several.
+PIECE, LETTERS = 8, 64
+_WORD = rf"(?:[^ \t\x0B\f\r]{{1,{LETTERS}}}+[ \t\x0B\f\r]*+)"
+_PIECES = rf"{_WORD}{{1,{PIECE}}}+"
+
 
 def _lane_pairs(hashes: Sequence[Column]) -> list[Column]:
     """Two lane values in each long, 32 bits apart, so that sums of 2**28 units don't touch."""
@@ -75,11 +80,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """Paragraphs (lines with more than white space) and their sentences, all marked by kind."""
+    """Paragraphs (lines with more than white space), their sentences, and the pieces of longer sentences, all marked by kind.
+
+    Pieces are runs of PIECE words from the start of their sentence on, so that an edit reaches the
+    pieces behind it in one sentence only, and a text without sentence ends has units to compare.
+    """
     paragraphs = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     sentences = F.filter(F.split(text, r"\n|(?<=[.!?])[ \t]+"), lambda s: F.length(F.trim(s)) > 0)
     mark = lambda kind: lambda s: F.concat(F.lit(kind), F.trim(s))
-    return F.concat(F.transform(paragraphs, mark("p")), F.transform(sentences, mark("s")))
+    longer = F.filter(F.transform(sentences, lambda s: F.trim(s)), lambda s: s.rlike(rf"^{_WORD}{{{PIECE + 1}}}"))
+    pieces = F.flatten(F.transform(longer, lambda s: F.regexp_extract_all(s, F.lit(_PIECES), F.lit(0))))
+    return F.concat(F.transform(paragraphs, mark("p")), F.transform(sentences, mark("s")), F.transform(pieces, mark("c")))
 
 
 def _numbered(which: int):

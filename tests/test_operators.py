@@ -691,3 +691,58 @@ def test_failed_shard_writes_leave_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in done.collect()) == [("x-000.tar", 30), ("x-001.tar", 30), ("x-002.tar", 30), ("x-003.tar", 10)]
     assert sorted(os.listdir(tmp_path / "out")) == [f"x-00{k}.tar" for k in range(4)]
     assert {r["key"]: bytes(r["parts"]["txt"]) for r in io.read_shards(spark, str(tmp_path / "out")).collect()} == {f"k{i:03}": str(i).encode() for i in range(100)}
+
+
+def test_samples_by_selection_are_the_first_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SMALL", 5)
+    df = spark.range(3000).selectExpr("cast(id % 1700 as string) as k", "id as other").unionByName(spark.createDataFrame([(None, i) for i in range(4)] + [("hot", i) for i in range(900)], "k string, other long"))
+    for n, frac in ((0, None), (1, None), (700, None), (None, 0.25), (3904, None), (10_000, None)):
+        got = sampling.sample_exact(df, "k", 3, n, frac)
+        want = with_index(df, [F.coalesce(sampling.seeded(F.col("k"), 3), F.lit(""))], "i").where(F.col("i") < (n if n is not None else round(0.25 * 3904)))
+        assert sorted(str(r[0]) for r in got.select("k").collect()) == sorted(str(r[0]) for r in want.select("k").collect())
+        assert got.distinct().count() == got.count() and {tuple(r) for r in sampling.sample_exact(df.repartition(3), "k", 3, n, frac).collect()} == {tuple(r) for r in got.collect()}
+
+
+def test_shuffle_buffer(spark):
+    samples = spark.range(600).selectExpr("concat('s', id % 7) as shard", "cast(id / 7 as int) as pos", "cast(id as string) as key")
+    run = lambda size=10, epoch=0, parts=5: {(r["stream"], r["seq"]): r["key"] for r in sampling.buffered_shuffle(samples.repartition(parts), size, 1, epoch, 3).collect()}
+    first = run()
+    assert sorted(first.values()) == sorted(str(i) for i in range(600)) and first == run(parts=2) and first != run(epoch=1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run() == first  # however the rows come in batches
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for stream in {s for s, _ in first}:
+        keys = [first[stream, i] for i in range(sum(s == stream for s, _ in first))]
+        shards = {int(k) % 7 for k in keys}
+        turn = {k: n for n, k in enumerate(sorted(keys, key=lambda k: (int(k) // 7)))}
+        # A sample can't come out before it came in: at most the buffer's size, and one turn of the shards, ahead of its place.
+        assert all(turn[k] <= i + 10 + len(shards) for i, k in enumerate(keys)) and keys != sorted(keys, key=lambda k: turn[k])
+    assert run(size=1) and run(size=10_000)
+    with pytest.raises(ValueError):
+        sampling.buffered_shuffle(samples, 0, 1)
+
+
+def test_layout_by_place_reads_few_files(spark, tmp_path):
+    cells = spark.range(64 * 64).selectExpr("cast(id div 64 as int) as row", "cast(id % 64 as int) as col", "cast(id as string) as data")
+    order = [tuple(r) for r in cells.withColumn("h", io.hilbert(F.col("row"), F.col("col"), 6)).orderBy("h").select("row", "col").collect()]
+    assert len(set(order)) == 4096 and all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(order, order[1:], strict=False))
+    assert [r["h"] for r in cells.withColumn("h", io.hilbert(F.col("row"), F.col("col"), 6)).orderBy("h").collect()] == list(range(4096))
+    io.write_by_place(cells, str(tmp_path / "t"), 6, 3)
+    files = sum(f.endswith(".parquet") for _, _, names in os.walk(tmp_path / "t") for f in names)
+    got = io.read_box(spark, str(tmp_path / "t"), 6, 3, (17, 40, 22, 46))
+    assert {(r["row"], r["col"]) for r in got.collect()} == {(y, x) for y in range(17, 23) for x in range(40, 47)}
+    scan = got._jdf.queryExecution().executedPlan()
+    got._jdf.queryExecution().toRdd().count()
+    text = scan.toString()
+    assert files >= 64 and "PartitionFilters: [block" in text or "PartitionFilters: [isnotnull(block" in text
+    metric = [m for m in _metrics(scan) if m[0] == "numFiles"]
+    assert metric and metric[0][1] < 0.05 * files
+
+
+def _metrics(plan):
+    out = [(k, plan.metrics().apply(k).value()) for k in ("numFiles",) if plan.metrics().contains(k)]
+    for i in range(plan.children().size()):
+        out += _metrics(plan.children().apply(i))
+    return out

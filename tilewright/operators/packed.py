@@ -118,6 +118,43 @@ def signed_distance(mask: np.ndarray, cls: int, truncate: float | None = None) -
     return np.where(hot, inside, near(hot))
 
 
+def recut(pieces: DataFrame, dim: int, order: str | None = None) -> DataFrame:
+    """(row, col, h, w, bands, data): pieces of a raster at (gy, gx), with (h, w, bands, data), cut anew into tiles of ``dim``.
+
+    Serves retiling (strips to tiles) and mosaics (overlapping tiles to a raster): each piece is cut at
+    the borders of the tiles, so what is shuffled are runs of bytes of about the raster's size, and put
+    together there; where pieces overlap, the last one by ``order`` wins. Pixels that no piece has are 0;
+    tiles end where their pixels do.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns = batch.column(order).to_pylist() if order else [0] * batch.num_rows
+            for turn, gy, gx, h, w, bands, data in zip(turns, *(batch.column(c).to_pylist() for c in ("gy", "gx", "h", "w", "bands", "data")), strict=True):
+                a = np.frombuffer(data, np.uint8)[: bands * h * w].reshape(bands, h, w)
+                rows = []
+                for row in range(gy // dim, (gy + h - 1) // dim + 1):
+                    for col in range(gx // dim, (gx + w - 1) // dim + 1):
+                        y0, y1, x0, x1 = max(gy, row * dim), min(gy + h, row * dim + dim), max(gx, col * dim), min(gx + w, col * dim + dim)
+                        part = np.ascontiguousarray(a[:, y0 - gy : y1 - gy, x0 - gx : x1 - gx])
+                        rows.append((row, col, turn, y0 - row * dim, x0 - col * dim, y1 - y0, x1 - x0, bands, part.tobytes()))
+                if rows:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.binary())
+                    names = ["row", "col", "turn", "y", "x", "h", "w", "bands", "data"]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn", kind="stable")
+        tile = np.zeros((int(pdf["bands"].max()), int((pdf["y"] + pdf["h"]).max()), int((pdf["x"] + pdf["w"]).max())), np.uint8)
+        for y, x, h, w, bands, data in pdf[["y", "x", "h", "w", "bands", "data"]].itertuples(index=False):
+            tile[:bands, y : y + h, x : x + w] = np.frombuffer(data, np.uint8).reshape(bands, h, w)
+        bands, h, w = tile.shape
+        return pd.DataFrame({"row": [pdf["row"].iat[0]], "col": [pdf["col"].iat[0]], "h": [h], "w": [w], "bands": [bands], "data": [tile.tobytes()]})
+
+    parts = pieces.mapInArrow(cut, "row int, col int, turn long, y int, x int, h int, w int, bands int, data binary")
+    return parts.groupBy("row", "col").applyInPandas(put, "row int, col int, h int, w int, bands int, data binary")
+
+
 #: What pads a mask where its mosaic has no pixel.
 ABSENT = 255
 

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.ordering import with_index
 
 
+#: Hexadecimal digits by which a sample's order is counted at once, and rows that are put in order without counting finer.
+DIGITS, SMALL = 3, 100_000
+
+
 def seeded(key: Column, seed: int) -> Column:
     """An order by key and seed that doesn't depend on partitions."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
@@ -55,13 +62,41 @@ def fill_shards(split: DataFrame, size: int, key: str = "tile", seed: int = 1, c
 
 
 def sample_exact(df: DataFrame, key: str, seed: int, n: int | None = None, frac: float | None = None) -> DataFrame:
-    """Exactly n rows, or round(frac * rows) half to even, without replacement.
+    """Exactly n rows, or round(frac * rows) half to even, without replacement: the first ones in the order of key and seed.
 
-    Rows are numbered in the order of key and seed in parallel ranges, so no task gets them all.
+    Counts of the first digits of that order say in which part the last row lies; only that part is
+    counted finer, and in the end only it is put in order. All other rows are taken or left as they are read.
     """
-    if n is None:
-        n = round(frac * df.count())
-    return with_index(df, [seeded(F.col(key), seed), F.col(key)], "__i").where(F.col("__i") < n).drop("__i")
+    code = F.coalesce(seeded(F.col(key), seed), F.lit(""))
+    left, width, parts = n, 0, None
+    part = lambda k: F.substring(code, 1, k)
+    at = ""
+    while True:
+        width += DIGITS
+        inside = df if parts is None else df.where(part(width - DIGITS) == at)
+        counts = sorted(inside.groupBy(part(width).alias("p")).count().collect())
+        if parts is None:
+            total = sum(r["count"] for r in counts)
+            left = round(frac * total) if n is None else n
+            if left >= total:
+                return df
+            if left <= 0:
+                return df.limit(0)
+        parts = counts
+        for r in counts:
+            at = r["p"]
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        if r["count"] <= SMALL or width >= 32:
+            break
+    order = [code, F.col(key), F.xxhash64(*df.columns)]
+    border = df.where(part(width) == at)
+    if r["count"] <= SMALL:
+        border = border.orderBy(*order).limit(left)
+    else:  # a key that repeats so often has the same digits to the end
+        border = with_index(border, order, "__i").where(F.col("__i") < left).drop("__i")
+    return df.where(part(width) < at).unionByName(border)
 
 
 def all_keys(tiles: DataFrame, n: int, tile: str = "tile") -> DataFrame:
@@ -173,6 +208,59 @@ def split_like(extra: DataFrame, main: DataFrame, key: str = "shard") -> DataFra
     return split_shards(extra, (train / total, 1 - train / total), key)
 
 
+def buffered_shuffle(samples: DataFrame, size: int, seed: int, epoch: int = 0, streams: int = 8, shard: str = "shard", pos: str = "pos") -> DataFrame:
+    """The samples with ``stream`` and ``seq``: the order in which ``streams`` readers with a buffer of ``size`` give them.
+
+    Each reader takes its shards in turns, one sample of each, into a buffer, and every sample that
+    comes into a full buffer puts out one at random. Shards are dealt anew in every epoch. A task holds
+    the buffer and one batch, and reruns agree.
+    """
+    if size < 1:
+        raise ValueError("a buffer needs room")
+    mixed = lambda k: F.xxhash64(F.col(shard), F.lit(seed), F.lit(epoch), F.lit(k))
+    dealt = samples.withColumn("stream", F.pmod(mixed(0), F.lit(streams)).cast("int")).withColumn("__turn", mixed(1))
+    ordered = dealt.repartition("stream").sortWithinPartitions("stream", pos, "__turn", shard).drop("__turn")
+    schema = T.StructType([*ordered.schema, T.StructField("seq", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rng, n = None, None, None, 0
+
+        def out(table: pa.Table, rows: list[int]) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            took = table.take(pa.array(rows, pa.int64())).append_column("seq", pa.array(range(n, n + len(rows)), pa.int64()))
+            n += len(rows)
+            yield from took.combine_chunks().to_batches()
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            if held is not None and held.num_rows:
+                yield from out(held, rng.permutation(held.num_rows).tolist())
+
+        for batch in batches:
+            stream = batch.column("stream").to_numpy()
+            ends = [*(np.flatnonzero(stream[1:] != stream[:-1]) + 1).tolist(), len(stream)]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                if lo == hi:
+                    continue
+                if now != int(stream[lo]):
+                    yield from drained()
+                    now, held, n = int(stream[lo]), None, 0
+                    rng = np.random.default_rng([seed & 0xFFFFFFFF, epoch, now])
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                first = 0 if held is None else held.num_rows
+                table = part if held is None else pa.concat_tables([held, part])
+                slots, put = list(range(min(size, table.num_rows))), []
+                for k in range(max(first, size), table.num_rows):
+                    j = int(rng.integers(size))
+                    put.append(slots[j])
+                    slots[j] = k
+                if put:
+                    yield from out(table, put)
+                held = table.take(pa.array(slots, pa.int64())).combine_chunks()
+        yield from drained()
+
+    return ordered.mapInArrow(run, schema)
+
+
 def cycle_batches(main: DataFrame, extra: DataFrame) -> DataFrame:
     """Each main batch with one of the extra batches, which begin anew when they are used up."""
     n = extra.agg(F.max("batch_id")).first()[0] + 1

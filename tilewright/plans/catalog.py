@@ -193,6 +193,29 @@ n as (select a.img, c.k, a.y, a.x, min(case when (a.cls = c.k) <> (b.cls = c.k)
 select g.img, n.k::int as k, g.y, g.x, case when g.cls = n.k then 1 - coalesce(least(sqrt(s), 3), 3) else coalesce(least(sqrt(s), 3), 3) end as dist
 from g join n on g.img = n.img and g.y = n.y and g.x = n.x""")
 
+
+def _filled(world: str, dim: int) -> str:
+    """SQL of a raster (gy, gx, band, v) cut into tiles that end where their pixels do, gaps filled with 0."""
+    return f"""
+with g as ({world}), t as (select gy // {dim} as r, gx // {dim} as c, max(gy % {dim}) as h, max(gx % {dim}) as w, max(band) as bands from g group by all)
+select t.r::int as row, t.c::int as col, b.band::int as band, y.y::int as y, x.x::int as x, coalesce(g.v, 0)::int as v
+from t, range(1, 5) b(band), range({dim}) y(y), range({dim}) x(x) left join g on g.gy = t.r * {dim} + y.y and g.gx = t.c * {dim} + x.x and g.band = b.band
+where b.band <= t.bands and y.y <= t.h and x.x <= t.w"""
+
+
+def _unpacked(tiles: DataFrame) -> DataFrame:
+    numbered = tiles.withColumn("img", F.col("row").cast("long") * (1 << 20) + F.col("col"))
+    return sc.unpack_bands(numbered).select(F.floor(F.col("img") / (1 << 20)).cast("int").alias("row"), (F.col("img") % (1 << 20)).cast("int").alias("col"), "band", "y", "x", "v")
+
+
+def _placed(p: DataFrame, step: int) -> DataFrame:
+    at = lambda c: (c * step).cast("int")
+    return sc.pack_tiles(p, N).withColumns({"gy": at(F.floor(F.col("img") / 10)), "gx": at(F.col("img") % 10)})
+
+
+_add("retile_packed", "px", lambda p: _unpacked(pk.recut(_placed(p, 8), 5)), _filled("select (img // 10) * 8 + y as gy, (img % 10) * 8 + x as gx, band, v from px", 5))
+_add("mosaic_packed", "px", lambda p: _unpacked(pk.recut(_placed(p, 6), 7, "img")), _filled("select (img // 10) * 6 + y as gy, (img % 10) * 6 + x as gx, band, max_by(v, img) as v from px group by 1, 2, 3", 7))
+
 # --- polygons with rings ------------------------------------------------------------------------------
 # The oracle integrates each edge over a box in closed form; edges keep their direction, which counts as the ring's.
 _EDGES = """

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.lineage import cut
@@ -42,6 +42,38 @@ def write_tiles(df: DataFrame, path: str, year: str | None = None) -> None:
     (writer.partitionBy(year) if year else writer).parquet(path)
 
 
+def hilbert(row: Column, col: Column, bits: int) -> Column:
+    """Place of a cell on the Hilbert curve of 2^bits x 2^bits cells: near places are near cells."""
+    start = F.struct(col.cast("long").alias("x"), row.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(s: Column, side: Column) -> Column:
+        rx, ry = (s["x"].bitwiseAND(side) > 0).cast("long"), (s["y"].bitwiseAND(side) > 0).cast("long")
+        d = s["d"] + side * side * (rx * 3).bitwiseXOR(ry)
+        turned = (ry == 0) & (rx == 1)
+        x, y = F.when(turned, side - 1 - s["x"].bitwiseAND(side - 1)).otherwise(s["x"].bitwiseAND(side - 1)), F.when(turned, side - 1 - s["y"].bitwiseAND(side - 1)).otherwise(s["y"].bitwiseAND(side - 1))
+        return F.struct(F.when(ry == 0, y).otherwise(x).alias("x"), F.when(ry == 0, x).otherwise(y).alias("y"), d.alias("d"))
+
+    sides = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(bits))]) if bits else F.array().cast("array<bigint>")
+    return F.aggregate(sides, start, step, lambda s: s["d"])
+
+
+def write_by_place(tiles: DataFrame, path: str, bits: int, shift: int) -> None:
+    """Tiles (row, col, ...) as Parquet, laid out by place: folders of 2^shift x 2^shift tiles, and in each the order of the Hilbert curve.
+
+    A reader with a box opens the folders that share tiles with it and no others; see ``read_box``.
+    """
+    placed = tiles.withColumn("block", hilbert(F.shiftright("row", shift), F.shiftright("col", shift), max(0, bits - shift))).withColumn("__h", hilbert(F.col("row"), F.col("col"), bits))
+    placed.repartitionByRange("block").sortWithinPartitions("block", "__h").drop("__h").write.option("compression", "zstd").partitionBy("block").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, bits: int, shift: int, box: tuple[int, int, int, int]) -> DataFrame:
+    """Tiles of a layout of ``write_by_place`` with row and col from (r0, c0) to (r1, c1), these included."""
+    r0, c0, r1, c1 = box
+    cells = spark.range(r0 >> shift, (r1 >> shift) + 1).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(c0 >> shift), F.lit(c1 >> shift))))
+    blocks = [r[0] for r in cells.select(hilbert(F.col("r"), F.col("c"), max(0, bits - shift))).collect()]  # one for each folder of the box
+    return spark.read.parquet(path).where(F.col("block").isin(blocks) & F.col("row").between(r0, r1) & F.col("col").between(c0, c1)).drop("block")
+
+
 def member_key(name: str) -> tuple[str, str]:
     """Key and part of a member: its name is cut at the first dot after its last folder, which the key keeps."""
     folder, _, base = name.rpartition("/")

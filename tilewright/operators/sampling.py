@@ -269,3 +269,8 @@ def cycle_batches(main: DataFrame, extra: DataFrame) -> DataFrame:
 
 def n_batches(shards: int, shard_size: int, batch: int) -> int:
     return shards * shard_size // batch
+
+
+def batches_of_split(split: DataFrame, shard_size: int, batch: int, shard: str = "shard") -> DataFrame:
+    """(batches): full batches that the shards of a split give, each counted as ``shard_size`` samples."""
+    return split.agg(F.floor(F.count_distinct(shard) * shard_size / batch).alias("batches"))

@@ -174,6 +174,9 @@ _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cell
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
 _add("rasterize_simple", "cells polys", lambda c, p: ve.rasterize(c, p, simple=True), _CELLS.format(v="case when p.pid is not null then 1 end", w="true"))
 
+# Moves keep every tile's classes, whatever they are.
+_add("augment", "mask_px", lambda m: ra.augment(m, N, 7).groupBy("img", "cls").agg(F.count("*").alias("n")), "select img, cls, count(*) as n from mask_px group by img, cls")
+
 # --- packed forms ---------------------------------------------------------------------------------------
 def _same(name: str, other: str, views: str, run: Callable[..., DataFrame]) -> None:
     """Register another form of a query, which must give the same rows."""
@@ -278,11 +281,10 @@ left join px p on p.img = i.img and p.band = b.band and p.y = y.y and p.x = x.x
 
 # --- joins --------------------------------------------------------------------------------------------
 _add("triplet_join", "px mask_px lu_px", lambda p, m, u: p.where("band = 1").join(m, ["img", "y", "x"]).join(u, ["img", "y", "x"]), """
-select p.img, p.y, p.x, p.band, p.v, m.cls, l.forest from px p join mask_px m on p.img = m.img and p.y = m.y and p.x = m.x
-join lu_px l on p.img = l.img and p.y = l.y and p.x = l.x where p.band = 1""")
+select img, y, x, band, v, cls, forest from (select img, y, x, band, v, cls from px join mask_px using (img, y, x) where band = 1) join lu_px using (img, y, x)""")
 _add("negatives_join", "px mask_px lu_px", lambda p, m, u: p.where("band = 1").join(m, ["img", "y", "x"], "left").join(u, ["img", "y", "x"], "left").fillna(0, ["cls"]).fillna(1, ["forest"]), """
-select p.img, p.y, p.x, p.band, p.v, coalesce(m.cls, 0) as cls, coalesce(l.forest, 1) as forest from px p left join mask_px m on p.img = m.img and p.y = m.y and p.x = m.x
-left join lu_px l on p.img = l.img and p.y = l.y and p.x = l.x where p.band = 1""")
+select img, y, x, band, v, coalesce(cls, 0) as cls, coalesce(forest, 1) as forest
+from (select img, y, x, band, v, cls from px left join mask_px using (img, y, x) where band = 1) left join lu_px using (img, y, x)""")
 
 # --- keys, sampling, splitting --------------------------------------------------------------------------
 _KEYS = "with k as (select t.tile || '_' || lpad(cast(s.i as varchar), 3, '0') as key from subtile_stats t, range(4) s(i)) "
@@ -412,7 +414,7 @@ def _total(e: DataFrame, m: DataFrame) -> DataFrame:
 
 _add("total_score", "eval_px mask_px", _total, _PLANES + ", " + _DIST.strip()[5:] + f"""
 select {_GD} + {_FO} + 0.1 * (select avg((0.2 + 0.5 * cast(m.cls = z.k as int))::double * z.dist) from z join mask_px m on m.img = z.img and m.y = z.y and m.x = z.x where z.k > 0) as total_score""")
-_add("n_batches", "subtile_stats", lambda s: s.agg(F.floor(F.ceil(F.count("*") / 32) * 32 / 16).alias("batches")), "select cast(floor(ceil(count(*) / 32) * 32 / 16) as bigint) as batches from subtile_stats")
+_add("n_batches", "subtile_stats", lambda s: sa.batches_of_split(sa.balanced_split(s.where("frac > 0"), 32), 32, 16), "select cast(floor(ceil(count(*) / 32) * 32 / 16) as bigint) as batches from subtile_stats where frac > 0")
 
 # --- scoring ---------------------------------------------------------------------------------------------
 _add("vote", "vote_px", lambda v: ev.vote(v, ["img", "y", "x"], 3), """

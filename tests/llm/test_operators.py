@@ -901,3 +901,42 @@ def test_two_thirds_kept_are_seen_without_sentences(spark):
     pairs = spark.createDataFrame([(i, fp[i, 0], fp[i, k], k) for i in range(len(texts)) for k in (1, 2)], "id long, a array<long>, b array<long>, k int")
     near = {(x["id"], x["k"]): x["n"] for x in pairs.select("id", "k", multiset_hash.likeness(F.col("a"), F.col("b")).alias("n")).collect()}
     assert all(near[i, 1] > 0.2 and near[i, 1] > near[i, 2] + 0.1 for i in range(len(texts))), near
+
+
+def test_label_propagation_against_a_plain_one(spark):
+    """Rounds, quotas and moves of a plain loop over the same blocks and the same random numbers."""
+    r = random.Random(6)
+    shards, rounds = 5, 6
+    blocks = {(u, o): [o, r.choice([1, 2, 5, 40]), 1] for u in range(120) for o in r.sample(range(shards), r.choice([1, 1, 2, 3, 5]))}
+    rows = [(u, o, s, b, n) for (u, o), (s, b, n) in blocks.items()]
+    df = spark.createDataFrame(rows, "unit long, origin int, shard int, bytes long, rows long").repartition(3)
+    draws = df.select("unit").distinct()
+    draw = {x["unit"]: x["u"] for x in draws.select("unit", F.array(*[sharding._uniform(F.col("unit"), F.lit(k)) for k in range(rounds)]).alias("u")).collect()}
+    cap = sum(b for _, b, _ in blocks.values()) / shards * (1 + sharding.SLACK)
+    for number in range(rounds):
+        votes: dict = {}
+        for (u, _), (s, b, _) in blocks.items():
+            votes.setdefault(u, Counter())[s] += b
+        wish = {u: max(v, key=lambda s: (v[s], -s)) for u, v in votes.items()}
+        load, into, out = Counter(), Counter(), Counter()
+        for (u, _), (s, b, _) in blocks.items():
+            load[s] += b
+            if wish[u] != s:
+                into[wish[u]] += b
+                out[s] += b
+        if not into:
+            break
+        admit = [min(1.0, max(0.0, cap - load[s]) / max(into[s] - out[s], 1)) if into[s] > out[s] else 1.0 for s in range(shards)]
+        for (u, _), block in blocks.items():
+            if draw[u][number] < admit[wish[u]] or number == rounds - 1:
+                block[0] = wish[u]
+    got = {(x["unit"], x["origin"]): x["shard"] for x in sharding.propagate(df, shards, rounds).collect()}
+    assert got == {k: v[0] for k, v in blocks.items()}
+    assert all(len({s for (u, _), s in got.items() if u == unit}) == 1 for unit in range(120))
+
+
+@pytest.mark.parametrize("cumulative", [[5.0], [1.0, 1.0, 4.0], [0.0, 0.0, 3.0, 7.5, 7.5, 9.0]])
+def test_places_in_running_sums(spark, cumulative):
+    at = [-1.0, 0.0, 0.5, 1.0, 3.9, 4.0, 7.5, 8.0, 9.0, 100.0]
+    got = [x[0] for x in spark.createDataFrame([(a,) for a in at], "a double").select(sharding._pick(cumulative, F.col("a"))).collect()]
+    assert got == [min(sum(c <= a for c in cumulative), len(cumulative) - 1) for a in at]

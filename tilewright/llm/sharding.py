@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.lineage import cut
-from tilewright.functions.ordering import bucket_count, with_running_sum
+from tilewright.functions.ordering import bucket_count, range_bucket, with_running_sum
 
 #: Linked documents of more than this share of a shard are split into units of about this size.
 UNIT_SHARE = 1 / 8
@@ -29,9 +29,8 @@ def _uniform(*cols: Column) -> Column:
 
 
 def _pick(cumulative: list[float], at: Column) -> Column:
-    """Index of the first cumulative value above ``at`` (the list has one entry a shard)."""
-    table = F.array(*[F.lit(float(x)) for x in cumulative])
-    return F.least(F.size(F.filter(table, lambda x: x <= at)), F.lit(len(cumulative) - 1))
+    """Index of the first cumulative value above ``at`` (the list has one entry a shard), by binary search."""
+    return F.least(range_bucket([at.cast("double")], [F.struct(F.lit(float(x)).alias("k0")) for x in cumulative]), F.lit(len(cumulative) - 1))
 
 
 def _load(blocks: DataFrame, shards: int) -> list[int]:
@@ -93,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     plus 8; a null text counts as empty and is linked to empty texts. Null ids are ordinary
     ids. Identical rows are placed together unless they exceed a unit, every one with its own
     slot. Slots run from 0 in each shard. An empty table gives an empty result; other columns
-    of the input are not read.
+    of the input are not read. Of a text only its length and hashes are used, whatever its length.
     """
     if not 1 <= shards <= MAX_SHARDS:
         raise ValueError(f"shards must be in 1..{MAX_SHARDS}")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.lineage import fresh_path
 from tilewright.operators import evaluate as ev
 from tilewright.operators import packed as pk
 from tilewright.operators import raster as ra
@@ -19,6 +20,8 @@ from tilewright.operators import score as sc
 from tilewright.operators import stats as st
 from tilewright.operators import vector as ve
 from tilewright.plans.fixtures import oracle, view
+from tilewright.sources import io
+from tilewright.sources.tiff import read_raster
 
 N, D, SUBS = 8, 4, 4
 YEARS = (2017, 2018, 2019, 2020)
@@ -167,8 +170,8 @@ select pid, case when pid % 7 = 0 then null else ty end as ty from polys""")
 _add("overlay_pairs", "grid polys", ve.overlay_pairs, _PAIRS)
 _add("tiles_with_truth", "grid polys", ve.tiles_with_truth, f"select distinct filename from ({_PAIRS})")
 _add("valid_tiles", "grid px", lambda g, p: ve.valid_tiles(g, ra.nodata(p).select(
-    F.format_string("ortho_ms_2019_EPSG3044_%03d_%06d", F.floor(F.col("img") / 10), F.col("img") % 10).alias("filename"), "is_nodata")), """
-select * from grid where filename not in (select 'ortho_ms_2019_EPSG3044_' || lpad(cast(img // 10 as varchar), 3, '0') || '_' || lpad(cast(img % 10 as varchar), 6, '0')
+    F.format_string("area_2019_%03d_%06d", F.floor(F.col("img") / 10), F.col("img") % 10).alias("filename"), "is_nodata")), """
+select * from grid where filename not in (select 'area_2019_' || lpad(cast(img // 10 as varchar), 3, '0') || '_' || lpad(cast(img % 10 as varchar), 6, '0')
 from px where band = 1 group by img having bool_and(v in (0, 255)))""")
 _CELLS = f"select c.filename, c.y, c.x, coalesce(min({{v}}), 0) as cls from cells c left join polys p on {{w}} and {_TOUCH.format(x='c.cx', y='c.cy', s=5)} group by c.filename, c.y, c.x"
 _add("rasterize", "cells polys", ve.rasterize, _CELLS.format(v="p.ty", w="p.ty in (1, 2)"))
@@ -279,6 +282,33 @@ select i.img, b.band, y.y, x.x, coalesce(p.v, 0)::int as v
 from (select img, max(band) as bands, max(y) as h, max(x) as w from px group by img) i, range(1, 5) b(band), range(8) y(y), range(8) x(x)
 left join px p on p.img = i.img and p.band = b.band and p.y = y.y and p.x = x.x where b.band <= i.bands and y.y <= i.h and x.x <= i.w""")
 
+
+
+def _raster_files(spark, d: str) -> DataFrame:
+    """Every tile as a raster file of its own, written to the shared folder and read back by the data source."""
+    files = sc.encoded(sc.pack_tiles(view(spark, d, "px"), N), 16)
+    path = fresh_path(spark, "rasters")
+    io.write_files(files.select(F.format_string("%012d.tif", "img").alias("name"), F.lit(1).cast("long").alias("samples"), "content"), path)
+    tiles = read_raster(spark, path)
+    return sc.unpack_bands(tiles.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("img"), "h", "w", "bands", "data"))
+
+
+_QUERIES["raster_files"], _SQL["raster_files"] = _raster_files, _SQL["raster_codec"]
+
+
+def _shard_samples(spark, d: str) -> DataFrame:
+    """Subtiles as samples of shards, written in two phases and read back by the index of their members."""
+    subs = pk.pack_blocks(sc.pack_tiles(view(spark, d, "px"), N), N, D)
+    path = fresh_path(spark, "shards")
+    io.write_shards(subs.select(F.format_string("%012d_%03d", "img", "sub").alias("key"), F.create_map(F.lit("bin"), F.col("data")).alias("parts")), path, "part-%06d.tar")
+    return io.read_members(io.shard_index(spark, path)).select("shard", "pos", "key", F.octet_length(F.col("parts")["bin"]).alias("n"))
+
+
+_QUERIES["shard_samples"], _SQL["shard_samples"] = _shard_samples, oracle("px", """
+with k as (select lpad(cast(img as varchar), 12, '0') || '_' || lpad(cast(s.i as varchar), 3, '0') as key, (max(band) * 16)::int as n from px, range(4) s(i) group by img, s.i),
+i as (select *, row_number() over (order by key) - 1 as i from k)
+select 'part-' || lpad(cast(i // 32 as varchar), 6, '0') || '.tar' as shard, i % 32 as pos, key, n from i""")
+
 # --- joins --------------------------------------------------------------------------------------------
 _add("triplet_join", "px mask_px lu_px", lambda p, m, u: p.where("band = 1").join(m, ["img", "y", "x"]).join(u, ["img", "y", "x"]), """
 select img, y, x, band, v, cls, forest from (select img, y, x, band, v, cls from px join mask_px using (img, y, x) where band = 1) join lu_px using (img, y, x)""")

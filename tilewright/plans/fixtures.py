@@ -71,7 +71,7 @@ select c_custkey as pid, cast((c_custkey * 37) % 1000 + 1000 * floor((c_custkey
        cast(case when c_custkey % 13 = 0 then 3 else 1 + c_custkey % 2 end as int) as ty, cast(case when c_custkey % 3 = 0 then 1 else 0 end as int) as tri
 from customer where not (c_custkey * 37) % 1000 between 270 and 399"""),
     "grid": ([], """
-select 'ortho_ms_2019_EPSG3044_' || lpad(cast(r as varchar(3)), 3, '0') || '_' || lpad(cast(c as varchar(6)), 6, '0') as filename,
+select 'area_2019_' || lpad(cast(r as varchar(3)), 3, '0') || '_' || lpad(cast(c as varchar(6)), 6, '0') as filename,
        cast(c * 100 as double) as x1, cast(c * 100 + 100 as double) as x2, cast(r * 100 as double) as y1, cast(r * 100 + 100 as double) as y2
 from (select cast(floor((c_custkey - 1) % 1500 / 150) as int) as r, cast(floor((c_custkey - 1) % 150 / 15) + 10 * floor((c_custkey - 1) / 1500) as int) as c
       from customer where (c_custkey - 1) % 15 = 0) g"""),

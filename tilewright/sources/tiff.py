@@ -259,9 +259,16 @@ class RasterReader(DataSourceReader):
 
     def partitions(self) -> list[Run]:
         files = find_files(self.path)
-        if len(files) > MANY_FILES:
+        if len(files) > MANY_FILES:  # headers are read by the tasks
             return [Run("", files=tuple(files[k : k + RUN])) for k in range(0, len(files), RUN)]
-        return [r for p in files for r in self._runs(p, RasterFile(opener(p)))]
+        out, small = [], []
+        for p in files:
+            runs = list(self._runs(p, RasterFile(opener(p))))
+            if sum(r.last - r.first + 1 for r in runs) * 4 > RUN:
+                out += runs
+            elif runs:
+                small.append(p)
+        return out + [Run("", files=tuple(small[k : k + RUN])) for k in range(0, len(small), RUN)]
 
     def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no tile is asked for

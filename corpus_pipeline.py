@@ -12,28 +12,42 @@ from tilewright.llm.simhash import drop_near_duplicates
 from tilewright.llm.token_output import token_digest, write_tokens
 
 
+#: What a Python worker gets at once, unless the session says otherwise: rows, and bytes for long texts. Workers
+#: and the executor's own buffers take several times as much, beside the heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    for name, (usual, small) in BATCHES.items():
+        now = spark.conf.get(name, None)
+        if now == usual or usual is None and int(now or 1 << 62) > int(small):
+            spark.conf.set(name, small)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null and empty texts have no words and go; repeated rows share their verdict; an empty table stays empty."""
+    _small_batches(spark)
     return keep_quality(docs, fit_quality(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
+    """One document of each group of exact and near copies: of repeated rows, and of null and empty texts, one stays. An empty table stays empty."""
+    _small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Null and empty texts hold none; equal rows share their verdict; without items all stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the target weights takes them."""
+    """Documents as often as the mix to the target weights takes them; null and empty texts once, null sources as a source of their own."""
     return mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as ORC files; returns what the files say of each document."""
+    """Token ids as ORC files; returns what the files say of each document. Null and empty texts have the end id only; repeated rows are written each."""
     path = fresh_path(spark, "corpus-tokens")
     write_tokens(docs, path, "byte_bpe_50k.json")
     return token_digest(spark, path)

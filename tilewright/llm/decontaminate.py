@@ -209,9 +209,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The documents that hold no item of the benchmark, with their columns as they were."""
-    leaks = cut(contaminated(docs, benchmark, cover).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
+    """The documents that hold no item of the benchmark, with their columns as they were, whatever their names.
+
+    Null and empty texts hold nothing and stay, null ids are ordinary ids, and repeated rows stay or go
+    together. Without documents there are none, and without items all stay.
+    """
+    leaks = cut(contaminated(docs, benchmark, cover).select("doc_id", "h").distinct(), "leaks")
+    same = docs["doc_id"].eqNullSafe(leaks["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks["h"])
     return docs.join(leaks, same, "left_anti")
 
 

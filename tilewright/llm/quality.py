@@ -258,8 +258,11 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The documents whose score reaches ``least``, with their columns as they were."""
-    return docs.withColumn("__score", model.score(F.col("text"))).where(F.col("__score") >= least).drop("__score")
+    """The documents whose score reaches ``least``, with their columns as they were, whatever their names.
+
+    Null and empty texts have no words and go; repeated rows stay or go together; an empty table stays empty.
+    """
+    return docs.where(model.score(F.col("text")) >= least)
 
 
 def classify(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -169,6 +169,17 @@ def test_no_nested_loops_and_no_single_partition(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
 
 
+@pytest.mark.parametrize("name", ["rasterize_rings", "rasterize_rings_simple"])
+def test_burnt_cells_are_not_broadcast(spark, name):
+    # A table of polygons is small, the cells that they burn are many; the driver would hold them all.
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_views_deal_out_a_table_of_one_task(spark):
+    assert fixtures.view(spark, "/root/testdata/sf0.1", "geo").rdd.getNumPartitions() == 2
+
+
 def test_views_grow_with_their_tables(spark):
     customers = spark.read.parquet("/root/testdata/sf0.1/customer.parquet").count()
     assert fixtures.view(spark, "/root/testdata/sf0.1", "grid").count() == customers // 15

@@ -223,6 +223,8 @@ def pieces(edge: DataFrame, keys: list[str], size: float) -> DataFrame:
     low, high = place(F.col("row") * size, "y"), place((F.col("row") + 1) * size, "y")
     zero, one = F.lit(0.0), F.lit(1.0)
     rows = rows.withColumns({"ta": within(F.least(low, high), zero, one), "tb": within(F.greatest(low, high), zero, one)})
+    # Rows of cells are dealt before they become cells: one task may have read all polygons, and what follows goes by row too.
+    rows = rows.repartition(*keys, "row")
     cells = rows.withColumn("col", F.explode(_cuts(x(F.col("ta")), x(F.col("tb")), size)))
     left, right = place(F.col("col") * size, "x"), place((F.col("col") + 1) * size, "x")
     upright = F.col("x0") == F.col("x1")
@@ -304,7 +306,8 @@ def rasterize_rings(cells: DataFrame, polys: DataFrame, cell: float = 5.0, simpl
     runs = burn_runs(polys, cell, simple)
     hit = runs.select("row", F.explode(F.sequence("lo", "hi")).alias("col"), "cls").groupBy("row", "col").agg(F.min("cls").alias("cls"))
     keyed = cells.select("filename", "y", "x", F.floor(F.col("cx") / cell).alias("col"), F.floor(F.col("cy") / cell).alias("row"))
-    return keyed.join(hit, ["row", "col"], "left").select("filename", "y", "x", F.coalesce("cls", F.lit(0)).alias("cls"))
+    # Burnt cells are as many as the cells, but Spark takes them for as few as the polygons and would broadcast them.
+    return keyed.join(hit.hint("merge"), ["row", "col"], "left").select("filename", "y", "x", F.coalesce("cls", F.lit(0)).alias("cls"))
 
 
 def burn_tiles(grid: DataFrame, polys: DataFrame, n: int, cell: float, simple: bool = False) -> DataFrame:
@@ -327,4 +330,4 @@ def burn_tiles(grid: DataFrame, polys: DataFrame, n: int, cell: float, simple: b
             mask[y, x0 : x1 + 1] = cls  # the lowest class comes last
         return pd.DataFrame({"filename": [pdf["filename"].iat[0]], "h": [n], "w": [n], "bands": [1], "data": [mask.tobytes()]})
 
-    return tiles.join(split, ["tr", "tc"]).groupBy("filename").applyInPandas(burn, "filename string, h int, w int, bands int, data binary")
+    return tiles.join(split.hint("merge"), ["tr", "tc"]).groupBy("filename").applyInPandas(burn, "filename string, h int, w int, bands int, data binary")

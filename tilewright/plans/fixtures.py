@@ -94,6 +94,9 @@ select 'tile_' || lpad(cast(p_partkey as varchar(9)), 9, '0') as tile, round(cas
 from part"""),
 }
 
+#: Rows of a table for each task that makes views of it: of one customer they make many cells, and one task may read all customers.
+SPREAD = {"customer": 10_000}
+
 
 def _closure(names: list[str]) -> list[str]:
     out: list[str] = []
@@ -116,10 +119,17 @@ def _ctes(names: list[str], engine: str) -> str:
     return ", ".join(f"{n} as{kept} ({EMB[engine] if n == 'emb_px' else VIEWS[n][1].replace('{each}', EACH[engine])})" for n in _closure(names))
 
 
+def _spread(spark: SparkSession, path: str, rows: int | None) -> str:
+    """Hint that deals the rows of a table to tasks of so many rows, for tables of more than one task; the count comes from the files' footers."""
+    n = -(-spark.read.parquet(path).count() // rows) if rows else 1
+    return f"/*+ repartition({n}) */ " if n > 1 else ""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the tables of a directory."""
     body = _ctes([name], "spark")
-    tables = ", ".join(f"{b} as (select * from parquet.`{sf_dir}/{b}.parquet`)" for b in BASE if b in body)
+    path = lambda b: f"{sf_dir}/{b}.parquet"
+    tables = ", ".join(f"{b} as (select {_spread(spark, path(b), SPREAD.get(b))}* from parquet.`{path(b)}`)" for b in BASE if b in body)
     return spark.sql(f"with {tables}, {body} select * from {name}")
 
 

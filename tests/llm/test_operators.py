@@ -194,6 +194,19 @@ def test_token_counts_with_a_small_table(monkeypatch):
     assert len(counter.key) < 20_000
 
 
+def test_a_full_table_keeps_what_was_met_last(monkeypatch):
+    import public_tokenizers
+
+    counter, texts, compiled = token_counts.Counter(public_tokenizers.path(TOKENIZER)), [prose(1, 400)], []
+    plain = counter._compile
+    monkeypatch.setattr(counter, "_compile", lambda *a: (compiled.append(a), plain(*a)))
+    first = counter.count(texts).tolist()
+    once = len(compiled)
+    monkeypatch.setattr(token_counts, "MAX_STATES", len(counter.key) - 1)
+    assert counter.count(texts).tolist() == first
+    assert once < len(compiled) < 1.9 * once
+
+
 def test_chunk_maps_compose_to_a_plain_reading():
     import public_tokenizers
     import regex

@@ -11,7 +11,7 @@ The counter reads the bytes of a pretoken. Its states stand for what the rest of
 still depend on: the longest suffix that begins some token, with the last token and the number
 of tokens of each prefix inside that suffix. Each transition is annotated with the number of
 tokens it adds to the count (it may take some back). States and transitions are compiled when
-first met; the table is dropped and begun anew when it is full.
+first met; when the table is full, the half of the states that was met longest ago is dropped.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from tilewright.llm.token_output import byte_symbols
 CHUNK = 512
 #: Characters that one pass over a batch takes; longer texts make a pass of their own.
 PASS_CHARS = 1_000_000
-#: States of the counter (64 int32 columns, 64 int8 ones and a key each) above which a pass begins with a new table. A pass adds one a byte at most.
+#: States of the counter (64 int32 columns, 64 int8 ones and a key each) above which a pass begins with half of them. A pass adds one a byte at most.
 MAX_STATES = 150_000
+#: Pairs of tokens remembered, above which a pass begins without them.
+MAX_PAIRS = 300_000
 
 # Classes of code points. The contractions 's 't 're 've 'm 'll 'd of the split pattern.
 _ONE, _R, _V, _L, _E, _LETTER, _NUMBER, _SPACE, _WHITE, _APOS, _OTHER, _END = range(12)
@@ -117,9 +119,6 @@ class Counter:
             self.tokens.add(pair[0] + pair[1])
         self.longest = max(map(len, self.tokens))
         self.prefixes = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
-        self._reset()
-
-    def _reset(self) -> None:
         self._pair_memo: dict[tuple[bytes, bytes], bool] = {}
         self._token_memo: dict[bytes, bool] = {}
         self.column = np.full(256, -1, np.int16)
@@ -129,6 +128,19 @@ class Counter:
         self.state_of: dict[tuple, int] = {self.key[0]: 0}
         self.to = np.full((4096, self.columns), -1, np.int32)
         self.adds = np.zeros((4096, self.columns), np.int8)
+        self.passes = 0
+        self.met = np.zeros(4096, np.int64)  # the last pass that met a state
+
+    def _cut_back(self) -> None:
+        """Drop the states met longest ago, so that half the table stays; transitions into them are compiled again when met."""
+        n = len(self.key)
+        latest = np.argsort(-self.met[1:n], kind="stable")[: max(0, MAX_STATES // 2 - 1)] + 1
+        kept = np.concatenate([[0], np.sort(latest)])
+        place = np.full(n + 1, -1, np.int32)  # the last one is for transitions that aren't compiled
+        place[kept] = np.arange(len(kept))
+        self.to, self.adds, self.met = place[self.to[kept]], self.adds[kept], self.met[kept]
+        self.key = [self.key[i] for i in kept.tolist()]
+        self.state_of = {k: i for i, k in enumerate(self.key)}
 
     # -- byte pair merges -------------------------------------------------
     def _encode(self, word: bytes) -> list[bytes]:
@@ -186,6 +198,8 @@ class Counter:
             if to >= len(self.to):
                 self.to = np.vstack([self.to, np.full_like(self.to, -1)])
                 self.adds = np.vstack([self.adds, np.zeros_like(self.adds)])
+                self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+            self.met[to] = self.passes
         c = self.column[byte]
         self.to[state, c], self.adds[state, c] = to, add
 
@@ -267,6 +281,7 @@ class Counter:
                 break
             at = lanes[:live] + i
             state = np.where(begins[at], 0, state[:live])
+            self.met[state] = self.passes
             c = columns[at]
             to = self.to[state, c]
             if (missing := np.flatnonzero(to < 0)).size:
@@ -308,8 +323,11 @@ class Counter:
             while last < len(whole) and (last == first or chars + len(whole[last]) <= PASS_CHARS):
                 chars += len(whole[last])
                 last += 1
+            self.passes += 1
             if len(self.key) > MAX_STATES:
-                self._reset()
+                self._cut_back()
+            if len(self._pair_memo) > MAX_PAIRS:
+                self._pair_memo.clear()
             np.add.at(total, owner[first:last], self._count_pass(whole[first:last]))
             first = last
         return total

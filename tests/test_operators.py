@@ -169,7 +169,7 @@ def test_no_nested_loops_and_no_single_partition(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
 
 
-@pytest.mark.parametrize("name", ["rasterize_rings", "rasterize_rings_simple"])
+@pytest.mark.parametrize("name", ["rasterize", "rasterize_simple", "rasterize_rings", "rasterize_rings_simple"])
 def test_burnt_cells_are_not_broadcast(spark, name):
     # A table of polygons is small, the cells that they burn are many; the driver would hold them all.
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -59,9 +59,11 @@ def rasterize(cells: DataFrame, polys: DataFrame, cell: float = 5.0, simple: boo
     Classes other than 1 and 2 are ignored, unless ``simple``, where any polygon gives 1. Cells
     that none touches have class 0.
     """
-    wanted = polys if simple else polys.where(F.col("ty").isin(1, 2))
-    cls = F.lit(1) if simple else F.col("ty")
-    keyed = cells.withColumns({"bx": F.floor(F.col("cx") / cell), "by": F.floor(F.col("cy") / cell)})
-    hits = keyed.join(_buckets(wanted, cell), ["bx", "by"]).where(_touches(F.col("cx"), F.col("cy"), cell))
-    burned = hits.groupBy("filename", "y", "x").agg(F.min(cls).alias("cls"))
-    return cells.select("filename", "y", "x").join(burned, ["filename", "y", "x"], "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
+    wanted = polys.withColumn("cls", F.lit(1)) if simple else polys.where(F.col("ty").isin(1, 2)).withColumn("cls", F.col("ty"))
+    keyed = cells.select("filename", "y", "x", "cx", "cy", F.floor(F.col("cx") / cell).alias("bx"), F.floor(F.col("cy") / cell).alias("by")).alias("c")
+    # A polygon has many buckets, but Spark takes them for as few as the polygons and would broadcast them.
+    buckets = _buckets(wanted, cell).select("bx", "by", "x0", "y0", "x1", "y1", "tri", "cls").hint("merge").alias("p")
+    touched = (F.col("c.bx") == F.col("p.bx")) & (F.col("c.by") == F.col("p.by")) & _touches(F.col("cx"), F.col("cy"), cell)
+    # Grouping by bucket too leaves the cells where the join has put them.
+    burned = keyed.join(buckets, touched, "left").groupBy("c.bx", "c.by", "filename", "y", "x").agg(F.coalesce(F.min("cls"), F.lit(0)).alias("cls"))
+    return burned.select("filename", "y", "x", "cls")
